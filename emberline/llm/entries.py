@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import ngram_join
+from emberline.llm import mixing, ngram_join, packing, suffix_dedup, token_counts
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -16,21 +16,42 @@ def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
 documents = _table("documents")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_pairs(documents(spark, sf_dir))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir), with_plan=True)
+    return mixed.select("doc_id", "domain", "lang", "source", "epoch", "n_words")
+
+
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(documents(spark, sf_dir))
+
+
 WORDS = r"regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x40\x5b-\x5e\x60\x7b-\x7f]+')"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_packing": op3_packing,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_token_counts": op8_token_counts,
+    "op9_mixing": op9_mixing,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_ngram_jaccard_join": f"""
         WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
         g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5
-                  THEN list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' '))
+                  THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
                   WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS gram FROM w),
         n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
         p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS overlap
@@ -38,4 +59,16 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_a, doc_b, overlap, overlap::DOUBLE / (x.n + y.n - overlap) AS jaccard
         FROM p JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b
         WHERE overlap::DOUBLE / (x.n + y.n - overlap) >= 0.4""",
+    "op10_suffix_array_dedup": f"""
+        WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        v AS (SELECT doc_id, unnest(range(0, len(ws) - 49)) AS i, ws FROM w WHERE len(ws) >= 50),
+        k AS (SELECT doc_id, i, md5(array_to_string(ws[i + 1:i + 50], ' ')) AS h FROM v),
+        r AS (SELECT doc_id, i, first_value(doc_id) OVER o AS fd, first_value(i) OVER o AS fi
+              FROM k WINDOW o AS (PARTITION BY h ORDER BY doc_id, i)),
+        d AS (SELECT * FROM r WHERE doc_id <> fd OR i <> fi),
+        e AS (SELECT *, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 1 ELSE 0 END AS cut FROM d),
+        g AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY i) AS isle FROM e)
+        SELECT doc_id, min(i) AS start_word, max(i) + 50 - min(i) AS n_words,
+               arg_min(fd, i) AS first_doc_id, arg_min(fi, i) AS first_word
+        FROM g GROUP BY doc_id, isle""",
 }
