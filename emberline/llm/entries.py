@@ -6,20 +6,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import mixing, ngram_join, packing, suffix_dedup, token_counts
+import corpus_pipeline
+from emberline.llm import ann, html_text, mixing, ngram_join, packing, quality_net, quality_rules, suffix_dedup, token_counts, url_rules
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-documents = _table("documents")
+documents, labels, pages, embeddings = map(_table, ("documents", "labels", "pages", "embeddings"))
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_net.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(pages(spark, sf_dir))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.match(pages(spark, sf_dir), url_rules.default_rules(spark))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(embeddings(spark, sf_dir))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_pairs(documents(spark, sf_dir))
 
@@ -40,14 +61,35 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORDS = r"regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x40\x5b-\x5e\x60\x7b-\x7f]+')"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_html_extraction": op2_html_extraction,
     "op3_packing": op3_packing,
+    "op4_url_filters": op4_url_filters,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
+_RULES = ", ".join(f"({n}, '{pattern}', '{action}')" for n, pattern, action in url_rules.RULES)
+_HOST = "lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1))"
+_PATH = "regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^#]*)', 1)"
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_url_filters": f"""
+        WITH r AS (SELECT rule_id, action, array_to_string(list_reverse(string_split(regexp_extract(pattern, '^([^/]*)', 1), '.')), '.')
+                       || '.' || regexp_extract(pattern, '^[^/]*(/.*)?$', 1) AS prefix
+                   FROM (VALUES {_RULES}) AS v(rule_id, pattern, action)),
+        u AS (SELECT row_number() OVER () AS n, page_id, url, CASE WHEN {_HOST} <> '' THEN
+                  array_to_string(list_reverse(string_split({_HOST}, '.')), '.') || '.' ||
+                  CASE WHEN starts_with({_PATH}, '/') THEN {_PATH} ELSE '/' || {_PATH} END END AS key FROM pages),
+        m AS (SELECT u.n, r.rule_id, r.action, length(prefix) AS long FROM u JOIN r ON starts_with(u.key, r.prefix)),
+        b AS (SELECT n, arg_max(rule_id, long * 1000 + rule_id) AS rule_id, arg_max(action, long * 1000 + rule_id) AS action, count(*) AS n_rules FROM m GROUP BY n)
+        SELECT u.page_id, u.url, b.rule_id, coalesce(b.action, 'allow') AS action, coalesce(b.n_rules, 0) AS n_rules
+        FROM u LEFT JOIN b USING (n)""",
     "op7_ngram_jaccard_join": f"""
         WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
         g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5
