@@ -149,6 +149,32 @@ def _incidence(table: pa.Table, wide: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(sigs)
 
 
+ROUTES = 4096
+_SLOTS = np.int64(1 << 19)
+
+
+def _numbers(leader: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """Numbers below 2**31 for the n-grams to keep, the upper 12 bits drawn from the first set that holds the n-gram.
+
+    N-grams that the same sets hold mostly have one leader, and the product is blocked by those bits, so
+    that the overlap of a pair comes together in few blocks. A full route gives its n-grams to the next free numbers.
+    """
+    out = np.zeros(len(leader), np.uint32)
+    at = np.flatnonzero(keep)
+    route = (K.mix(leader[at]) >> np.uint64(52)).astype(np.int64)
+    o = np.argsort(route, kind="stable")
+    r = route[o]
+    place = np.arange(len(r)) - np.searchsorted(r, r)
+    number = r * _SLOTS + place
+    over = np.flatnonzero(place >= _SLOTS)
+    if len(over):
+        used = np.bincount(r, minlength=ROUTES)
+        free = np.concatenate([np.arange(min(c, int(_SLOTS)), int(_SLOTS)) + i * int(_SLOTS) for i, c in enumerate(used.tolist())])
+        number[over] = free[: len(over)]
+    out[at[o]] = number.astype(np.uint32)
+    return out
+
+
 def _shared(buckets: int, key_bits: int, heavy: int):
     """For a bucket of n-grams: those in two sets at least, sent to the buckets of their sets."""
     wide = (key_bits + 7) // 8
@@ -177,7 +203,7 @@ def _shared(buckets: int, key_bits: int, heavy: int):
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             count = np.diff(np.r_[start, len(key)])
             keep = count > 1
-            rank = (np.cumsum(keep) - 1).astype(np.uint32)
+            rank = _numbers(sig[start], keep)
             # the top bit marks a heavy n-gram
             code = np.repeat(rank | ((count > heavy).astype(np.uint32) << np.uint32(31)), count)
             take = np.repeat(keep, count)
@@ -254,7 +280,7 @@ def _entries(t: float, buckets: int):
 
     def flush(code, sig, n, h):
         code, sig, n, h = map(np.concatenate, (code, sig, n, h))
-        b = (K.mix(code.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        b = (((code >> 19) & (ROUTES - 1)) * buckets // ROUTES).astype(np.int64)
         o = np.argsort(b, kind="stable")
         ends = np.searchsorted(b[o], np.arange(buckets + 1))
         rows = []
@@ -368,8 +394,9 @@ def set_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, hea
     key_bits = min(56, max(24, math.ceil(math.log2(max(2, many) * 600 / buckets)) + 20))
     blobs = id_text(docs).mapInArrow(_emit(n, buckets, key_bits), _DDL)
     shared = blobs.groupBy("b").applyInArrow(_shared(buckets, key_bits, heavy), _DDL)
+    blocks = min(buckets, ROUTES)
     rows = cut(shared.groupBy("b").applyInArrow(_rows(threshold), _ROW_DDL))
-    counts = rows.where("h > 0 or length(light) > 0").mapInArrow(_entries(threshold, buckets), _ENTRY_DDL).groupBy("b").applyInArrow(_product(threshold), _PAIR_DDL)
+    counts = rows.where("h > 0 or length(light) > 0").mapInArrow(_entries(threshold, blocks), _ENTRY_DDL).groupBy("b").applyInArrow(_product(threshold), _PAIR_DDL)
     need = F.ceil((F.col("n_a") + F.col("n_b")) * threshold / (1 + threshold) - 1e-9)
     alone = lambda x: F.col(f"h_{x}") >= F.ceil(F.col(f"n_{x}") * threshold - 1e-9)
     summed = counts.groupBy("a", "b", "n_a", "n_b", "h_a", "h_b").agg(F.sum("light").alias("light"), F.sum("heavy").alias("heavy")).where(F.col("light") + F.least("h_a", "h_b") >= need)
@@ -381,7 +408,7 @@ def set_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, hea
         summed.where("overlap is null")
         .join(hard.select(F.col("sig").alias("a"), F.col("heavy").alias("x")), "a")
         .join(hard.select(F.col("sig").alias("b"), F.col("heavy").alias("y")), "b")
-        .select("a", "b", "n_a", "n_b", (F.col("light") + F.size(F.array_intersect("x", "y"))).alias("overlap"))
+        .select("a", "b", "n_a", "n_b", (F.col("light") + F.size(F.array_intersect("x", "y"))).cast("long").alias("overlap"))
     )
     pairs = done.unionByName(open_).where(F.col("overlap") >= need)
     return rows.select("sig", "n", "docs"), pairs
@@ -397,19 +424,17 @@ def jaccard_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     empty table gives no pairs.
     """
     sets, pairs = set_pairs(docs, n, threshold, heavy)
-    sets = sets.select("sig", "n", F.explode("docs").alias("doc"))
-    same = (
-        sets.alias("l")
-        .join(sets.alias("r"), (F.col("l.sig") == F.col("r.sig")) & (F.col("l.doc") < F.col("r.doc")))
-        .select(F.col("l.doc").alias("doc_a"), F.col("r.doc").alias("doc_b"), F.col("l.n").cast("long").alias("overlap"), F.lit(1.0).alias("jaccard"))
-    )
-    x = (
-        pairs.join(sets.select(F.col("sig").alias("a"), F.col("doc").alias("da")), "a")
-        .join(sets.select(F.col("sig").alias("b"), F.col("doc").alias("db")), "b")
-        .where("da <> db")
-        .select(F.least("da", "db").alias("doc_a"), F.greatest("da", "db").alias("doc_b"), F.col("overlap").cast("long").alias("overlap"), (F.col("overlap") / (F.col("n_a") + F.col("n_b") - F.col("overlap"))).alias("jaccard"))
-    )
-    return same.unionByName(x).groupBy("doc_a", "doc_b").agg(F.max_by("overlap", "jaccard").alias("overlap"), F.max("jaccard").alias("jaccard"))
+    x, y = F.explode("x").alias("x"), F.explode("y").alias("y")
+    inside = sets.where("size(docs) > 1").select("n", F.posexplode("docs").alias("i", "doc_a"), "docs")
+    inside = inside.select("doc_a", F.explode(F.slice("docs", F.col("i") + 2, F.size("docs"))).alias("doc_b"), F.col("n").cast("long").alias("overlap"), F.lit(1.0).alias("jaccard"))
+    across = pairs.join(sets.select(F.col("sig").alias("a"), F.col("docs").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("docs").alias("y")), "b")
+    across = across.select(x, "y", "n_a", "n_b", "overlap").select("x", y, "n_a", "n_b", "overlap").where("x <> y")
+    across = across.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "overlap", (F.col("overlap") / (F.col("n_a") + F.col("n_b") - F.col("overlap"))).alias("jaccard"))
+    found = inside.unionByName(across)
+    # a pair can only come twice if a doc_id has several texts
+    if sets.select(F.explode("docs").alias("doc")).groupBy("doc").count().where("count > 1").isEmpty():
+        return found
+    return found.groupBy("doc_a", "doc_b").agg(F.max_by("overlap", "jaccard").alias("overlap"), F.max("jaccard").alias("jaccard"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -438,10 +463,8 @@ def drop_near_copies(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHO
     ``doc_id``, all stay or all go.
     """
     sets, pairs = set_pairs(docs, n, threshold, heavy)
-    docs_of = sets.select("sig", F.explode("docs").alias("doc"))
     star = sets.where("size(docs) > 1").select(F.explode("docs").alias("b"), F.array_min("docs").alias("a")).where("a <> b")
     least = sets.select("sig", F.array_min("docs").alias("doc"))
     across = pairs.join(least.select(F.col("sig").alias("a"), F.col("doc").alias("x")), "a").join(least.select(F.col("sig").alias("b"), F.col("doc").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    del docs_of
     gone = components(star.select("a", "b").unionByName(across)).where("node <> label").select(F.col("node").alias("__gone"))
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
