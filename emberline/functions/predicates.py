@@ -130,6 +130,16 @@ class Compiler:
             return F.lit(bool(e.value))
         return F.coalesce(self.leaf(e).cast("boolean"), F.lit(False))
 
+    def filter(self, e: ir.Expr) -> Column:
+        """``e`` for a ``where``, which takes null for false: comparisons stay bare, so that they reach the scan."""
+        if isinstance(e, ir.Logic):
+            parts = [self.filter(p) for p in e.parts]
+            out = parts[0]
+            for p in parts[1:]:
+                out = (out & p) if e.op == "and" else (out | p)
+            return out
+        return self.condition(e) if isinstance(e, (ir.Not, ir.Literal)) else self.leaf(e).cast("boolean")
+
     def compare(self, op: str, a: Column, b: Column) -> Column:
         return _OPS[op](a, b)
 

@@ -18,7 +18,7 @@ def filter_events(events: DataFrame, rule: ir.Rule, schema: Schema, missing: str
     rule = resolve(rule, schema)
     (step,) = rule.steps
     out = events.where(F.col(type_col) == step.event_type)
-    return out if step.where == ir.TRUE else out.where(Compiler(schema, missing).condition(step.where))
+    return out if step.where == ir.TRUE else out.where(Compiler(schema, missing).filter(step.where))
 
 
 def match_events(events: DataFrame, rules: Sequence[ir.Rule], schema: Schema, missing: str = "null", ts_col: str = "ts_mono_ns", id_col: str = "event_id", type_col: str = "event_type", entity_col: str = "entity_key") -> DataFrame:

@@ -68,6 +68,6 @@ def interesting(events: DataFrame, rules: Iterable[ir.Rule], schema: Schema, typ
         test = F.lit(False)
         for r in rules:
             for s in [*r.steps, *([r.until] if r.until else [])]:
-                test = test | ((F.col(type_col) == schema.event_type(s.event_type)) & compiler.condition(s.where))
+                test = test | ((F.col(type_col) == schema.event_type(s.event_type)) & compiler.filter(s.where))
         out = out.where(test)
     return out
