@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberline.llm import textkit as K
 from emberline.llm.common import pieces
 
 K_NEIGHBOURS = 10
@@ -131,6 +132,7 @@ _MEMBER, _QUERY = 0, 1
 
 
 def _emit(shared, d: int, probes: int):
+    @K.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest: Forest = shared.value
 
@@ -168,6 +170,7 @@ _BEST = pa.schema([("part", pa.int32()), ("q", pa.binary()), ("n", pa.binary()),
 def _rank(d: int, k: int, parts: int):
     """In a leaf: the best members for each query."""
 
+    @K.trimmed
     def run(table: pa.Table) -> pa.Table:
         kind = table["kind"].to_numpy()
         sets = []
@@ -212,6 +215,7 @@ _OUT = pa.schema([("vec_id", pa.int64()), ("neighbor_id", pa.int64()), ("rank",
 
 
 def _merge(k: int):
+    @K.trimmed
     def run(table: pa.Table) -> pa.Table:
         q, n, s = (np.concatenate([np.frombuffer(x, t) for x in table[c].to_pylist()] or [np.zeros(0, t)]) for c, t in (("q", np.int64), ("n", np.int64), ("s", np.float32)))
         s = np.round(s.astype(np.float64), 6)
@@ -231,6 +235,7 @@ def _merge(k: int):
 def _truth(shared, d: int, k: int):
     """The best of a batch for each tried query, with their leaves in all trees."""
 
+    @K.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, t_ids, t = shared.value
         for batch in batches:

@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberline.llm import textkit as K
 from emberline.llm.common import cut
 
 MIN_PAGES = 3
@@ -144,6 +145,7 @@ def _signed(h: int) -> int:
 _SEEN = pa.schema([("host", pa.string()), ("h", pa.int64()), ("root", pa.int64())])
 
 
+@K.trimmed
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hosts, hs, roots = [], [], []
@@ -171,6 +173,7 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
 _OUT_DDL = "page_id long, url string, text string, n_removed long"
 
 
+@K.trimmed
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []

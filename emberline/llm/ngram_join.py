@@ -70,6 +70,7 @@ def document_sets(words: np.ndarray, doc: np.ndarray, n: int):
 
 
 def _emit(n: int, buckets: int, key_bits: int):
+    @K.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         seen: set[int] = set()
@@ -179,6 +180,7 @@ def _shared(buckets: int, key_bits: int, heavy: int):
     """For a bucket of n-grams: those in two sets at least, sent to the buckets of their sets."""
     wide = (key_bits + 7) // 8
 
+    @K.trimmed
     def run(table: pa.Table) -> pa.Table:
         if table.num_rows == 0:
             return _BLOBS.empty_table()
@@ -231,6 +233,7 @@ _ROW = pa.schema([("sig", pa.int64()), ("n", pa.int32()), ("h", pa.int32()), ("d
 def _rows(t: float):
     """Rows of the matrix: sets with several documents, or with enough shared n-grams for a partner."""
 
+    @K.trimmed
     def run(table: pa.Table) -> pa.Table:
         docs, sigs, sizes, codes, owner = [], [], [], [], []
         for kind, a, c, d in zip(*(table[x].to_pylist() for x in ("kind", "a", "c", "d"))):
@@ -290,6 +293,7 @@ def _entries(t: float, buckets: int):
                 rows.append((i, code[p].tobytes(), sig[p].tobytes(), n[p].tobytes(), h[p].tobytes()))
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ENTRY)], schema=_ENTRY)
 
+    @K.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list, list, list] = ([], [], [], [])
         many = 0
@@ -338,6 +342,7 @@ def _pairs_of(lists: np.ndarray, start: np.ndarray, count: np.ndarray, most: int
 def _product(t: float):
     """The product over a bucket of n-grams: overlaps of all pairs of rows whose sizes allow them."""
 
+    @K.trimmed
     def run(table: pa.Table) -> pa.Table:
         code, sig, n, h = (np.concatenate([_u(x, k) for x in table[c].to_pylist()] or [np.zeros(0, k)]) for c, k in (("code", np.int64), ("sig", np.int64), ("n", np.int32), ("h", np.int32)))
         if not len(code):

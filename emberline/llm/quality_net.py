@@ -54,7 +54,8 @@ def slots(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = tk.end - tk.start
     for kind, table, least in ((_UPPER, _IS_UPPER, 2), (_NUMBER, _IS_DIGIT, 1)):
         # tokens are apart by white space only, which is of neither kind
-        total = np.r_[0, np.cumsum(table[buf])]
+        total = np.zeros(len(buf) + 1, np.int32)
+        np.cumsum(table[buf], out=total[1:])
         h[(total[tk.end] - total[tk.start] == size) & (size >= least)] = kind
     h[again] = _AGAIN
     return (h % np.uint64(SLOTS)).astype(np.int64), tk.doc
@@ -65,6 +66,7 @@ _PART_DDL = "part int, sums binary"
 _PART = pa.schema([("part", pa.int32()), ("sums", pa.binary())])
 
 
+@K.trimmed
 def _context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's sums of context vectors and counts of slots, cut into parts by slot."""
     at, sign = _index()
@@ -87,6 +89,7 @@ def _context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array(rows, pa.binary())], schema=_PART)
 
 
+@K.trimmed
 def _add_parts(table: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(x.as_py(), np.float64) for x in table["sums"])
     return pa.Table.from_arrays([table["part"][:1].combine_chunks(), pa.array([total.tobytes()], pa.binary())], schema=_PART)
@@ -190,6 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple
     vectors = word_vectors(docs)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
+    @K.trimmed
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, some = pooled(batch.column(1), shared.value)
@@ -209,6 +213,7 @@ def probability(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN):
         vectors, net = shared.value
         for t in texts:
             yield pa.array(np.round(net.probability(*pooled(t, vectors)), 6), pa.float64())
+        K.trim()
 
     score.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(score, "double")

@@ -111,6 +111,7 @@ def regression(start: np.ndarray, index: np.ndarray, value: np.ndarray, y: np.nd
 _MODEL_DDL = "weights binary, bias double, slope double, offset double, prior double"
 
 
+@K.trimmed
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tables = [b for b in batches if b.num_rows]
     w, bias, slope, offset, prior = np.zeros(1 << BITS), 0.0, 0.0, 0.0, 1.0
@@ -134,6 +135,8 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, float, float, float, float]:
     """Weights, bias, slope and offset of the calibration (slope 0: no labels of both kinds), and the share of good labels."""
     one = labelled.sample(docs, labels, max_train).select("k", "t", "y").coalesce(1).mapInArrow(_fit, _MODEL_DDL).first()
+    if one is None:  # an empty table may have no task
+        return np.zeros(1 << BITS, np.float32), 0.0, 0.0, 0.0, 1.0
     return np.frombuffer(one["weights"], np.float32), one["bias"], one["slope"], one["offset"], one["prior"]
 
 
@@ -156,6 +159,7 @@ def judge(docs: DataFrame, labels: DataFrame, reject_below: float = REJECT_BELOW
             else:
                 p = np.full(len(t), prior)
             yield pa.array(np.round(p, 6), pa.float64())
+        K.trim()
 
     score.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.arrow_udf(score, "double")(F.col("text").cast("string")).alias("probability"))

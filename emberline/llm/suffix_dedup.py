@@ -86,6 +86,7 @@ def _split(to: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _emit_anchors(k: int, anchor: int, buckets: int):
+    @K.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         many = 0
@@ -121,6 +122,7 @@ def _cat(column: pa.ChunkedArray, kind) -> np.ndarray:
 _LIST = pa.schema([("k", pa.int64()), ("th", pa.int64()), ("list", pa.binary())])
 
 
+@K.trimmed
 def _repeated(table: pa.Table) -> pa.Table:
     """The anchors of a bucket that occur twice at least, by document."""
     h, ids, th = _cat(table["a"], np.uint64), _cat(table["c"], np.int64), _cat(table["d"], np.int64)
@@ -143,6 +145,7 @@ def _repeated(table: pa.Table) -> pa.Table:
 def _emit_chunks(k: int, anchor: int, shards: int):
     """Chunks around the anchors that a document's list names: d: anchor, id, text hash, first word, words; c: the words."""
 
+    @K.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         many = 0
@@ -203,6 +206,7 @@ def spill_folder() -> str | None:
 def _windows(k: int, memory: int):
     """Duplicate windows of a shard, in runs of neighbours."""
 
+    @K.trimmed
     def run(table: pa.Table) -> pa.Table:
         meta = _cat(table["d"], np.int64).reshape(-1, 5)
         words = _cat(table["c"], np.uint32)
@@ -326,6 +330,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int =
     return s.select(F.col("k").alias("doc_id"), F.col("start").alias("start_word"), (F.col("stop") - F.col("start")).alias("n_words"), F.col("fk").alias("first_doc_id"), F.col("fstart").alias("first_word"))
 
 
+@K.trimmed
 def _cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Column 0: texts, 1: spans; gives the texts without the spans, ahead of the other columns."""
     for batch in batches:

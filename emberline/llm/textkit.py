@@ -9,7 +9,10 @@ A *word* is a maximal run of ASCII letters, digits, underscores and non-ASCII ch
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import inspect
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +49,37 @@ def _powers(base: int, n: int) -> np.ndarray:
 _POW = _powers(_BASE, 1 << 12)
 
 
+def trim() -> None:
+    """Gives the machine back what this worker has freed: Spark keeps idle workers, and their unused memory counts."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give is not None:
+        give(0)
+
+
+def trimmed(f: Callable) -> Callable:
+    """``f`` of a batch iterator or a table, with a ``trim`` when it ends."""
+    if inspect.isgeneratorfunction(f):
+
+        @functools.wraps(f)
+        def run(batches):
+            try:
+                yield from f(batches)
+            finally:
+                trim()
+
+    else:
+
+        @functools.wraps(f)
+        def run(table):
+            try:
+                return f(table)
+            finally:
+                trim()
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every output bit depends on every input bit."""
     x = x ^ (x >> np.uint64(30))
@@ -119,11 +153,15 @@ def tokens(buf: np.ndarray, off: np.ndarray, marks: bool = False, fold: bool = T
     end[-1] = n
     k = kind[start]
     take = (k == _WORD) if not marks else (k != _SPACE)
-    low = (lower_bytes(buf) if fold else buf).astype(np.uint64) + np.uint64(1)
+    low = (lower_bytes(buf) if fold else buf).astype(np.uint64)
+    low += np.uint64(1)
     size = end - start
     longest = int(size.max())
     power = _POW if longest <= len(_POW) else _powers(_BASE, longest)
-    low *= power[np.arange(n) - np.repeat(start, size)]
+    place = np.arange(n, dtype=np.int32)
+    place -= np.repeat(start.astype(np.int32), size)
+    low *= power[place]
+    del place
     h = np.add.reduceat(low, start)[take]
     start, end, k = start[take], end[take], k[take]
     h = mix(h + (end - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))

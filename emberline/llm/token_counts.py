@@ -18,6 +18,8 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberline.llm import textkit as K
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: splits text into pre-tokens: English clitics, letters, digits and marks with the blank before them, white space
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -98,6 +100,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = P
     ranks = read_ranks(vocabulary)
     shared = spark.sparkContext.broadcast((ranks, whole_tokens(ranks, pattern), pattern))
 
+    @K.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(*shared.value)
         for batch in batches:
