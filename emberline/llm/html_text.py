@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from emberline.llm import textkit as K
 from emberline.llm.common import cut
 
-MIN_PAGES = 3
-MIN_SHARE = 0.3
+#: a template is on so many pages of its host at least, and has this share of them: a site's sections have templates of their own
+MIN_PAGES = 4
+MIN_SHARE = 0.03
 BROADCAST_TEMPLATES = 500_000
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())

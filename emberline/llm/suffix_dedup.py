@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberline.llm import induced
 from emberline.llm import textkit as K
@@ -363,7 +364,7 @@ def remove_passages(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = A
     text, key = at["text"], at["doc_id"]
     wide = plain.join(found, (F.col(key).cast("long") == F.col("k")) & (F.xxhash64(F.col(text).cast("string")) == F.col("th")), "left")
     held = wide.select(F.col(text).cast("string").alias("t"), "found", *names)
-    kinds = ", ".join(["t string", *(f"{n} {plain.schema[n].dataType.simpleString()}" for n in names)])
+    kinds = T.StructType([T.StructField("t", T.StringType()), *(T.StructField(n, plain.schema[n].dataType) for n in names)])
     done = held.mapInArrow(_cut_spans, kinds)
     out = []
     for c, n in at.items():

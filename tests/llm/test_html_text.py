@@ -34,7 +34,7 @@ def test_copies_of_a_page_count_once(spark):
 
 
 def test_templates_against_brute_force(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     seen, whole = defaultdict(set), defaultdict(set)
     rows = pages.withColumn("host", H.host_of(F.col("url"))).collect()
     for r in rows:
