@@ -5,10 +5,12 @@ Times are event times, so a rerun decides alike.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberline.schema import SEVERITIES
 
@@ -51,21 +53,28 @@ def worst_rule(alerts: DataFrame, keys: Iterable[str]) -> DataFrame:
 def with_cache(decisions: DataFrame, entity: str = "entity_key", ts: str = "ts", ttl_ns: int = CACHE_NS) -> DataFrame:
     """``decisions`` with ``cached``: whether an earlier decision on the entity still stands.
 
-    A decision stands for ``ttl_ns`` from when it was made; one that is taken from the cache doesn't renew it. The chain of fresh
-    decisions is followed within gaps only: a decision that comes ``ttl_ns`` or more after the one before is fresh by itself, and
-    only inside the runs between does the order decide.
+    A decision stands for ``ttl_ns`` from when it was made; one that is taken from the cache doesn't renew it, so the order decides: the decisions
+    are sorted by entity and time and folded in batches, and no more than the time of the last fresh one is held. A
+    decision without a time is fresh.
     """
-    own = Window.partitionBy(entity).orderBy(ts, "__id")
-    df = decisions.withColumn("__id", F.monotonically_increasing_id()) if "alert_id" not in decisions.columns else decisions.withColumn("__id", F.col("alert_id"))
-    gap = F.coalesce(F.col(ts) - F.lag(ts).over(own) >= ttl_ns, F.lit(True))
-    df = df.withColumn("__run", F.sum(gap.cast("int")).over(own))
-    # fresh decisions of a run: fold its times once, then look them up
-    times = df.groupBy(entity, "__run").agg(F.sort_array(F.collect_set(ts)).alias("__t"))
-    empty = F.array().cast("array<long>")
-    fresh = F.aggregate("__t", empty, lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= ttl_ns), F.concat(acc, F.array(t))).otherwise(acc))
-    df = df.join(times.select(F.col(entity).alias("__e"), F.col("__run").alias("__r"), fresh.alias("__fresh")), F.col(entity).eqNullSafe(F.col("__e")) & (F.col("__run") == F.col("__r")))
-    first = F.row_number().over(Window.partitionBy(entity, ts).orderBy("__id")) == 1
-    return df.withColumn("cached", ~(F.array_contains("__fresh", F.col(ts)) & first)).drop("__id", "__run", "__e", "__r", "__fresh")
+    names = decisions.columns
+    at_entity, at_ts = names.index(entity), names.index(ts)
+    rows = decisions.repartition(entity).sortWithinPartitions(entity, ts, *(c for c in ("alert_id", "event_id") if c in names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, made = None, None
+        for b in batches:
+            cached = []
+            for e, t in zip(b.column(at_entity).to_pylist(), b.column(at_ts).to_pylist()):
+                if e != key:
+                    key, made = e, None
+                stands = made is not None and t is not None and t - made < ttl_ns
+                cached.append(stands)
+                if not stands and t is not None:
+                    made = t
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cached, pa.bool_())], names=[*names, "cached"])
+
+    return rows.mapInArrow(run, T.StructType([*decisions.schema.fields, T.StructField("cached", T.BooleanType())]))
 
 
 def rate_limited(decisions: DataFrame, second: Column, per_second: int = PER_SECOND, order: Iterable[str] = ("ts", "event_id")) -> DataFrame:

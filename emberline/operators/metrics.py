@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,10 +29,17 @@ def distribution(df: DataFrame, value: str, *keys: str) -> DataFrame:
 
 
 def exact_percentiles(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    """The values at ranks ``n * p // 100`` of the sorted measure, for p50, p90 and p99."""
-    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("v"))
-    at = lambda p: F.element_at("v", (F.least(F.floor(F.size("v") * p / 100), F.size("v") - 1) + 1).cast("int"))
-    return rows.select(*keys, at(50).alias("p50"), at(90).alias("p90"), at(99).alias("p99"))
+    """The values at ranks ``n * p // 100`` of the sorted measure, for p50, p90 and p99.
+
+    Ranks come from a sort that can spill; no group is collected.
+    """
+    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    ranked = known.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy("__v")) - 1)
+    total = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    same = [ranked[k].eqNullSafe(total[k]) for k in keys]
+    both = ranked.join(total, same) if keys else ranked.crossJoin(total)
+    at = lambda p: F.max(F.when(F.col("__i") == F.expr(f"__n * {p} div 100"), F.col("__v"))).alias(f"p{p}")
+    return both.groupBy(*(ranked[k] for k in keys)).agg(at(50), at(90), at(99))
 
 
 def sequence_metrics(events: DataFrame, matches: DataFrame) -> DataFrame:

@@ -90,25 +90,84 @@ def match_sequences(
     A rule without ``by`` groups by ``entity_col``. Events with a null key, time or type match nothing. ``captures`` maps names to values as strings; a capture
     without step reads the last event.
     """
+    out = None
+    for own, rows in _prepared(events, rules, schema, missing, ts_col, id_col, type_col, entity_col):
+        part = rows.mapInArrow(fold(_spec(own), sticky), MATCH_DDL)
+        out = part if out is None else out.unionByName(part)
+    return with_captures(out, rules)
+
+
+def _spec(rules: Sequence[ir.Rule]) -> list[tuple[str, int, int | None]]:
+    return [(r.rule_id, len(r.steps), None if r.maxspan_ms is None else r.maxspan_ms * 1_000_000) for r in rules]
+
+
+def _prepared(events: DataFrame, rules: Sequence[ir.Rule], schema: Schema, missing: str, ts_col: str, id_col: str, type_col: str, entity_col: str) -> Iterator[tuple[list[ir.Rule], DataFrame]]:
+    """The rules that group by one field, and the rows for their fold, for each such field."""
     if len(rules) > MAX_RULES:
         raise InvalidRule(f"at most {MAX_RULES} sequences")
-    rules = [resolve(r, schema) for r in rules]
     compiler = Compiler(schema, missing)
     groups: dict[str, list[ir.Rule]] = {}
     for r in rules:
-        groups.setdefault(r.by or "entity_key", []).append(r)
-    parts = []
+        groups.setdefault(r.by or "entity_key", []).append(resolve(r, schema))
     for by, own in groups.items():
         key = F.col(entity_col) if by == "entity_key" else compiler.field(by)
-        rows = events.select(key.cast("string").alias("key"), F.col(ts_col).cast("long").alias("ts"), F.col(id_col).cast("long").alias("event_id"), *events_columns(own, compiler, type_col))
+        types = sorted(set().union(*(r.event_types() for r in own)))
+        rows = events.where(F.col(type_col).isin(types)).select(key.cast("string").alias("key"), F.col(ts_col).cast("long").alias("ts"), F.col(id_col).cast("long").alias("event_id"), *events_columns(own, compiler, type_col))
         rows = rows.where("key is not null and ts is not null").where(F.exists("masks", lambda m: m != 0))
-        spec = [(r.rule_id, len(r.steps), None if r.maxspan_ms is None else r.maxspan_ms * 1_000_000) for r in own]
-        sorted_ = rows.repartition("key").sortWithinPartitions("key", "ts", "event_id")
-        parts.append(sorted_.mapInArrow(fold(spec, sticky), MATCH_DDL))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return with_captures(out, rules)
+        yield own, rows.repartition("key").sortWithinPartitions("key", "ts", "event_id")
+
+
+STATISTICS_DDL = "rule_id string, key string, n_events long, started long, completed long, expired long, ended long, live long"
+_STATISTICS = pa.schema([(x.split()[0], pa.string() if x.split()[1] == "string" else pa.int64()) for x in STATISTICS_DDL.split(", ")])
+
+
+def count_up(rules: Sequence[tuple[str, int, int | None]]):
+    """What became of the partial matches of each rule and key, over rows as ``fold`` takes them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, live, counts = None, [None] * len(rules), [[0] * 5 for _ in rules]
+        out: list[tuple] = []
+
+        def close() -> None:
+            out.extend((rules[i][0], key, *c, int(live[i] is not None)) for i, c in enumerate(counts) if c[0])
+
+        def batch() -> pa.RecordBatch:
+            b = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_STATISTICS)], schema=_STATISTICS)
+            out.clear()
+            return b
+
+        for rows in batches:
+            for k, ts, event_id, masks in zip(*(c.to_pylist() for c in rows.columns[:4])):
+                if k != key:
+                    close()
+                    key, live, counts = k, [None] * len(rules), [[0] * 5 for _ in rules]
+                for i, mask in enumerate(masks):
+                    if mask:
+                        _, steps, span = rules[i]
+                        was = live[i]
+                        live[i], done = advance(was, steps, span, mask, ts, (event_id, ts))
+                        c = counts[i]
+                        c[0] += 1
+                        c[1] += was is None and (live[i] is not None or done is not None)
+                        c[2] += done is not None
+                        gone = was is not None and live[i] is None and done is None
+                        c[3] += gone and not mask & UNTIL
+                        c[4] += gone and bool(mask & UNTIL)
+            if len(out) > 5000:
+                yield batch()
+        close()
+        yield batch()
+
+    return run
+
+
+def sequence_statistics(events: DataFrame, rules: Sequence[ir.Rule], schema: Schema, missing: str = "null", ts_col: str = "ts_mono_ns", id_col: str = "event_id", type_col: str = "event_type", entity_col: str = "entity_key") -> DataFrame:
+    """For each rule and key: the events that match a step, and how many partial matches were ``started``, ``completed``, ``expired`` by the span, ``ended`` by the end condition, and are ``live`` at the end."""
+    out = None
+    for own, rows in _prepared(events, rules, schema, missing, ts_col, id_col, type_col, entity_col):
+        part = rows.mapInArrow(count_up(_spec(own)), STATISTICS_DDL)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def events_columns(rules: Sequence[ir.Rule], compiler: Compiler, type_col: str) -> list[Column]:

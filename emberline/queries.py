@@ -19,7 +19,7 @@ from emberline.operators import decisions as D
 from emberline.operators import metrics as M
 from emberline.operators.events import filter_events, match_events
 from emberline.operators.patterns import Pattern, match_patterns
-from emberline.operators.sequence import match_sequences
+from emberline.operators.sequence import match_sequences, sequence_statistics
 from emberline.plans import analyzer, ir
 from emberline.plans.parser import parse, parse_expression
 from emberline.schema import Schema, schema_of
@@ -300,7 +300,7 @@ def _seq_captures(spark, sf_dir):
 
 @query("stream_sequence")
 def _stream(spark, sf_dir):
-    """The two-step sequence over the event files as a stream, run to their end; its rows are the batch's."""
+    """The two-step sequence over the event files as a stream, run to their end; its rows are the batch's, but for events that the watermark hasn't passed yet."""
     import tempfile
 
     folder = f"{sf_dir}/events.parquet"
@@ -575,6 +575,22 @@ def _sequence_metrics(spark, sf_dir):
     return M.sequence_metrics(df.withColumn("key", F.col("entity_key")), match_sequences(df, [parse(_SEQUENCES["seq_two_step"][0])], event_schema()))
 
 
+_UNTIL = _SEQUENCES["seq_until"]
+
+
+@query(
+    "sequence_statistics",
+    f"""WITH RECURSIVE {E_SQL}, {_sequence_sql("q", **_UNTIL[1])[0]},
+        s AS (SELECT q_s.*, lag(st) OVER (PARTITION BY key ORDER BY n) AS was, q_r.m FROM q_s LEFT JOIN q_r USING (key, n))
+        SELECT 'seq_until' AS rule_id, key, count(m) AS n_events, count(*) FILTER (was = 0 AND st > 0) AS started, count(found) AS completed,
+               count(*) FILTER (was > 0 AND st = 0 AND found IS NULL AND m < {1 << 30}) AS expired,
+               count(*) FILTER (was > 0 AND st = 0 AND found IS NULL AND m >= {1 << 30}) AS ended, CAST(arg_max(st, n) > 0 AS BIGINT) AS live
+        FROM s GROUP BY key""",
+)
+def _sequence_statistics(spark, sf_dir):
+    return sequence_statistics(events(spark, sf_dir), [parse(_UNTIL[0]).named("seq_until")], event_schema())
+
+
 @query("complexity_analysis")
 def _complexity(spark, sf_dir):
     rules = [parse(t).named(n) for n, (t, _) in _SEQUENCES.items()] + _single_rules()
