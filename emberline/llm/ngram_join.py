@@ -50,6 +50,12 @@ def _u(blob: bytes, kind) -> np.ndarray:
     return np.frombuffer(blob, kind)
 
 
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Value, begin and end of each run of a sorted array."""
+    at = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+    return zip(values[at].tolist(), at.tolist(), [*at[1:].tolist(), len(values)])
+
+
 def required(n_a, n_b, t: float):
     """The least overlap of sets of these sizes whose Jaccard similarity is at least ``t``."""
     return np.ceil(t * (n_a + n_b) / (1 + t) - 1e-9).astype(np.int64)
@@ -82,8 +88,9 @@ def _emit(n: int, buckets: int, key_bits: int):
             ids, sigs, sizes = (np.concatenate([h[i] for h in held]) for i in range(3))
             to = (sigs % np.uint64(buckets)).astype(np.int64)
             rows = []
-            for b in np.unique(to).tolist():
-                m = to == b
+            by = np.argsort(to, kind="stable")
+            for b, lo, hi in _runs(to[by]):
+                m = by[lo:hi]
                 rows.append((b, _MEMBERS, ids[m].tobytes(), sigs[m].tobytes(), sizes[m].astype(np.int32).tobytes()))
             # one incidence row per distinct set
             g = np.concatenate([h[3] for h in held])
@@ -99,22 +106,17 @@ def _emit(n: int, buckets: int, key_bits: int):
             key = (g // np.uint64(buckets)) & np.uint64((1 << key_bits) - 1)
             o = np.argsort(bucket.astype(np.int32), kind="stable")
             key, row, bucket = key[o], row[o], bucket[o]
-            ends = np.searchsorted(bucket, np.arange(buckets + 1))
             wide = (key_bits + 7) // 8
             packed = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide]
-            small = np.uint16 if len(sigs) <= 65536 else np.uint32
-            for b in range(buckets):
-                lo, hi = ends[b], ends[b + 1]
-                if hi > lo:
-                    used, local = np.unique(row[lo:hi], return_inverse=True)
-                    local = local.astype(np.uint16 if len(used) <= 65536 else np.uint32)
-                    rows.append((b, _INCIDENCE, packed[lo:hi].tobytes(), local.tobytes(), sigs[used].tobytes()))
+            for b, lo, hi in _runs(bucket):
+                used, local = np.unique(row[lo:hi], return_inverse=True)
+                local = local.astype(np.uint16 if len(used) <= 65536 else np.uint32)
+                rows.append((b, _INCIDENCE, packed[lo:hi].tobytes(), local.tobytes(), sigs[used].tobytes()))
                 if len(rows) >= 64:
                     yield _batch(rows)
                     rows = []
             if rows:
                 yield _batch(rows)
-            del small
             held.clear()
 
         for batch in batches:
@@ -216,11 +218,10 @@ def _shared(buckets: int, key_bits: int, heavy: int):
             size = np.diff(np.r_[at, len(sig)])
             own = sig[at]
             to = (own % np.uint64(buckets)).astype(np.int64)
-            for b in np.unique(to).tolist():
-                m = np.flatnonzero(to == b)
-                lo, hi = at[m[0]], at[m[-1]] + size[m[-1]]
-                head = np.array([bucket], np.uint64).tobytes()
-                out.append((b, _INCIDENCE, head + code[lo:hi].tobytes(), size[m].astype(np.uint32).tobytes(), own[m].tobytes()))
+            head = np.array([bucket], np.uint64).tobytes()
+            for b, x, y in _runs(to):
+                lo, hi = at[x], at[y - 1] + size[y - 1]
+                out.append((b, _INCIDENCE, head + code[lo:hi].tobytes(), size[x:y].astype(np.uint32).tobytes(), own[x:y].tobytes()))
         return pa.Table.from_batches([_batch(out)]) if out else _BLOBS.empty_table()
 
     return run
@@ -285,12 +286,10 @@ def _entries(t: float, buckets: int):
         code, sig, n, h = map(np.concatenate, (code, sig, n, h))
         b = (((code >> 19) & (ROUTES - 1)) * buckets // ROUTES).astype(np.int64)
         o = np.argsort(b, kind="stable")
-        ends = np.searchsorted(b[o], np.arange(buckets + 1))
         rows = []
-        for i in range(buckets):
-            p = o[ends[i] : ends[i + 1]]
-            if len(p):
-                rows.append((i, code[p].tobytes(), sig[p].tobytes(), n[p].tobytes(), h[p].tobytes()))
+        for i, lo, hi in _runs(b[o]):
+            p = o[lo:hi]
+            rows.append((i, code[p].tobytes(), sig[p].tobytes(), n[p].tobytes(), h[p].tobytes()))
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ENTRY)], schema=_ENTRY)
 
     @K.trimmed

@@ -78,12 +78,12 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_BLOB)], schema=_BLOB)
 
 
-def _split(to: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+def _split(to: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     o = np.argsort(to, kind="stable")
-    ends = np.searchsorted(to[o], np.arange(buckets + 1))
-    for b in range(buckets):
-        if ends[b + 1] > ends[b]:
-            yield b, o[ends[b] : ends[b + 1]]
+    s = to[o]
+    at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
+    for b, lo, hi in zip(s[at].tolist(), at.tolist(), [*at[1:].tolist(), len(s)]):
+        yield b, o[lo:hi]
 
 
 def _emit_anchors(k: int, anchor: int, buckets: int):
@@ -94,7 +94,7 @@ def _emit_anchors(k: int, anchor: int, buckets: int):
 
         def flush() -> pa.RecordBatch:
             h, ids, ths = (np.concatenate([x[i] for x in held]) for i in range(3))
-            rows = [(b, h[o].tobytes(), ids[o].tobytes(), ths[o].tobytes(), b"") for b, o in _split((h % np.uint64(buckets)).astype(np.int64), buckets)]
+            rows = [(b, h[o].tobytes(), ids[o].tobytes(), ths[o].tobytes(), b"") for b, o in _split((h % np.uint64(buckets)).astype(np.int64))]
             held.clear()
             return _batch(rows)
 
@@ -157,7 +157,7 @@ def _emit_chunks(k: int, anchor: int, shards: int):
             size = meta[:, 4]
             at = np.cumsum(size) - size
             rows = []
-            for b, o in _split((meta[:, 0].view(np.uint64) // np.uint64(7) % np.uint64(shards)).astype(np.int64), shards):
+            for b, o in _split((meta[:, 0].view(np.uint64) // np.uint64(7) % np.uint64(shards)).astype(np.int64)):
                 n = size[o]
                 pick = np.repeat(at[o] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 rows.append((b, b"", words[pick].tobytes(), np.ascontiguousarray(meta[o]).tobytes(), b""))
