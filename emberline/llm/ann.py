@@ -192,6 +192,10 @@ def _rank(d: int, k: int, parts: int):
             s = q[lo : lo + 512] @ m.T
             if take < len(m_ids):
                 best = np.argpartition(s, len(m_ids) - take, axis=1)[:, len(m_ids) - take :]
+                # where more are as near as the last of the best, the lesser ids go first
+                least = np.take_along_axis(s, best, 1).min(1, keepdims=True)
+                tied = np.flatnonzero((s >= least).sum(1) > take)
+                best[tied] = np.argsort(-s[tied], axis=1, kind="stable")[:, :take]
             else:
                 best = np.broadcast_to(np.arange(len(m_ids)), s.shape)
             own = np.repeat(q_ids[lo : lo + 512], take)
