@@ -134,7 +134,7 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, float, float, float, float]:
     """Weights, bias, slope and offset of the calibration (slope 0: no labels of both kinds), and the share of good labels."""
-    one = labelled.sample(docs, labels, max_train).select("k", "t", "y").coalesce(1).mapInArrow(_fit, _MODEL_DDL).first()
+    one = labelled.sample(docs, labels, max_train).select("k", "t", "y").repartition(1).mapInArrow(_fit, _MODEL_DDL).first()
     if one is None:  # an empty table may have no task
         return np.zeros(1 << BITS, np.float32), 0.0, 0.0, 0.0, 1.0
     return np.frombuffer(one["weights"], np.float32), one["bias"], one["slope"], one["offset"], one["prior"]
