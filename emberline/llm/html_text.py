@@ -1,10 +1,13 @@
 """Text of web pages without the templates of their sites.
 
 Each element's subtree is hashed over its tags and texts. Spark counts, for each host, on how many different pages a
-subtree is found; one that is on many of a host's pages belongs to the template and is cut out of all of them.
-What is left is written out as text.
+subtree is found; one that is on ``MIN_PAGES`` of them belongs to a template and is cut out of all of the host's pages,
+however many those are: a site has many sections, each with a template of its own. What is left is written out as text.
 
-A page counts once however often it is copied: pages with equal contents are one page.
+Two things keep articles whole on hosts of any size. A page counts once however often it is copied: pages whose
+``article`` and ``main`` elements (where there are none, whose whole contents) are equal are one page, so an
+article printed in several sections is no template. And parts are never cut out by themselves of what they are parts of: words that are
+marked up within running text (a bold word, a link), and an article's table cells and list items.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -21,13 +25,17 @@ from pyspark.sql import functions as F
 from emberline.llm import textkit as K
 from emberline.llm.common import cut
 
-#: a template is on so many pages of its host at least, and has this share of them: a site's sections have templates of their own
+#: a template is on so many pages of its host at least; no share of them is asked for, as a section may be any part of a site
 MIN_PAGES = 4
-MIN_SHARE = 0.03
+MIN_SHARE = 0.0
 BROADCAST_TEMPLATES = 500_000
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = {t: re.compile(rf"</{t}[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "noscript", "template", "textarea", "iframe", "svg")}
+_MAIN = frozenset(("article", "main"))
+_FRAME = frozenset(("nav", "header", "footer", "aside"))
+_PART = frozenset(("tr", "td", "th", "li", "dt", "dd"))
+_WORD = re.compile(r"\w")
 _BLOCK = frozenset("address article aside blockquote body br dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table tbody td tfoot th thead title tr ul".split())
 #: an opening tag closes these, if they are open and nothing of the second set is between
 _CLOSES = {
@@ -45,7 +53,11 @@ _HASH = xxhash.xxh64_intdigest
 
 
 def subtrees(page: str) -> tuple[list[str], list[tuple[int, int, int]], int]:
-    """Pieces of text in order, ``(first piece, end, hash)`` of each element that holds text, and the whole page's hash.
+    """Pieces of text in order, ``(first piece, end, hash)`` of each element that may be a template, and the page's hash.
+
+    Elements that hold text may be, but for inline ones in a block that has words beside them
+    (unless that is in a ``nav``, ``header``, ``footer`` or ``aside``) and for cells and items in an ``article`` or ``main``. The page's hash is that of its
+    outermost ``article`` and ``main`` elements, or of all where these hold no text.
 
     Scripts, styles and comments hold no text; a line break stands at the bounds of blocks. Tags left open end
     with their parents, and end tags without a beginning are passed over.
@@ -55,6 +67,10 @@ def subtrees(page: str) -> tuple[list[str], list[tuple[int, int, int]], int]:
     tags: list[str] = [""]
     firsts: list[int] = [0]
     hashes: list[list[bytes]] = [[]]
+    runs: list[bool] = [False]  # whether an element has words of its own
+    inline: list[list[tuple[int, int, int]]] = [[]]  # what waits for the end of its block, which tells whether the text runs on
+    inside: list[int] = [0]  # 1: an article, 2: a cell or an item in an article
+    mains: list[bytes] = []
     at, n = 0, len(page)
 
     def text(raw: str) -> None:
@@ -64,17 +80,23 @@ def subtrees(page: str) -> tuple[list[str], list[tuple[int, int, int]], int]:
             lead = " " if raw[0].isspace() else ""
             pieces.append(lead + plain + (" " if raw[-1].isspace() else ""))
             hashes[-1].append(plain.encode("utf-8", "replace"))
+            runs[-1] = runs[-1] or _WORD.search(plain) is not None
         elif raw:
             pieces.append(" ")
 
     def close() -> None:
-        tag, first, parts = tags.pop(), firsts.pop(), hashes.pop()
+        tag, first, parts, running, waiting, within = tags.pop(), firsts.pop(), hashes.pop(), runs.pop(), inline.pop(), inside.pop()
+        if waiting and not (running and _FRAME.isdisjoint((*tags, tag))):
+            (found if tag in _BLOCK else inline[-1]).extend(waiting)
         if tag in _BLOCK:
             pieces.append("\n")
         if parts:
             h = _HASH(tag.encode("utf-8", "replace") + b"\x00" + b"\x01".join(parts))
-            found.append((first, len(pieces), h))
+            if within < 2:
+                (found if tag in _BLOCK else inline[-1]).append((first, len(pieces), h))
             hashes[-1].append(h.to_bytes(8, "little"))
+            if tag in _MAIN and _MAIN.isdisjoint(tags):
+                mains.append(hashes[-1][-1])
 
     while at < n:
         m = _TAG.search(page, at)
@@ -113,9 +135,14 @@ def subtrees(page: str) -> tuple[list[str], list[tuple[int, int, int]], int]:
         tags.append(tag)
         firsts.append(len(pieces))
         hashes.append([])
+        runs.append(False)
+        inline.append([])
+        inside.append(1 if tag in _MAIN else 2 if tag in _PART and inside[-1] else inside[-1])
     while len(tags) > 1:
         close()
-    return pieces, found, _HASH(b"\x01".join(hashes[0]))
+    if not runs[0]:
+        found.extend(inline[0])
+    return pieces, found, _HASH(b"\x01".join(mains or hashes[0]))
 
 
 def text_without(page: str, templates: frozenset[int] | set[int]) -> tuple[str, int]:
@@ -171,33 +198,72 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     return counts.where("h <> 0").join(whole, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "h")
 
 
-_OUT_DDL = "page_id long, url string, text string, n_removed long"
+_OWN = pa.schema([("host", pa.string()), ("page", pa.int64()), ("h", pa.int64())])
 
 
 @K.trimmed
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for page, known in zip(batch.column(2), batch.column(3)):
-            page = page.as_py()
-            known = known.as_py()
-            rows.append((None, 0) if page is None else text_without(page, {x & 0xFFFFFFFFFFFFFFFF for x in known or ()}))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["page_id", "url", "text", "n_removed"])
+        hosts, pages, hs = [], [], []
+        for host, key, page in zip(*(batch.column(i) for i in range(3))):
+            own = {_signed(h) for _, _, h in subtrees(page.as_py())[1]}
+            hosts += [host.as_py()] * len(own)
+            pages += [key.as_py()] * len(own)
+            hs += own
+            if len(hosts) > 200_000:
+                yield pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(pages, pa.int64()), pa.array(hs, pa.int64())], schema=_OWN)
+                hosts, pages, hs = [], [], []
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(hs, pa.int64())], schema=_OWN)
+
+
+_OUT_DDL = "page_id long, url string, text string, n_removed long"
+
+
+def _extract(by_host=None):
+    """Columns: page_id, url, html, and the host, whose templates ``by_host`` has, or the page's own templates."""
+
+    @K.trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[str, frozenset[int]] = {}
+        for batch in batches:
+            rows = []
+            for page, key in zip(batch.column(2), batch.column(3)):
+                page, key = page.as_py(), key.as_py()
+                if page is None:
+                    rows.append((None, 0))
+                    continue
+                if by_host is None:
+                    known = {x & 0xFFFFFFFFFFFFFFFF for x in key or ()}
+                else:
+                    known = sets.get(key)
+                    if known is None:
+                        known = sets[key] = frozenset(by_host.value[key].view(np.uint64).tolist()) if key in by_host.value else frozenset()
+                rows.append(text_without(page, known))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["page_id", "url", "text", "n_removed"])
+
+    return run
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """``page_id, url, text, n_removed`` for each row of ``pages``, repeated ones too.
 
-    A host's templates are fewer than the elements of a page divided by ``min_share``, however many
-    pages it has. They are broadcast while there are few in all, and joined by host otherwise.
+    Templates are broadcast while there are few in all. Otherwise they are joined to the elements of each page, so that a row
+    never carries more than the templates on its page, however many its host has.
 
     Defined results: a null page has a null text; an empty one, or one without text, the empty text. A page whose URL is
     null or has no host is extracted whole and counts for no host. Other columns play no part.
     """
-    known = cut(templates(pages, min_pages, min_share).groupBy("host").agg(F.collect_list("h").alias("known"), F.count("h").alias("n")))
-    total = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    known = known.select("host", "known")
-    if total <= BROADCAST_TEMPLATES:
-        known = F.broadcast(known)
+    known = cut(templates(pages, min_pages, min_share))
     wide = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
-    return wide.join(known, "host", "left").select("page_id", "url", "html", "known").mapInArrow(_extract, _OUT_DDL)
+    if known.count() <= BROADCAST_TEMPLATES:
+        table = known.toArrow()
+        hosts = table["host"].combine_chunks().dictionary_encode()
+        which, hs = hosts.indices.to_numpy(zero_copy_only=False), table["h"].to_numpy()
+        o = np.argsort(which, kind="stable")
+        parts = np.split(hs[o], np.cumsum(np.bincount(which, minlength=len(hosts.dictionary)))[:-1])
+        by_host = pages.sparkSession.sparkContext.broadcast(dict(zip(hosts.dictionary.to_pylist(), parts)))
+        return wide.select("page_id", "url", "html", "host").mapInArrow(_extract(by_host), _OUT_DDL)
+    wide = wide.withColumn("page", F.xxhash64("html"))
+    own = wide.where("html is not null and host <> ''").select("host", "page", "html").mapInArrow(_hashes, "host string, page long, h long")
+    own = own.join(known, ["host", "h"]).groupBy("host", "page").agg(F.collect_set("h").alias("known"))
+    return wide.join(own, ["host", "page"], "left").select("page_id", "url", "html", "known").mapInArrow(_extract(), _OUT_DDL)

@@ -33,6 +33,27 @@ def test_copies_of_a_page_count_once(spark):
     assert len(got) == 20 and all("Text number 1" in r["text"] and r["n_removed"] == 0 for r in got)
 
 
+@pytest.mark.parametrize("sections", [12, 60])
+@pytest.mark.parametrize("limit", [0, 10**9])
+def test_section_templates_go_and_articles_stay_at_any_size(spark, monkeypatch, sections, limit):
+    monkeypatch.setattr(H, "BROADCAST_TEMPLATES", limit)
+    rows = []
+
+    def add(section: int, article: str) -> int:
+        nav = f"<nav><ul><li><a href=/{section}>Section {section}</a><li><a href=/s>Sub {section}</a></ul></nav>"
+        rows.append((len(rows), "https://big.example.com/x", f"<body>{nav}<div class=ad>Buy {section}</div><article>{article}</article><footer>Desk {section}</footer></body>"))
+        return len(rows) - 1
+
+    want = {}
+    for s in range(sections):
+        for i in range(5):  # a share of 8 % of the small host, 1.6 % of the large one
+            at = add(s, f"<h1>Title {s} {i}</h1><p>Story {s}/{i} is <b>very</b> <a href=/>long <i>indeed</i></a>.</p><table><tr><td>Age<td>{s}.{i}</table>")
+            want[at] = f"Title {s} {i}\nStory {s}/{i} is very long indeed.\nAge\n{s}.{i}"
+        want[add(s, "<h1>Agency</h1><p>Printed in each section.</p>")] = "Agency\nPrinted in each section."
+    got = {r["page_id"]: (r["text"], r["n_removed"]) for r in H.extract(frame(spark, rows)).collect()}
+    assert got == {i: (text, 3) for i, text in want.items()}
+
+
 def test_templates_against_brute_force(spark):
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     seen, whole = defaultdict(set), defaultdict(set)
