@@ -9,8 +9,8 @@ queue is a file with a region per symbol; pushes and pops move whole blocks. The
 tuple is one more than the least common prefix met since the last push to its symbol, so LCP values
 come along with the suffixes on every level.
 
-Arrays longer than ``memory`` entries live in files that are mapped, not read, so a
-shard may be far larger than memory.
+Queues, digits and the sweep's result that are longer than ``memory`` entries live in files that are mapped, not read. The text, its types,
+names and ranks are in memory; ``suffix_dedup`` therefore gives a large shard in parts.
 
 Symbols of a large alphabet are written as two digits, to bound the number of regions. The recursion ends where the string of
 names is short or no longer shrinks (a word repeated many times names itself again); prefix
@@ -51,6 +51,37 @@ class Store:
         self._dir.cleanup()
 
 
+class Column:
+    """An array that grows at its end, in a file of the store from ``memory`` entries on."""
+
+    def __init__(self, store: Store, kind):
+        self.store, self.kind = store, np.dtype(kind)
+        self.n = 0
+        self.held: list[np.ndarray] = []
+        self.file = None
+
+    def add(self, x: np.ndarray) -> None:
+        self.n += len(x)
+        self.held.append(np.ascontiguousarray(x, self.kind))
+        if self.n > self.store.memory:
+            if self.file is None:
+                self.store.files += 1
+                self.file = open(os.path.join(self.store._dir.name, f"{self.store.files}.bin"), "w+b")
+            for part in self.held:
+                part.tofile(self.file)
+            self.held.clear()
+
+    def array(self) -> np.ndarray:
+        """All of it; nothing is added afterwards."""
+        if self.file is None:
+            return np.concatenate(self.held) if self.held else np.zeros(0, self.kind)
+        with self.file as f:
+            f.flush()
+            out = np.memmap(f, self.kind, "r+", shape=(self.n,))
+        os.unlink(f.name)
+        return out
+
+
 class BucketQueue:
     """A monotone priority queue of (suffix, common prefix) tuples with one region per first symbol."""
 

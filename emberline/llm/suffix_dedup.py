@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -204,89 +205,140 @@ def spill_folder() -> str | None:
     return None
 
 
+def _best(words: np.ndarray, size: np.ndarray, lead: np.ndarray, anchor: np.ndarray, k: int, memory: int) -> np.ndarray:
+    """Where each window of some kinds of chunk, laid end to end, occurs first: id, text hash, word. All kinds of an anchor are among them."""
+    at = np.cumsum(size) - size
+    o = np.argsort(anchor, kind="stable")
+    start = np.flatnonzero(np.r_[True, anchor[o][1:] != anchor[o][:-1]])
+    same = np.diff(np.r_[start, len(o)])
+    mixed = np.zeros(len(size), bool)
+    mixed[o] = np.repeat(same > 1, same)
+    # group of each window of each kind
+    wins = size - k + 1
+    w_at = np.cumsum(wins) - wins
+    total = int(wins.sum())
+    group = np.arange(total)
+    which = np.flatnonzero(mixed)
+    if len(which):
+        n = size[which] + 1  # and a separator
+        lay = np.cumsum(n) - n
+        length = int(n.sum())
+        text = np.ones(length + 1, np.int64)
+        body = np.repeat(lay - (np.cumsum(size[which]) - size[which]), size[which]) + np.arange(int(size[which].sum()))
+        pick = np.repeat(at[which] - (np.cumsum(size[which]) - size[which]), size[which]) + np.arange(len(body))
+        text[body] = np.unique(words[pick], return_inverse=True)[1] + 2
+        text[-1] = 0
+        store = induced.Store(spill_folder(), memory)
+        try:
+            sa, lcp = induced.suffix_array(text, store)
+            number = np.cumsum(np.asarray(lcp) < k)
+            of = np.empty(len(sa), np.int64)
+            of[sa] = number
+        finally:
+            store.close()
+        del sa, lcp, number, text
+        n_w = wins[which]
+        src = np.repeat(lay - (np.cumsum(n_w) - n_w), n_w) + np.arange(int(n_w.sum()))
+        dst = np.repeat(w_at[which] - (np.cumsum(n_w) - n_w), n_w) + np.arange(len(src))
+        group[dst] = total + of[src]
+    # the first occurrence in each group: that of a kind is its least place
+    owner = np.repeat(np.arange(len(size)), wins)
+    offset = np.arange(total) - w_at[owner]
+    o = np.lexsort((lead[owner, 2] + offset, lead[owner, 1], lead[owner, 0], group))
+    new = np.r_[True, group[o][1:] != group[o][:-1]]
+    best = np.empty(total, np.int64)
+    best[o] = np.repeat(o[new], np.diff(np.r_[np.flatnonzero(new), total]))
+    return np.stack([lead[owner[best], 0], lead[owner[best], 1], lead[owner[best], 2] + offset[best]], 1)
+
+
+def _parts(size: np.ndarray, anchor: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Kinds of chunk by whole anchors, about ``most`` words at once."""
+    o = np.argsort(anchor, kind="stable")
+    start = np.flatnonzero(np.r_[True, anchor[o][1:] != anchor[o][:-1]])
+    part = np.cumsum(np.add.reduceat(size[o], start)) // most
+    at = start[np.flatnonzero(np.r_[True, part[1:] != part[:-1]])].tolist()
+    for a, b in zip(at, [*at[1:], len(o)]):
+        yield np.sort(o[a:b])
+
+
 def _windows(k: int, memory: int):
-    """Duplicate windows of a shard, in runs of neighbours."""
+    """Duplicate windows of a shard, in runs of neighbours.
+
+    Chunks are read as they come. The words of each kind of chunk are kept once, and these, the occurrences and the
+    windows' first places lie in files from ``memory`` entries on. Windows are compared in parts of whole anchors.
+    """
+    most, step, known = max(memory // 4, 1), max(memory // 128, 64), max(memory // 16, 16)
 
     @K.trimmed
-    def run(table: pa.Table) -> pa.Table:
-        meta = _cat(table["d"], np.int64).reshape(-1, 5)
-        words = _cat(table["c"], np.uint32)
-        del table
-        if not len(meta):
-            return _RUN.empty_table()
-        size = meta[:, 4]
-        at = np.cumsum(size) - size
-        # equal chunks of an anchor: one kind
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = induced.Store(spill_folder(), memory)
+        try:
+            yield from search(batches, store)
+        finally:
+            store.close()
+
+    def search(batches: Iterator[pa.RecordBatch], store: induced.Store) -> Iterator[pa.RecordBatch]:
+        words, sizes, by_anchor, seen = (induced.Column(store, kind) for kind in (np.uint32, np.int64, np.int64, np.int64))
         kinds: dict[bytes, int] = {}
-        kind = np.empty(len(meta), np.int64)
-        for i, (a, n) in enumerate(zip(at.tolist(), size.tolist())):
-            kind[i] = kinds.setdefault(words[a : a + n].tobytes(), len(kinds))
+        many = 0
+        for batch in batches:
+            for c, d in zip(batch.column(batch.schema.get_field_index("c")), batch.column(batch.schema.get_field_index("d"))):
+                own, meta = np.frombuffer(c.as_buffer(), np.uint32), np.frombuffer(d.as_buffer(), np.int64).reshape(-1, 5)
+                kind, new = np.empty(len(meta), np.int64), []
+                ends = np.cumsum(meta[:, 4])
+                for i, (a, b) in enumerate(zip((ends - meta[:, 4]).tolist(), ends.tolist())):
+                    key = xxhash.xxh3_128_digest(own[a:b])
+                    kind[i] = x = kinds.setdefault(key, many)
+                    if x == many:
+                        many += 1
+                        new.append(i)
+                if new:
+                    words.add(np.concatenate([own[ends[i] - meta[i, 4] : ends[i]] for i in new]))
+                    sizes.add(meta[new, 4])
+                    by_anchor.add(meta[new, 0])
+                seen.add(np.column_stack([kind, meta[:, 1:4]]).ravel())
+                if len(kinds) > known:  # a kind that comes again is another, which the suffix array finds equal
+                    kinds.clear()
         kinds.clear()
-        o = np.lexsort((meta[:, 3], meta[:, 2], meta[:, 1], kind))
-        meta, kind, at, size = meta[o], kind[o], at[o], size[o]
-        again = np.r_[False, (kind[1:] == kind[:-1]) & (meta[1:, 1:4] == meta[:-1, 1:4]).all(1)]
-        meta, kind, at, size = meta[~again], kind[~again], at[~again], size[~again]
-        first = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]])
-        times = np.diff(np.r_[first, len(kind)])
-        by_anchor = meta[first, 0]
-        o = np.argsort(by_anchor, kind="stable")
-        start = np.flatnonzero(np.r_[True, by_anchor[o][1:] != by_anchor[o][:-1]])
-        same = np.diff(np.r_[start, len(o)])
-        mixed = np.zeros(len(first), bool)
-        mixed[o] = np.repeat(same > 1, same)
-        # group of each window of each kind
-        k_size, k_at = size[first], at[first]
-        wins = k_size - k + 1
+        if not many:
+            return
+        words, size, by_anchor, seen = words.array(), sizes.array(), by_anchor.array(), seen.array().reshape(-1, 4)
+        at = np.cumsum(size) - size
+        wins = size - k + 1
         w_at = np.cumsum(wins) - wins
-        total = int(wins.sum())
-        group = np.arange(total)
-        which = np.flatnonzero(mixed)
-        if len(which):
-            n = k_size[which] + 1  # and a separator
-            lay = np.cumsum(n) - n
-            length = int(n.sum())
-            text = np.ones(length + 1, np.int64)
-            body = np.repeat(lay - (np.cumsum(k_size[which]) - k_size[which]), k_size[which]) + np.arange(int(k_size[which].sum()))
-            pick = np.repeat(k_at[which] - (np.cumsum(k_size[which]) - k_size[which]), k_size[which]) + np.arange(len(body))
-            text[body] = np.unique(words[pick], return_inverse=True)[1] + 2
-            text[-1] = 0
-            store = induced.Store(spill_folder(), memory)
-            try:
-                sa, lcp = induced.suffix_array(text, store)
-                number = np.cumsum(np.asarray(lcp) < k)
-                of = np.empty(len(sa), np.int64)
-                of[sa] = number
-            finally:
-                store.close()
-            del sa, lcp, number, text
-            n_w = wins[which]
-            src = np.repeat(lay - (np.cumsum(n_w) - n_w), n_w) + np.arange(int(n_w.sum()))
-            dst = np.repeat(w_at[which] - (np.cumsum(n_w) - n_w), n_w) + np.arange(len(src))
-            group[dst] = total + of[src]
-        # the first occurrence in each group: kinds are sorted so that their first chunk has their least place
-        owner = np.repeat(np.arange(len(first)), wins)
-        offset = np.arange(total) - w_at[owner]
-        lead = meta[first]
-        o = np.lexsort((lead[owner, 3] + offset, lead[owner, 2], lead[owner, 1], group))
-        new = np.r_[True, group[o][1:] != group[o][:-1]]
-        head = np.repeat(o[new], np.diff(np.r_[np.flatnonzero(new), total]))
-        best = np.empty(total, np.int64)
-        best[o] = head
-        b_k, b_th, b_pos = lead[owner[best], 1], lead[owner[best], 2], lead[owner[best], 3] + offset[best]
+        # each kind's least place
+        lead = store.array(3 * many, np.int64).reshape(-1, 3)
+        lead[:] = np.iinfo(np.int64).max
+        for a in range(0, len(seen), step):
+            s = seen[a : a + step]
+            s = s[np.lexsort((s[:, 3], s[:, 2], s[:, 1], s[:, 0]))]
+            s = s[np.r_[True, s[1:, 0] != s[:-1, 0]]]
+            have = lead[s[:, 0]]
+            x, y = s[:, 1:], have
+            less = (x[:, 0] < y[:, 0]) | (x[:, 0] == y[:, 0]) & ((x[:, 1] < y[:, 1]) | (x[:, 1] == y[:, 1]) & (x[:, 2] < y[:, 2]))
+            lead[s[less, 0]] = x[less]
+        best = store.array(3 * int(wins.sum()), np.int64).reshape(-1, 3)
+        for part in _parts(size, by_anchor, most):
+            pick = np.repeat(at[part] - (np.cumsum(size[part]) - size[part]), size[part]) + np.arange(int(size[part].sum()))
+            found = _best(words[pick], size[part], lead[part], by_anchor[part], k, memory)
+            n = wins[part]
+            best[np.repeat(w_at[part] - (np.cumsum(n) - n), n) + np.arange(len(found))] = found
         # all occurrences but the first
-        reps = np.repeat(np.arange(len(kind)), size - k + 1)
-        place = np.arange(len(reps)) - np.repeat(np.cumsum(size - k + 1) - (size - k + 1), size - k + 1)
-        w = w_at[np.repeat(np.arange(len(first)), times)][reps] + place
-        pos = meta[reps, 3] + place
-        dup = (meta[reps, 1] != b_k[w]) | (meta[reps, 2] != b_th[w]) | (pos != b_pos[w])
-        reps, w, pos = reps[dup], w[dup], pos[dup]
-        if not len(reps):
-            return _RUN.empty_table()
-        fk, fp = b_k[w], b_pos[w]
-        cut = np.flatnonzero(np.r_[True, (reps[1:] != reps[:-1]) | (pos[1:] != pos[:-1] + 1) | (fk[1:] != fk[:-1]) | (fp[1:] - pos[1:] != fp[:-1] - pos[:-1])])
-        last = np.r_[cut[1:], len(reps)] - 1
-        cols = [meta[reps[cut], 1], meta[reps[cut], 2], pos[cut], pos[last] + k, fk[cut], fp[cut]]
-        return pa.Table.from_arrays([pa.array(c) for c in cols], schema=_RUN)
+        for a in range(0, len(seen), step):
+            s = seen[a : a + step]
+            n = wins[s[:, 0]]
+            reps = np.repeat(np.arange(len(s)), n)
+            place = np.arange(len(reps)) - np.repeat(np.cumsum(n) - n, n)
+            b = best[w_at[s[reps, 0]] + place]
+            pos = s[reps, 3] + place
+            dup = (s[reps, 1] != b[:, 0]) | (s[reps, 2] != b[:, 1]) | (pos != b[:, 2])
+            reps, pos, fk, fp = reps[dup], pos[dup], b[dup, 0], b[dup, 2]
+            if not len(reps):
+                continue
+            cut = np.flatnonzero(np.r_[True, (reps[1:] != reps[:-1]) | (pos[1:] != pos[:-1] + 1) | (fk[1:] != fk[:-1]) | (fp[1:] - pos[1:] != fp[:-1] - pos[:-1])])
+            last = np.r_[cut[1:], len(reps)] - 1
+            cols = [s[reps[cut], 1], s[reps[cut], 2], pos[cut], pos[last] + k, fk[cut], fp[cut]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c)) for c in cols], schema=_RUN)
 
     return run
 

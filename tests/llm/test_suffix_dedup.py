@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import odd
@@ -113,3 +116,49 @@ def test_empty_table(spark):
     assert S.repeated_passages(odd.empty(spark)).count() == 0
     got = S.remove_passages(odd.empty(spark))
     assert got.count() == 0 and got.columns == odd.empty(spark).columns
+
+
+SHARD = """
+import resource, sys
+import numpy as np
+import pyarrow as pa
+from emberline.llm import suffix_dedup as S
+
+K, SIZE, COPIES = 50, 66, 4
+memory, chunks, room = (int(x) for x in sys.argv[1:])
+
+
+def batches():
+    r = np.random.default_rng(5)
+    for first in range(0, chunks, 2000):
+        # two kinds of chunk for each anchor: the second begins with another word; each comes COPIES times
+        n = 2000 // (2 * COPIES)
+        words = np.repeat(r.integers(1, 1 << 31, (n, SIZE)).astype(np.uint32), 2 * COPIES, axis=0)
+        words[1::2, 0] += 1
+        ids = first + np.arange(len(words))
+        anchor = np.repeat(first + np.arange(n), 2 * COPIES)
+        meta = np.column_stack([anchor, ids, ids, np.zeros(len(ids)), np.full(len(ids), SIZE)]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((0, b"", words.tobytes(), meta.tobytes(), b""), (pa.int32(), *[pa.binary()] * 4))], names=list("bacde"))
+
+
+list(S._windows(K, 1 << 12)(x for _, x in zip(range(1), batches())))  # what the libraries take
+if room:
+    data = next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith("VmData:")) << 10
+    resource.setrlimit(resource.RLIMIT_DATA, (data + (room << 20),) * 2)
+rows = 0
+for out in S._windows(K, memory)(batches()):
+    k, start, fk = (out.column(i).to_numpy() for i in (0, 2, 4))
+    group = k // (2 * COPIES) * (2 * COPIES)
+    # windows from the second word on are those of the anchor's first chunk; a second kind's own first word stays once
+    assert ((fk == group) | (fk == group + 1) & (start == 0)).all()
+    rows += len(k)
+print(rows)
+"""
+
+
+def test_a_shard_far_above_memory_keeps_to_a_memory_limit(tmp_path):
+    """2 million words of chunks, 30 times ``memory``, in 48 MB."""
+    env = {**os.environ, "SPARK_LOCAL_DIRS": str(tmp_path), "OPENBLAS_NUM_THREADS": "1"}
+    done = subprocess.run([sys.executable, "-c", SHARD, str(1 << 16), "30000", "48"], cwd=os.path.dirname(S.__file__) + "/../..", env=env, capture_output=True, text=True, timeout=300)
+    # for each anchor: three copies of the first kind, the second kind's windows, and three copies of it in two runs
+    assert (done.stdout.strip(), done.stderr) == (str(3750 * (3 + 1 + 3 * 2)), "")
