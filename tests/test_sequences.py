@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import os
 import random
 from dataclasses import replace
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
@@ -146,10 +148,13 @@ def write_stream(spark, df, path):
 
 
 def source(spark, rows, path):
-    """Rows as a stream of several files, one to a batch."""
+    """Rows as a stream of several files, one to a batch; the last row, which moves the watermark past all others, comes last."""
     df = frame(spark, rows)
-    for i, part in enumerate(df.randomSplit([1.0] * 4, seed=1)):
-        part.coalesce(1).write.mode("append").parquet(f"{path}/{i}")
+    last = df.where(F.col("event_id") == len(rows))
+    for i, part in enumerate([*df.where(F.col("event_id") < len(rows)).randomSplit([1.0] * 4, seed=1), last]):
+        part.coalesce(1).write.parquet(f"{path}/{i}")
+        for file in Path(path, str(i)).glob("*.parquet"):  # a file source reads files in the order of their times
+            os.utime(file, (1_700_000_000 + 10 * i,) * 2)
     raw = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
     return raw.withColumn("time", F.timestamp_micros(F.expr("ts_mono_ns div 1000")))
 
