@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,28 @@ def pieces(n: int, each: int, least: int = 1) -> int:
     return max(least, math.ceil(n / each))
 
 
+def spread(spark: SparkSession, n: int) -> np.ndarray:
+    """``n`` numbers that Spark's hash partitioning deals evenly to the session's shuffle partitions.
+
+    They stand for buckets of about one size, so that no task gets several by chance. Only balance hangs on them: with another number of
+    partitions, or beyond 4096 buckets, where chance spreads them well enough, they are as good as any.
+    """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if n > 4096:
+        return np.arange(n, dtype=np.int32)
+    x = np.arange(max(64, 4 * (n + parts)) * 4, dtype=np.uint32)
+    k = x * np.uint32(0xCC9E2D51)
+    k = (k << np.uint32(15) | k >> np.uint32(17)) * np.uint32(0x1B873593) ^ np.uint32(42)
+    h = (k << np.uint32(13) | k >> np.uint32(19)) * np.uint32(5) + np.uint32(0xE6546B64) ^ np.uint32(4)
+    h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+    h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+    part = (h ^ h >> np.uint32(16)).view(np.int32).astype(np.int64) % parts
+    o = np.argsort(part, kind="stable")
+    turn = np.empty(len(x), np.int64)  # how many numbers of the same partition come before
+    turn[o] = np.arange(len(x)) - np.searchsorted(part[o], part[o])
+    return np.lexsort((part, turn))[:n].astype(np.int32)
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """The two columns that text searches need, as ``k`` and ``t``; rows where either is null are left out."""
     return docs.select(F.col("doc_id").cast("long").alias("k"), F.col("text").cast("string").alias("t")).where("k is not null and t is not null")

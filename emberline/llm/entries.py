@@ -42,7 +42,7 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_pairs(documents(spark, sf_dir))
+    return ngram_join.linked(documents(spark, sf_dir))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,16 +91,19 @@ ORACLE_SQL: dict[str, str] = {
         SELECT u.page_id, u.url, b.rule_id, coalesce(b.action, 'allow') AS action, coalesce(b.n_rules, 0) AS n_rules
         FROM u LEFT JOIN b USING (n)""",
     "op7_ngram_jaccard_join": f"""
-        WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
         g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5
                   THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
                   WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS gram FROM w),
         n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
         p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS overlap
-              FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2)
-        SELECT doc_a, doc_b, overlap, overlap::DOUBLE / (x.n + y.n - overlap) AS jaccard
-        FROM p JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b
-        WHERE overlap::DOUBLE / (x.n + y.n - overlap) >= 0.4""",
+              FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        q AS (SELECT doc_a, doc_b FROM p JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b
+              WHERE overlap::DOUBLE / (x.n + y.n - overlap) >= 0.4),
+        l AS (SELECT doc_a AS a, doc_b AS b FROM q UNION ALL SELECT doc_b, doc_a FROM q),
+        c AS (SELECT DISTINCT a, a AS z FROM l UNION SELECT l.b, c.z FROM c JOIN l ON l.a = c.a)
+        SELECT a AS doc_id, min(z) AS class_id, any_value(k) AS n_links
+        FROM c JOIN (SELECT a, count(*) AS k FROM l GROUP BY a) USING (a) GROUP BY a""",
     "op10_suffix_array_dedup": f"""
         WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
         v AS (SELECT doc_id, unnest(range(0, len(ws) - 49)) AS i, ws FROM w WHERE len(ws) >= 50),

@@ -1,9 +1,10 @@
-"""All pairs of documents whose sets of word n-grams have a Jaccard similarity of at least a threshold.
+"""Documents whose sets of word n-grams have a Jaccard similarity of at least a threshold.
 
 The document-by-n-gram incidence matrix is multiplied with its transpose in blocks:
 
 1. ``_emit`` makes the n-gram set of every document and sends the incidence to buckets of the n-gram
-   space. Documents with equal sets share one signature from here on, so exact copies cost one row.
+   space. Documents with equal sets share one signature from here on, so exact copies cost one row; who holds
+   which set is a table of its own, which Spark aggregates before it shuffles, so a set that a third of all documents hold is no burden.
 2. ``_shared`` keeps, in each bucket, the n-grams that two sets hold at least.
 3. ``_rows`` puts the rows of the matrix together again and drops the sets that hold too few shared
    n-grams for any partner: an overlap of ``ceil(t * size)`` is needed whatever the partner's size.
@@ -13,13 +14,15 @@ The document-by-n-gram incidence matrix is multiplied with its transpose in bloc
    enough. A pair's bound counts them as if all were common; for the pairs left they are compared.
 
 The result is exact but for collisions of hashes (of at least 20 bits more than it takes to number
-all n-grams).
+all n-grams). Similar sets are linked, and what is linked is one class (``linked``): pairs are never written out for documents, only for
+different sets.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,18 +30,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm import textkit as K
-from emberline.llm.common import cut, id_text, pieces
+from emberline.llm.common import cut, forget, id_text, pieces, spread
 
 NGRAM = 5
 THRESHOLD = 0.4
 HEAVY = 200
-DOCS_PER_BUCKET = 8000
+DOCS_PER_BUCKET = 4000
 FLUSH_GRAMS = 2_500_000
 
 _HOLD = [("b", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("c", pa.binary()), ("d", pa.binary())]
 _BLOBS = pa.schema(_HOLD)
 _DDL = "b int, kind int, a binary, c binary, d binary"
-#: kinds of rows: 0 members (doc, signature, size), 1 incidence
+#: kinds of rows: 0 members (doc, signature, size), in any bucket; 1 incidence
 _MEMBERS, _INCIDENCE = 0, 1
 
 
@@ -75,7 +78,9 @@ def document_sets(words: np.ndarray, doc: np.ndarray, n: int):
     return g, d, d[at], size, sig
 
 
-def _emit(n: int, buckets: int, key_bits: int):
+def _emit(n: int, labels: np.ndarray, key_bits: int):
+    buckets = len(labels)
+
     @K.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -86,12 +91,7 @@ def _emit(n: int, buckets: int, key_bits: int):
             if not held:
                 return
             ids, sigs, sizes = (np.concatenate([h[i] for h in held]) for i in range(3))
-            to = (sigs % np.uint64(buckets)).astype(np.int64)
-            rows = []
-            by = np.argsort(to, kind="stable")
-            for b, lo, hi in _runs(to[by]):
-                m = by[lo:hi]
-                rows.append((b, _MEMBERS, ids[m].tobytes(), sigs[m].tobytes(), sizes[m].astype(np.int32).tobytes()))
+            rows = [(int(labels[int(sigs[0]) % buckets]), _MEMBERS, ids.tobytes(), sigs.tobytes(), sizes.astype(np.int32).tobytes())]
             # one incidence row per distinct set
             g = np.concatenate([h[3] for h in held])
             row = np.repeat(np.arange(len(sigs)), sizes)
@@ -111,7 +111,7 @@ def _emit(n: int, buckets: int, key_bits: int):
             for b, lo, hi in _runs(bucket):
                 used, local = np.unique(row[lo:hi], return_inverse=True)
                 local = local.astype(np.uint16 if len(used) <= 65536 else np.uint32)
-                rows.append((b, _INCIDENCE, packed[lo:hi].tobytes(), local.tobytes(), sigs[used].tobytes()))
+                rows.append((int(labels[b]), _INCIDENCE, packed[lo:hi].tobytes(), local.tobytes(), sigs[used].tobytes()))
                 if len(rows) >= 64:
                     yield _batch(rows)
                     rows = []
@@ -152,35 +152,40 @@ def _incidence(table: pa.Table, wide: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(sigs)
 
 
-ROUTES = 4096
-_SLOTS = np.int64(1 << 19)
+#: an n-gram's number in its bucket has 31 bits: its route and its place there
+_ROUTE_BITS = 20
+_ROUTES = 1 << _ROUTE_BITS
+_PLACES = 1 << (31 - _ROUTE_BITS)
 
 
 def _numbers(leader: np.ndarray, keep: np.ndarray) -> np.ndarray:
-    """Numbers below 2**31 for the n-grams to keep, the upper 12 bits drawn from the first set that holds the n-gram.
+    """Numbers below 2**31 for the n-grams to keep, their upper bits, the route, drawn from the first set that holds the n-gram.
 
-    N-grams that the same sets hold mostly have one leader, and the product is blocked by those bits, so
+    N-grams that the same sets hold mostly have one leader, and the product is blocked by routes, so
     that the overlap of a pair comes together in few blocks. A full route gives its n-grams to the next free numbers.
     """
     out = np.zeros(len(leader), np.uint32)
     at = np.flatnonzero(keep)
-    route = (K.mix(leader[at]) >> np.uint64(52)).astype(np.int64)
+    route = (K.mix(leader[at]) >> np.uint64(64 - _ROUTE_BITS)).astype(np.int64)
     o = np.argsort(route, kind="stable")
     r = route[o]
     place = np.arange(len(r)) - np.searchsorted(r, r)
-    number = r * _SLOTS + place
-    over = np.flatnonzero(place >= _SLOTS)
+    number = r * _PLACES + place
+    over = np.flatnonzero(place >= _PLACES)
     if len(over):
-        used = np.bincount(r, minlength=ROUTES)
-        free = np.concatenate([np.arange(min(c, int(_SLOTS)), int(_SLOTS)) + i * int(_SLOTS) for i, c in enumerate(used.tolist())])
-        number[over] = free[: len(over)]
+        used = np.sort(number[place < _PLACES])
+        gap = np.diff(np.r_[-1, used, 1 << 31]) - 1  # free numbers before each used one and after the last
+        before = np.cumsum(gap)
+        nth = np.arange(len(over))
+        g = np.searchsorted(before, nth, side="right")
+        number[over] = np.r_[-1, used][g] + 1 + nth - (before[g] - gap[g])
     out[at[o]] = number.astype(np.uint32)
     return out
 
 
-def _shared(buckets: int, key_bits: int, heavy: int):
+def _shared(labels: np.ndarray, key_bits: int, heavy: int):
     """For a bucket of n-grams: those in two sets at least, sent to the buckets of their sets."""
-    wide = (key_bits + 7) // 8
+    wide, buckets = (key_bits + 7) // 8, len(labels)
 
     @K.trimmed
     def run(table: pa.Table) -> pa.Table:
@@ -212,63 +217,68 @@ def _shared(buckets: int, key_bits: int, heavy: int):
             code = np.repeat(rank | ((count > heavy).astype(np.uint32) << np.uint32(31)), count)
             take = np.repeat(keep, count)
             code, sig = code[take], sig[take]
-            o = np.lexsort((sig, sig % np.uint64(buckets)))
+            o = np.lexsort((sig, sig.view(np.int64) % buckets))
             code, sig = code[o], sig[o]
             at = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, np.int64)
             size = np.diff(np.r_[at, len(sig)])
             own = sig[at]
-            to = (own % np.uint64(buckets)).astype(np.int64)
+            to = own.view(np.int64) % buckets
             head = np.array([bucket], np.uint64).tobytes()
             for b, x, y in _runs(to):
                 lo, hi = at[x], at[y - 1] + size[y - 1]
-                out.append((b, _INCIDENCE, head + code[lo:hi].tobytes(), size[x:y].astype(np.uint32).tobytes(), own[x:y].tobytes()))
+                out.append((int(labels[b]), _INCIDENCE, head + code[lo:hi].tobytes(), size[x:y].astype(np.uint32).tobytes(), own[x:y].tobytes()))
         return pa.Table.from_batches([_batch(out)]) if out else _BLOBS.empty_table()
 
     return run
 
 
-_ROW_DDL = "sig long, n int, h int, docs array<long>, light binary, heavy array<long>"
-_ROW = pa.schema([("sig", pa.int64()), ("n", pa.int32()), ("h", pa.int32()), ("docs", pa.list_(pa.int64())), ("light", pa.binary()), ("heavy", pa.list_(pa.int64()))])
+_MEMBER_DDL = "k long, sig long, n int"
+_MEMBER = pa.schema([("k", pa.int64()), ("sig", pa.int64()), ("n", pa.int32())])
 
 
-def _rows(t: float):
-    """Rows of the matrix: sets with several documents, or with enough shared n-grams for a partner."""
+@K.trimmed
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document and its set."""
+    for batch in batches:
+        for a, c, d in zip(*(batch.column(i) for i in range(3))):
+            yield pa.RecordBatch.from_arrays([pa.array(_u(x.as_buffer(), f.type.to_pandas_dtype())) for x, f in zip((a, c, d), _MEMBER)], schema=_MEMBER)
 
-    @K.trimmed
-    def run(table: pa.Table) -> pa.Table:
-        docs, sigs, sizes, codes, owner = [], [], [], [], []
-        for kind, a, c, d in zip(*(table[x].to_pylist() for x in ("kind", "a", "c", "d"))):
-            if kind == _MEMBERS:
-                docs.append(_u(a, np.int64))
-                sigs.append(_u(c, np.uint64))
-                sizes.append(_u(d, np.int32))
-            else:
-                bucket = int(_u(a[:8], np.uint64)[0])
-                code = _u(a[8:], np.uint32).astype(np.int64)
-                # bit 62: heavy; then the bucket and the n-gram's number in it
-                codes.append(((code >> 31) << 62) | (bucket << 31) | (code & 0x7FFFFFFF))
-                owner.append(np.repeat(_u(d, np.uint64), _u(c, np.uint32)))
-        if not docs:
+
+_ROW_DDL = "sig long, n int, h int, light binary, heavy array<long>"
+_ROW = pa.schema([("sig", pa.int64()), ("n", pa.int32()), ("h", pa.int32()), ("light", pa.binary()), ("heavy", pa.list_(pa.int64()))])
+
+
+def _rows(t: float):
+    """Rows of the matrix: sets with enough shared n-grams for a partner. ``incidence`` and the sizes of sets are of one bucket."""
+
+    def run(incidence: pa.Table, sets: pa.Table) -> pa.Table:
+        try:
+            return rows(incidence, sets)
+        finally:
+            K.trim()
+
+    def rows(incidence: pa.Table, sets: pa.Table) -> pa.Table:
+        codes, owner = [], []
+        for a, c, d in zip(*(incidence[x].to_pylist() for x in ("a", "c", "d"))):
+            bucket = int(_u(a[:8], np.uint64)[0])
+            code = _u(a[8:], np.uint32).astype(np.int64)
+            # bit 62: heavy; then the bucket and the n-gram's number in it
+            codes.append(((code >> 31) << 62) | (bucket << 31) | (code & 0x7FFFFFFF))
+            owner.append(np.repeat(_u(d, np.int64), _u(c, np.uint32)))
+        if not codes or not sets.num_rows:
             return _ROW.empty_table()
-        doc, sig, size = np.concatenate(docs), np.concatenate(sigs), np.concatenate(sizes)
-        o = np.lexsort((doc, sig))
-        doc, sig, size = doc[o], sig[o], size[o]
-        at = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-        ends = np.r_[at[1:], len(sig)]
-        own, n = sig[at], size[at]
-        code = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-        who = np.concatenate(owner) if owner else np.zeros(0, np.uint64)
+        own, n = sets["sig"].to_numpy(), sets["n"].to_numpy()
+        code, who = np.concatenate(codes), np.concatenate(owner)
         o = np.lexsort((code, who))
         code, who = code[o], who[o]
         lo, hi = np.searchsorted(who, own), np.searchsorted(who, own, side="right")
         need = np.ceil(t * n - 1e-9).astype(np.int64)
         cols: list[list] = [[] for _ in _ROW]
-        for i in np.flatnonzero((hi - lo >= need) | (ends - at > 1)).tolist():
-            mine = code[lo[i] : hi[i]] if hi[i] - lo[i] >= need[i] else code[:0]
+        for i in np.flatnonzero(hi - lo >= np.maximum(need, 1)).tolist():
+            mine = code[lo[i] : hi[i]]
             first_heavy = int(np.searchsorted(mine, 1 << 62))
             heavy = mine[first_heavy:] & ((1 << 62) - 1)
-            members = np.unique(doc[at[i] : ends[i]])
-            for col, v in zip(cols, (int(own[i].view(np.int64)), int(n[i]), len(heavy), members.tolist(), mine[:first_heavy].tobytes(), heavy.tolist())):
+            for col, v in zip(cols, (int(own[i]), int(n[i]), len(heavy), mine[:first_heavy].tobytes(), heavy.tolist())):
                 col.append(v)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ROW)], schema=_ROW)
 
@@ -279,17 +289,17 @@ _ENTRY_DDL = "b int, code binary, sig binary, n binary, h binary"
 _ENTRY = pa.schema([("b", pa.int32()), ("code", pa.binary()), ("sig", pa.binary()), ("n", pa.binary()), ("h", pa.binary())])
 
 
-def _entries(t: float, buckets: int):
+def _entries(t: float, labels: np.ndarray):
     """Incidence for the product: light n-grams of all rows, heavy ones of rows that may match by them alone."""
 
     def flush(code, sig, n, h):
         code, sig, n, h = map(np.concatenate, (code, sig, n, h))
-        b = (((code >> 19) & (ROUTES - 1)) * buckets // ROUTES).astype(np.int64)
+        b = ((code >> (31 - _ROUTE_BITS)) & (_ROUTES - 1)) * len(labels) >> _ROUTE_BITS
         o = np.argsort(b, kind="stable")
         rows = []
         for i, lo, hi in _runs(b[o]):
             p = o[lo:hi]
-            rows.append((i, code[p].tobytes(), sig[p].tobytes(), n[p].tobytes(), h[p].tobytes()))
+            rows.append((int(labels[i]), code[p].tobytes(), sig[p].tobytes(), n[p].tobytes(), h[p].tobytes()))
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ENTRY)], schema=_ENTRY)
 
     @K.trimmed
@@ -297,7 +307,7 @@ def _entries(t: float, buckets: int):
         held: tuple[list, list, list, list] = ([], [], [], [])
         many = 0
         for batch in batches:
-            for sig, n, h, light, heavy in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5))):
+            for sig, n, h, light, heavy in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 code = _u(light, np.int64)
                 if h and h >= math.ceil(t * n - 1e-9):
                     code = np.r_[code, np.array(heavy, np.int64) | (1 << 62)]
@@ -388,19 +398,33 @@ def _product(t: float):
     return run
 
 
-def set_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
-    """Distinct n-gram sets (``sig, n, docs``) and pairs of them (``a, b, n_a, n_b, overlap``), ``a < b``.
+class Sets(NamedTuple):
+    """Distinct n-gram sets: who holds which, their sizes, and the pairs of similar ones."""
 
-    Sets without partners and with one document are left out. Documents without any word have no set.
-    """
+    #: k, sig: documents and their sets, each once
+    members: DataFrame
+    #: sig, n, rep, copies: size of a set, the least document that holds it, and how many do
+    classes: DataFrame
+    #: a < b, n_a, n_b, overlap
+    pairs: DataFrame
+
+
+def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, heavy: int = HEAVY) -> Sets:
+    """The n-gram sets of ``docs``. Documents without any word have none."""
+    spark = docs.sparkSession
     many = docs.count()
-    buckets = pieces(many, DOCS_PER_BUCKET, 4)
+    labels = spread(spark, pieces(many, DOCS_PER_BUCKET, 4))
+    buckets = len(labels)
     key_bits = min(56, max(24, math.ceil(math.log2(max(2, many) * 600 / buckets)) + 20))
-    blobs = id_text(docs).mapInArrow(_emit(n, buckets, key_bits), _DDL)
-    shared = blobs.groupBy("b").applyInArrow(_shared(buckets, key_bits, heavy), _DDL)
-    blocks = min(buckets, ROUTES)
-    rows = cut(shared.groupBy("b").applyInArrow(_rows(threshold), _ROW_DDL))
-    counts = rows.where("h > 0 or length(light) > 0").mapInArrow(_entries(threshold, blocks), _ENTRY_DDL).groupBy("b").applyInArrow(_product(threshold), _PAIR_DDL)
+    shared = cut(id_text(docs).mapInArrow(_emit(n, labels, key_bits), _DDL).groupBy("b").applyInArrow(_shared(labels, key_bits, heavy), _DDL))
+    members = cut(shared.where(F.col("kind") == _MEMBERS).select("a", "c", "d").mapInArrow(_members, _MEMBER_DDL).distinct())
+    classes = cut(members.groupBy("sig").agg(F.first("n").alias("n"), F.min("k").alias("rep"), F.count("*").alias("copies")))
+    place = F.pmod("sig", F.lit(buckets)).cast("int")
+    bucket_of = place if buckets > 4096 else F.element_at(F.lit(labels.tolist()), place + 1)
+    sizes = classes.select(bucket_of.alias("b"), "sig", "n")
+    incidence = shared.where(F.col("kind") == _INCIDENCE)
+    rows = cut(incidence.groupBy("b").cogroup(sizes.groupBy("b")).applyInArrow(_rows(threshold), _ROW_DDL))
+    counts = rows.mapInArrow(_entries(threshold, labels[: _ROUTES]), _ENTRY_DDL).groupBy("b").applyInArrow(_product(threshold), _PAIR_DDL)
     need = F.ceil((F.col("n_a") + F.col("n_b")) * threshold / (1 + threshold) - 1e-9)
     alone = lambda x: F.col(f"h_{x}") >= F.ceil(F.col(f"n_{x}") * threshold - 1e-9)
     summed = counts.groupBy("a", "b", "n_a", "n_b", "h_a", "h_b").agg(F.sum("light").alias("light"), F.sum("heavy").alias("heavy")).where(F.col("light") + F.least("h_a", "h_b") >= need)
@@ -414,61 +438,76 @@ def set_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, hea
         .join(hard.select(F.col("sig").alias("b"), F.col("heavy").alias("y")), "b")
         .select("a", "b", "n_a", "n_b", (F.col("light") + F.size(F.array_intersect("x", "y"))).cast("long").alias("overlap"))
     )
-    pairs = done.unionByName(open_).where(F.col("overlap") >= need)
-    return rows.select("sig", "n", "docs"), pairs
-
-
-def jaccard_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, heavy: int = HEAVY) -> DataFrame:
-    """All pairs of documents with a similarity of at least ``threshold``: ``doc_a < doc_b, overlap, jaccard``.
-
-    Defined results: rows with a null ``doc_id`` or ``text`` are in no pair; nor are texts without a
-    word. A text of fewer than ``n`` words has one n-gram, all of its words. Rows that repeat a
-    ``doc_id`` count as texts of one document; a document makes no pair with itself, and a pair found
-    through several of its texts is given once, with the highest similarity. Other columns play no part; an
-    empty table gives no pairs.
-    """
-    sets, pairs = set_pairs(docs, n, threshold, heavy)
-    x, y = F.explode("x").alias("x"), F.explode("y").alias("y")
-    inside = sets.where("size(docs) > 1").select("n", F.posexplode("docs").alias("i", "doc_a"), "docs")
-    inside = inside.select("doc_a", F.explode(F.slice("docs", F.col("i") + 2, F.size("docs"))).alias("doc_b"), F.col("n").cast("long").alias("overlap"), F.lit(1.0).alias("jaccard"))
-    across = pairs.join(sets.select(F.col("sig").alias("a"), F.col("docs").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("docs").alias("y")), "b")
-    across = across.select(x, "y", "n_a", "n_b", "overlap").select("x", y, "n_a", "n_b", "overlap").where("x <> y")
-    across = across.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "overlap", (F.col("overlap") / (F.col("n_a") + F.col("n_b") - F.col("overlap"))).alias("jaccard"))
-    found = inside.unionByName(across)
-    # a pair can only come twice if a doc_id has several texts
-    if sets.select(F.explode("docs").alias("doc")).groupBy("doc").count().where("count > 1").isEmpty():
-        return found
-    return found.groupBy("doc_a", "doc_b").agg(F.max_by("overlap", "jaccard").alias("overlap"), F.max("jaccard").alias("jaccard"))
+    pairs = cut(done.unionByName(open_).where(F.col("overlap") >= need))
+    for done_with in (shared, rows, summed):
+        forget(done_with)
+    return Sets(members.select("k", "sig"), classes, pairs)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (``a, b``): ``node, label``, the label being the least node.
 
     Labels go to neighbours and then jump along themselves until none changes, so the rounds grow with
-    the logarithm of a component's diameter in practice. Each round's labels are written to the scratch folder.
+    the logarithm of a component's diameter in practice. Each round's labels are written to the scratch folder, and the last round's go.
     """
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    old = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
+        labels = old.select("node", "label")
         near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = step.alias("s").join(labels.select(F.col("node").alias("at"), F.col("label").alias("far")), F.col("label") == F.col("at"), "left")
         new = cut(jump.select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")))
+        forget(old)
         if new.where("label <> old").isEmpty():
+            forget(both)
             return new.select("node", "label")
-        labels = new.select("node", "label")
+        old = new
+
+
+def representatives(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
+    """Membership (``doc_id, rep``: the least document with the same n-gram set) and pairs of representatives (``rep_a, rep_b, overlap, jaccard``).
+
+    Together these are all pairs of similar documents: two documents are similar where they have one representative (then the similarity is
+    1) or where theirs are a pair. Odd input is taken as ``linked`` does.
+    """
+    s = similar_sets(docs, n, threshold, heavy)
+    rep = s.classes.select("sig", "rep")
+    both = s.pairs.join(rep.select(F.col("sig").alias("a"), F.col("rep").alias("x")), "a").join(rep.select(F.col("sig").alias("b"), F.col("rep").alias("y")), "b")
+    pairs = both.select(F.least("x", "y").alias("rep_a"), F.greatest("x", "y").alias("rep_b"), "overlap", (F.col("overlap") / (F.col("n_a") + F.col("n_b") - F.col("overlap"))).alias("jaccard"))
+    return s.members.join(rep, "sig").select(F.col("k").alias("doc_id"), "rep"), pairs
+
+
+def linked(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, heavy: int = HEAVY) -> DataFrame:
+    """``doc_id, class_id, n_links`` for each document that is similar to another, ``threshold`` or more.
+
+    ``n_links`` is the number of documents that it is similar to, copies counted one by one. A class is what links connect, and
+    ``class_id`` the least ``doc_id`` in it. Documents without a link are left out.
+
+    Defined results: rows with a null ``doc_id`` or ``text`` take no part; nor do texts without a word. A text of fewer than
+    ``n`` words has one n-gram, all of its words; texts may be as long as a cell holds. Rows that repeat ``doc_id`` and n-grams are one. A ``doc_id`` with several
+    texts is in one class with what any of them is similar to, and its links, those between its own texts too, add up. Other columns play no part; an
+    empty table gives no rows.
+    """
+    s = similar_sets(docs, n, threshold, heavy)
+    # a document with several sets holds them together
+    own = s.members.groupBy("k").agg(F.min("sig").alias("a"), F.max("sig").alias("z")).where("a <> z").select("k", "a")
+    several = s.members.join(own, "k").where("sig <> a").select("a", F.col("sig").alias("b"))
+    parts = components(s.pairs.select("a", "b").unionByName(several))
+    least = parts.join(s.classes.select(F.col("sig").alias("node"), "rep"), "node").groupBy("label").agg(F.min("rep").alias("class_id"))
+    copies = s.classes.select(F.col("sig").alias("b"), "copies")
+    each = s.pairs.select("a", "b").unionByName(s.pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(copies, "b").groupBy(F.col("a").alias("sig")).agg(F.sum("copies").alias("more"))
+    info = s.classes.join(parts.select(F.col("node").alias("sig"), "label"), "sig", "left").where("copies > 1 or label is not null").join(least, "label", "left").join(each, "sig", "left")
+    info = cut(info.select("sig", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links")))
+    # a set that very many documents hold is a skewed key here; the join is split by AQE, and only its rows are ever in a task
+    return s.members.join(info, "sig").groupBy(F.col("k").alias("doc_id")).agg(F.min("class_id").alias("class_id"), F.sum("n_links").alias("n_links")).where("n_links > 0")
 
 
 def drop_near_copies(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, heavy: int = HEAVY) -> DataFrame:
-    """``docs`` with one document of each group of near copies: the one with the least ``doc_id``.
+    """``docs`` with one document of each class of ``linked``: the one with the least ``doc_id``.
 
-    A group is a connected component under similarity of at least ``threshold``. Columns and other
-    rows stay as they are, rows with a null ``doc_id`` or ``text`` among them; of rows that repeat a
-    ``doc_id``, all stay or all go.
+    Columns and other rows stay as they are, rows with a null ``doc_id`` or ``text`` among them; of rows that repeat a
+    ``doc_id``, all stay or all go. An empty table stays empty.
     """
-    sets, pairs = set_pairs(docs, n, threshold, heavy)
-    star = sets.where("size(docs) > 1").select(F.explode("docs").alias("b"), F.array_min("docs").alias("a")).where("a <> b")
-    least = sets.select("sig", F.array_min("docs").alias("doc"))
-    across = pairs.join(least.select(F.col("sig").alias("a"), F.col("doc").alias("x")), "a").join(least.select(F.col("sig").alias("b"), F.col("doc").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    gone = components(star.select("a", "b").unionByName(across)).where("node <> label").select(F.col("node").alias("__gone"))
+    gone = linked(docs, n, threshold, heavy).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

@@ -1,13 +1,18 @@
 from __future__ import annotations
 
+import itertools
 import random
+from collections import Counter, defaultdict
 
+import numpy as np
 import odd
 import pytest
 from brute import jaccard_pairs, near_copies
 from compare import rows_of
+from pyspark.sql import functions as F
 
 from emberline.llm import ngram_join as J
+from emberline.llm.common import spread
 
 
 def corpus(seed: int, n: int) -> list[tuple[int, str]]:
@@ -25,42 +30,94 @@ def corpus(seed: int, n: int) -> list[tuple[int, str]]:
     return out
 
 
-def as_dict(df):
-    return {(r["doc_a"], r["doc_b"]): (r["overlap"], round(r["jaccard"], 9)) for r in df.collect()}
+def all_pairs(docs, **how):
+    """All pairs of documents, from memberships and the pairs of representatives, which each come once."""
+    member, pairs = J.representatives(docs, **how)
+    held = defaultdict(list)
+    for r in member.collect():
+        held[r["rep"]].append(r["doc_id"])
+    found = {(x, y): 1.0 for own in held.values() for x, y in itertools.combinations(sorted(own), 2)}
+    rows = pairs.collect()
+    assert len({(r["rep_a"], r["rep_b"]) for r in rows}) == len(rows)
+    for r in rows:
+        for x, y in itertools.product(held[r["rep_a"]], held[r["rep_b"]]):
+            found[min(x, y), max(x, y)] = round(r["jaccard"], 9)
+    return found
+
+
+def classes_of(pairs):
+    """What the links of brute force make of classes: {document: (class, links)}."""
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    links = Counter(itertools.chain.from_iterable(pairs))
+    return {x: (find(x), links[x]) for x in links}
+
+
+def as_classes(df):
+    rows = df.collect()
+    assert len({r["doc_id"] for r in rows}) == len(rows)
+    return {r["doc_id"]: (r["class_id"], r["n_links"]) for r in rows}
 
 
 @pytest.mark.parametrize(("seed", "heavy"), [(1, 200), (2, 3), (3, 1)])
-def test_pairs_are_those_of_brute_force(spark, seed, heavy):
+def test_pairs_and_classes_are_those_of_brute_force(spark, seed, heavy):
     """``heavy`` of a few sends most n-grams the other way round."""
     docs = corpus(seed, 150)
-    want = {k: (o, round(j, 9)) for k, (o, j) in jaccard_pairs(docs).items()}
-    got = J.jaccard_pairs(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), heavy=heavy)
-    assert len(want) > 100
-    assert got.count() == len(want)
-    assert as_dict(got) == want
+    pairs = jaccard_pairs(docs)
+    assert len(pairs) > 100
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert all_pairs(df, heavy=heavy) == {k: round(j, 9) for k, (_, j) in pairs.items()}
+    assert as_classes(J.linked(df, heavy=heavy)) == classes_of(pairs)
 
 
 def test_thousands_of_copies(spark):
-    docs = [(i, "one two three four five six seven") for i in range(300)] + [(i, "one two three four five six seven eight") for i in range(300, 400)]
-    got = J.jaccard_pairs(spark.createDataFrame(docs, "doc_id long, text string"))
-    assert got.count() == 400 * 399 // 2
-    kept = J.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string"))
-    assert [r["doc_id"] for r in kept.collect()] == [0]
+    docs = [(i, "one two three four five six seven") for i in range(3000)] + [(i, "one two three four five six seven eight") for i in range(3000, 4000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert as_classes(J.linked(df)) == {i: (0, 3999) for i in range(4000)}
+    assert [r["doc_id"] for r in J.drop_near_copies(df).collect()] == [0]
 
 
 def test_odd_documents(spark):
-    want = {k: (o, round(j, 9)) for k, (o, j) in jaccard_pairs([r[:2] for r in odd.rows()]).items()}
-    got = J.jaccard_pairs(odd.documents(spark))
-    assert as_dict(got) == want and got.count() == len(want)
-    assert (1, 2) in want and (9, 10) in want
+    docs = odd.documents(spark)
+    got = as_classes(J.linked(docs))
+    assert got == classes_of(jaccard_pairs([r[:2] for r in odd.rows()]))
+    assert got[1][0] == got[2][0] == 1 and got[9] == got[10] == (9, 1)
+
+
+def test_a_document_with_several_texts_is_in_one_class(spark):
+    a, b = odd.prose(1, 60), odd.prose(2, 60)
+    docs = [(5, a), (1, b), (1, a), (7, b), (3, odd.prose(3, 60)), (3, odd.prose(4, 60))]
+    assert as_classes(J.linked(spark.createDataFrame(docs, "doc_id long, text string"))) == {1: (1, 2), 5: (1, 1), 7: (1, 1)}
 
 
 def test_empty_table(spark):
-    assert J.jaccard_pairs(odd.empty(spark)).count() == 0
+    assert J.linked(odd.empty(spark)).count() == 0
     kept = J.drop_near_copies(odd.empty(spark))
     assert kept.count() == 0 and kept.columns == odd.empty(spark).columns
 
 
+def test_full_routes_give_numbers_to_the_next_free_ones():
+    leader = np.r_[np.full(5000, 7, np.uint64), np.arange(3000, dtype=np.uint64)]
+    keep = np.ones(len(leader), bool)
+    keep[::10] = False
+    number = J._numbers(leader, keep)[keep]
+    assert len(np.unique(number)) == len(number) and number.max() < 1 << 31
+
+
+def test_labels_spread_over_partitions(spark):
+    labels = spread(spark, 12)
+    parts = spark.createDataFrame([(int(x),) for x in labels], "b int").select(F.pmod(F.hash("b"), F.lit(4)).alias("p")).groupBy("p").count().collect()
+    assert sorted(r["count"] for r in parts) == [3, 3, 3, 3] and len(set(labels.tolist())) == 12
+
+
 def test_one_of_each_group_stays(spark):
     docs = corpus(4, 150)
     kept = J.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string"))
