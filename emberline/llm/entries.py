@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from emberline.llm import ann, html_text, mixing, ngram_join, packing, quality_net, quality_rules, suffix_dedup, token_counts, url_rules
@@ -26,7 +27,7 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir))
+    return packing.pack(documents(spark, sf_dir), tokens=token_counts.n_tokens(spark, F.col("text")))
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,10 +13,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberline.llm import textkit as K
 from emberline.llm.common import pieces
 
 CAPACITY = 2048
@@ -65,24 +66,22 @@ def sum_of_squares(sizes: Iterable[int], capacity: int) -> Iterator[tuple[int, i
 
 
 _DDL = "window_id long, doc_id long, piece long, first_token long, n_tokens long, window_offset long"
+_OUT = pa.schema([(x.split()[0], pa.int64()) for x in _DDL.split(", ")])
 
 
 def _pack(capacity: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["k", "th"], kind="stable", na_position="last")
-        sizes = pdf["n"].to_numpy()
+    @K.trimmed
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("k", "ascending"), ("th", "ascending"), ("n", "ascending")])  # null ids come last
+        sizes = table["n"].to_numpy()
         rows = np.array(list(sum_of_squares(sizes.tolist(), capacity)), np.int64).reshape(-1, 5)
-        base = int(pdf["shard"].iloc[0]) << 40
-        ids = pdf["k"].to_numpy(dtype="float64", na_value=np.nan) if pdf["k"].isna().any() else pdf["k"].to_numpy()
-        keys = pd.array(pdf["k"].astype("Int64"))
-        del ids
-        first = rows[:, 1] * capacity
-        out = pd.DataFrame({"window_id": pd.array(rows[:, 2] + base, "Int64"), "doc_id": keys[rows[:, 0]], "piece": rows[:, 1], "first_token": first, "n_tokens": rows[:, 4], "window_offset": rows[:, 3]})
+        item, piece, window, offset, n = rows.T
+        base = table["shard"][0].as_py() << 40
         none = np.flatnonzero(sizes <= 0)
-        if len(none):
-            empty = pd.DataFrame({"window_id": pd.array([None] * len(none), "Int64"), "doc_id": keys[none], "piece": 0, "first_token": 0, "n_tokens": 0, "window_offset": 0})
-            out = pd.concat([out, empty], ignore_index=True)
-        return out
+        keys = table["k"].combine_chunks().take(pa.array(np.r_[item, none]))
+        zero = np.zeros(len(none), np.int64)
+        windows = pa.array(np.r_[window + base, zero], mask=np.r_[np.zeros(len(item), bool), np.ones(len(none), bool)])
+        return pa.Table.from_arrays([windows, keys, *(pa.array(np.r_[x, zero]) for x in (piece, piece * capacity, n, offset))], schema=_OUT)
 
     return run
 
@@ -92,11 +91,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, docs_per_shard: int = DOCS_P
 
     ``tokens`` counts a document's tokens, words unless given. In a shard, documents come in order of ``doc_id``, then of a
     hash of the text; a null ``doc_id`` comes last. Every row is packed, rows that repeat others too.
-    Documents without tokens, null texts among them, get one row with a null ``window_id``. An empty table gives no rows.
+    Documents without tokens, null texts among them, get one row with a null ``window_id``. A text of more than ``capacity`` tokens, however
+    long, fills windows of its own and shares the last. Other columns play no part. An empty table gives no rows.
     """
     if capacity < 2:
         raise ValueError("capacity must be 2 at least")
     shards = pieces(docs.count(), docs_per_shard)
     n = F.coalesce(tokens.cast("long"), F.lit(0)) if tokens is not None else word_count(F.col("text").cast("string"))
     narrow = docs.select(F.col("doc_id").cast("long").alias("k"), F.xxhash64(F.col("text").cast("string")).alias("th"), n.alias("n"))
-    return narrow.withColumn("shard", F.pmod(F.xxhash64("k", "th"), F.lit(shards))).groupBy("shard").applyInPandas(_pack(capacity), _DDL)
+    return narrow.withColumn("shard", F.pmod(F.xxhash64("k", "th"), F.lit(shards))).groupBy("shard").applyInArrow(_pack(capacity), _DDL)

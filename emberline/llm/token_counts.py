@@ -10,12 +10,14 @@ The vocabulary file is read by the driver and broadcast (its size is fixed), so
 from __future__ import annotations
 
 import base64
+import functools
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.llm import textkit as K
@@ -87,18 +89,41 @@ class Counter:
         return n, len(found), len(found) - len(rest)
 
 
+@functools.lru_cache(maxsize=4)
+def _proved(vocabulary: str, changed: int, pattern: str) -> tuple[dict[bytes, int], frozenset[str]]:
+    ranks = read_ranks(vocabulary)
+    return ranks, whole_tokens(ranks, pattern)
+
+
+def _share(spark: SparkSession, vocabulary: str, pattern: str):
+    """Vocabulary and proofs as a broadcast; a vocabulary is proved once in a process, unless its file changes."""
+    return spark.sparkContext.broadcast((*_proved(vocabulary, os.stat(vocabulary).st_mtime_ns, pattern), pattern))
+
+
+def n_tokens(spark: SparkSession, text: Column, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> Column:
+    """The number of tokens of ``text`` as a column; null for a null text, 0 for an empty one."""
+    shared = _share(spark, vocabulary, pattern)
+
+    def count(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        counter = Counter(*shared.value)
+        for part in texts:
+            yield pa.array([None if t is None else counter.count(t)[0] for t in (x.as_py() for x in part)], pa.int64())
+        K.trim()
+
+    count.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(count, "long")(text.cast("string"))
+
+
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_pretokens", pa.int64()), ("n_whole", pa.int64())])
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """``doc_id, n_tokens, n_pretokens, n_whole`` for each row of ``docs``: one row each, repeated ones too.
 
-    An empty text has no tokens; a null text has null counts. ``doc_id`` may be null. Other columns play no part. Strings that look
+    An empty text has no tokens; a null text has null counts; texts of any length are counted whole. ``doc_id`` may be null. Other columns play no part. Strings that look
     like special tokens are ordinary text.
     """
-    spark: SparkSession = docs.sparkSession
-    ranks = read_ranks(vocabulary)
-    shared = spark.sparkContext.broadcast((ranks, whole_tokens(ranks, pattern), pattern))
+    shared = _share(docs.sparkSession, vocabulary, pattern)
 
     @K.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,9 +6,11 @@ from collections import defaultdict
 import brute
 import odd
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 from emberline.llm import packing as P
+from emberline.llm import token_counts as T
 
 
 @pytest.mark.parametrize("capacity", [2, 7, 64, 300])
@@ -61,6 +63,20 @@ def test_odd_documents(spark):
     assert sum(r["n_tokens"] for r in rows if r["doc_id"] == 2) == 240  # both rows
 
 
+def test_large_ids_beside_null_ones(spark):
+    ids = [2**53 + 1, 2**53 + 3, None, -(2**62) - 1]
+    rows = P.pack(spark.createDataFrame([(i, "a b c") for i in ids], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] for r in rows), key=str) == sorted(ids, key=str)
+
+
+def test_windows_of_tokens(spark):
+    vocabulary = T.read_ranks(T.VOCABULARY)
+    exact = tiktoken.Encoding("t", pat_str=T.PATTERN, mergeable_ranks=vocabulary, special_tokens={})
+    docs = [r[:2] for r in odd.rows() if r[0] != 11]
+    rows = P.pack(spark.createDataFrame(docs, "doc_id long, text string"), tokens=T.n_tokens(spark, F.col("text"))).collect()
+    check_windows(rows, P.CAPACITY, sum(len(exact.encode_ordinary(t)) for _, t in docs if t))
+
+
 def test_empty_table_and_wrong_capacity(spark):
     assert P.pack(odd.empty(spark)).count() == 0
     with pytest.raises(ValueError):
