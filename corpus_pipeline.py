@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from emberline.llm import mixing, ngram_join, packing, quality_net, suffix_dedup
+from emberline.llm import mixing, ngram_join, packing, quality_net, suffix_dedup, token_counts
 from emberline.llm.common import cut
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -33,8 +34,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into windows."""
-    return packing.pack(docs)
+    """Packs the documents into windows of tokens."""
+    return packing.pack(docs, tokens=token_counts.n_tokens(spark, F.col("text")))
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -50,6 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``: pieces of documents and the windows that they are in, as ``packing.pack`` gives them.
+
+    Each stage's output is written to the scratch folder and read again. Defined results: a row with a null ``doc_id`` passes the searches for copies and
+    passages untouched; a null or empty text is judged by the share of good labels, has no copy and no passage, costs the mixture nothing, and comes out with a
+    null ``window_id``. Texts are processed whole, however long. Of equal rows the copies go where their ``doc_id`` differs; rows that repeat a ``doc_id`` stay or go
+    together. The mixture reads one epoch, so that no document is in two windows unless it is longer than one. Columns beyond those of ``documents`` are carried
+    to the last stage, whatever their names. An empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
