@@ -1,14 +1,20 @@
-"""Approximate nearest neighbours of all vectors by cosine, with a forest of random-projection trees.
+"""Approximate nearest neighbours by cosine, with a forest of random-projection trees.
 
-Each tree cuts a bounded sample of the vectors in halves by the direction between two random ones of them, down to leaves.
-The forest has a bounded number of nodes, so it can be broadcast. Every vector goes to its leaf in each tree. As a query it
-walks all trees through one priority queue, whose keys are the least margins by which the path to a node
-was taken, until it has reached ``probes`` leaves in all. Queries and members meet in the leaves: a matrix product gives
-the exact similarities there, and the best of all leaves are ranked.
+A tree halves the vectors by the direction between two random ones of them, again and again, down to leaves of ``LEAF`` vectors. The top of
+the forest is grown from a bounded sample of the vectors, so that it can be broadcast; where a leaf of the sample stands for more
+than ``LEAF`` vectors, the tree goes on inside the leaf, among all of its vectors. Every vector is in one leaf of each tree.
 
-How many leaves a query has to reach depends on the vectors: a few where they form clusters, half of all where they
+A query walks all trees through one priority queue. The key of a node is the greatest of the query's signed distances from the planes on
+the way, each taken positive where the way leaves the query's side; the queue gives nodes by least key, until ``probes`` leaves
+are reached. The key of the last one also tells how far the query goes inside of leaves. There, it is compared exactly with all vectors,
+and the best of all leaves are ranked.
+
+How many leaves a query has to reach depends on the vectors: a few where they form clusters, a large share where they
 are spread evenly in many dimensions. So ``probes`` is the least number with which a sample of queries, compared with all
-vectors, finds the wanted share of its true neighbours.
+vectors, finds the wanted share of its true neighbours. Where trees go on inside of leaves the share is measured again there, and the number raised until it is met.
+
+Leaves lie in buckets of neighbouring leaves, which are the tasks: a vector goes to one bucket for each tree, a query once to each bucket
+that has leaves for it. Very many queries go in waves, so that a task's part of them is bounded.
 """
 
 from __future__ import annotations
@@ -19,20 +25,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.llm import textkit as K
-from emberline.llm.common import pieces
+from emberline.llm.common import pieces, spread
 
 K_NEIGHBOURS = 10
 TREES = 4
-LEAF = 4096
+LEAF = 256
 RECALL = 0.95
+#: queries by which ``probes`` is found
 TRIED = 256
-MAX_SAMPLE = 1 << 16
-#: leaves of a tree at most; with more vectors than this many leaves of LEAF hold, leaves grow
-MAX_LEAVES = 4096
+#: vectors at most from which the top of the forest is grown; all vectors are indexed
+MAX_SAMPLE = 1 << 18
+#: vectors of the sample in a leaf at least
+LEAST_SAMPLE = 16
+ROWS_PER_BUCKET = 50_000
+QUERIES_PER_WAVE = 500_000
+FLUSH = 16_384
 SEED = 5
 
 
@@ -54,23 +65,28 @@ class Forest:
             side = np.einsum("ij,ij->i", x[inner], self.normal[node]) > self.offset[node]
             at[inner] = self.child[node, side.astype(np.int64)]
 
-    def search(self, margins: list[float], probes: int) -> list[int]:
-        """The leaves that a query reaches first; ``margins`` are its signed distances from all nodes' planes."""
+    def search(self, margins: list[float], probes: int) -> tuple[list[int], list[float]]:
+        """The leaves that a query reaches first, and their keys; ``margins`` are its signed distances from all nodes' planes."""
         heap = [(-np.inf, root) for root in self.roots]
         heapq.heapify(heap)
         child = self.children
         found: list[int] = []
+        keys: list[float] = []
         push, pop = heapq.heappush, heapq.heappop
         while heap and len(found) < probes:
             key, node = pop(heap)
             if node < 0:
                 found.append(~node)
+                keys.append(key)
                 continue
             m = margins[node]
             left, right = child[node]
             push(heap, (max(key, m), left))
             push(heap, (max(key, -m), right))
-        return found
+        return found, keys
+
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        return x @ self.normal.T - self.offset if len(self.normal) else np.zeros((len(x), 0), np.float32)
 
     @property
     def children(self) -> list[list[int]]:
@@ -79,6 +95,23 @@ class Forest:
         return self._children
 
 
+def halves(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, float, np.ndarray] | None:
+    """A plane across the direction between two random ones of ``x``, at the median, and which lie beyond it; None if three tries don't tell them apart."""
+    for _ in range(3):
+        a, b = x[rng.choice(len(x), 2, replace=False)]
+        n = a - b
+        size = float(np.linalg.norm(n))
+        if size < 1e-9:
+            continue
+        n = n / size
+        p = x @ n
+        cut_at = float(np.median(p))
+        right = p > cut_at
+        if 0 < right.sum() < len(x):
+            return n, cut_at, right
+    return None
+
+
 def build(sample: np.ndarray, trees: int, leaf: int, seed: int = SEED) -> Forest:
     """A forest whose leaves hold at most ``leaf`` vectors of the sample, unless those can't be told apart."""
     rng = np.random.default_rng(seed)
@@ -89,21 +122,7 @@ def build(sample: np.ndarray, trees: int, leaf: int, seed: int = SEED) -> Forest
         stack = [(np.arange(len(sample)), -1, 0)]
         while stack:
             rows, parent, side = stack.pop()
-            split = None
-            if len(rows) > leaf:
-                for _try in range(3):
-                    a, b = sample[rng.choice(rows, 2, replace=False)]
-                    n = a - b
-                    size = float(np.linalg.norm(n))
-                    if size < 1e-9:
-                        continue
-                    n = n / size
-                    p = sample[rows] @ n
-                    cut = float(np.median(p))
-                    right = p > cut
-                    if 0 < right.sum() < len(rows):
-                        split = n, cut, right
-                        break
+            split = halves(sample[rows], rng) if len(rows) > leaf else None
             if split is None:
                 me = ~leaves
                 leaves += 1
@@ -126,39 +145,82 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-12)
 
 
-_DDL = "leaf int, kind int, ids binary, data binary"
-_BLOB = pa.schema([("leaf", pa.int32()), ("kind", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())])
-_MEMBER, _QUERY = 0, 1
+_DDL = "b int, leaf binary, ids binary, data binary, key binary, most binary"
+_BLOB = pa.schema([("b", pa.int32()), *((c, pa.binary()) for c in ("leaf", "ids", "data", "key", "most"))])
+
+
+def _runs(sorted_: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    at = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(sorted_) else np.zeros(0, np.int64)
+    return zip(sorted_[at].tolist(), at.tolist(), [*at[1:].tolist(), len(sorted_)])
+
+
+def _blobs(bucket: np.ndarray, labels: np.ndarray, columns: list[np.ndarray | None]) -> pa.RecordBatch:
+    """A row for each bucket with its part of each column."""
+    o = np.argsort(bucket, kind="stable")
+    rows = [(int(labels[b]), *(b"" if c is None else np.ascontiguousarray(c[o[lo:hi]]).tobytes() for c in columns)) for b, lo, hi in _runs(bucket[o])]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_BLOB)], schema=_BLOB)
+
+
+def _flushes(batches: Iterator[pa.RecordBatch], d: int, most: int = FLUSH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit vectors, about ``most`` at once."""
+    held, many = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append((batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _matrix(batch.column(1), d)))
+            many += batch.num_rows
+        if many >= most:
+            yield tuple(np.concatenate([h[i] for h in held]) for i in range(2))
+            held, many = [], 0
+    if many:
+        yield tuple(np.concatenate([h[i] for h in held]) for i in range(2))
 
 
-def _emit(shared, d: int, probes: int):
+def _least_copies(ids: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
+    """Rows without those of the same vector as ``most`` others of lesser ids: they can't be among the nearest of anything."""
+    _, same = np.unique(np.ascontiguousarray(x).view([("", np.void, x.shape[1] * 4)]).ravel(), return_inverse=True)
+    o = np.lexsort((ids, same))
+    once = np.r_[True, (same[o][1:] != same[o][:-1]) | (ids[o][1:] != ids[o][:-1])]
+    o = o[once]
+    place = np.arange(len(o)) - np.searchsorted(same[o], same[o])
+    return o[place < most]
+
+
+def _members(shared, labels: np.ndarray, d: int, k: int):
+    """Vectors to the buckets of their leaves. Of equal vectors, those of the least ids go."""
+
     @K.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest: Forest = shared.value
+        for ids, x in _flushes(batches, d):
+            own = _least_copies(ids, x, k + 1)
+            ids, x = ids[own], x[own]
+            for root in forest.roots:
+                leaf = forest.leaf_of(x, root)
+                yield _blobs(leaf * len(labels) // forest.leaves, labels, [leaf.astype(np.int32), ids, x, None, None])
+
+    return run
 
-        def blobs(ids, x, leaf, row, kind) -> pa.RecordBatch:
-            o = np.argsort(leaf, kind="stable")
-            leaf, row = leaf[o], row[o]
-            at = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]])
-            ends = np.r_[at[1:], len(leaf)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(leaf[at].astype(np.int32)), pa.array(np.full(len(at), kind, np.int32)), pa.array([ids[row[a:b]].tobytes() for a, b in zip(at, ends)], pa.binary()), pa.array([x[row[a:b]].tobytes() for a, b in zip(at, ends)], pa.binary())],
-                schema=_BLOB,
-            )
-
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
-                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                x = _matrix(part.column(1), d)
-                n = len(x)
-                if not n:
-                    continue
-                leaf = np.concatenate([forest.leaf_of(x, r) for r in forest.roots])
-                yield blobs(ids, x, leaf, np.tile(np.arange(n), len(forest.roots)), _MEMBER)
-                margins = (x @ forest.normal.T - forest.offset) if len(forest.normal) else np.zeros((n, 0), np.float32)
-                visits = [forest.search(m.tolist(), probes) for m in margins]
-                yield blobs(ids, x, np.concatenate(visits).astype(np.int64), np.repeat(np.arange(n), [len(v) for v in visits]), _QUERY)
+
+def _queries(shared, labels: np.ndarray, d: int, probes: int):
+    """Queries to the buckets of the leaves that they reach: leaf and key of each visit with the query's place, then ids, vectors and last keys."""
+
+    @K.trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest: Forest = shared.value
+        for ids, x in _flushes(batches, d, 2048):
+            visits = [forest.search(m.tolist(), probes) for m in forest.margins(x)]
+            row = np.repeat(np.arange(len(x)), [len(v) for v, _ in visits])
+            leaf = np.array([y for v, _ in visits for y in v], np.int64)
+            key = np.array([y for _, v in visits for y in v], np.float32)
+            last = np.array([v[-1] for _, v in visits], np.float32)
+            bucket = leaf * len(labels) // forest.leaves
+            o = np.lexsort((row, bucket))
+            rows = []
+            for b, lo, hi in _runs(bucket[o]):
+                p = o[lo:hi]
+                who, at = np.unique(row[p], return_inverse=True)
+                rows.append((int(labels[b]), np.stack([leaf[p], at], 1).astype(np.int32).tobytes(), ids[who].tobytes(), x[who].tobytes(), key[p].tobytes(), last[who].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_BLOB)], schema=_BLOB)
 
     return run
 
@@ -167,71 +229,117 @@ _BEST_DDL = "part int, q binary, n binary, s binary"
 _BEST = pa.schema([("part", pa.int32()), ("q", pa.binary()), ("n", pa.binary()), ("s", pa.binary())])
 
 
-def _rank(d: int, k: int, parts: int):
-    """In a leaf: the best members for each query."""
+def _cat(table: pa.Table, name: str, kind) -> np.ndarray:
+    parts = [np.frombuffer(x.as_buffer(), kind) for x in table[name]]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
 
-    @K.trimmed
-    def run(table: pa.Table) -> pa.Table:
-        kind = table["kind"].to_numpy()
-        sets = []
-        for which in (_MEMBER, _QUERY):
-            t = table.filter(pa.array(kind == which))
-            ids = [np.frombuffer(x, np.int64) for x in t["ids"].to_pylist()]
-            x = [np.frombuffer(x, np.float32).reshape(-1, d) for x in t["data"].to_pylist()]
-            sets.append((np.concatenate(ids) if ids else np.zeros(0, np.int64), np.concatenate(x) if x else np.zeros((0, d), np.float32)))
-        (m_ids, m), (q_ids, q) = sets
-        if not len(m_ids) or not len(q_ids):
+
+def _visit(x: np.ndarray, q: np.ndarray, key: np.ndarray, most: np.ndarray, leaf: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sets of vectors of a leaf and of queries to be compared: the tree goes on in the leaf, and queries where their keys allow."""
+    stack = [(np.arange(len(x)), np.arange(len(q)), key, 1)]
+    while stack:
+        rows, who, key, node = stack.pop()
+        # a node's plane is the same whatever queries come
+        split = halves(x[rows], np.random.default_rng((seed, node))) if len(rows) > leaf else None
+        if split is None:
+            yield rows, who
+            continue
+        m = q[who] @ split[0] - np.float32(split[1])
+        for n, (side, away) in enumerate(((~split[2], m), (split[2], -m))):
+            k = np.maximum(key, away)
+            go = np.flatnonzero(k <= most[who])
+            if len(go):
+                stack.append((rows[side], who[go], k[go], 2 * node + n))
+
+
+def _rank(d: int, k: int, parts: int, leaf_size: int):
+    """In a bucket of leaves: the best members for each query."""
+
+    def rank(members: pa.Table, queries: pa.Table) -> pa.Table:
+        if not members.num_rows or not queries.num_rows:
             return _BEST.empty_table()
-        o = np.argsort(m_ids, kind="stable")
-        m_ids, m = m_ids[o], m[o]
-        first = np.r_[True, m_ids[1:] != m_ids[:-1]]
-        m_ids, m = m_ids[first], m[first]
-        got_q, got_n, got_s = [], [], []
-        take = min(k + 1, len(m_ids))
-        for lo in range(0, len(q), 512):
-            s = q[lo : lo + 512] @ m.T
-            if take < len(m_ids):
-                best = np.argpartition(s, len(m_ids) - take, axis=1)[:, len(m_ids) - take :]
-                # where more are as near as the last of the best, the lesser ids go first
-                least = np.take_along_axis(s, best, 1).min(1, keepdims=True)
-                tied = np.flatnonzero((s >= least).sum(1) > take)
-                best[tied] = np.argsort(-s[tied], axis=1, kind="stable")[:, :take]
-            else:
-                best = np.broadcast_to(np.arange(len(m_ids)), s.shape)
-            own = np.repeat(q_ids[lo : lo + 512], take)
-            near = m_ids[best].ravel()
-            sim = np.take_along_axis(s, best, 1).ravel()
-            ok = own != near
-            got_q.append(own[ok])
-            got_n.append(near[ok])
-            got_s.append(sim[ok])
-        qs, ns, ss = np.concatenate(got_q), np.concatenate(got_n), np.concatenate(got_s)
-        to = (qs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts
+        m_leaf, m_ids, m = _cat(members, "leaf", np.int32), _cat(members, "ids", np.int64), _cat(members, "data", np.float32).reshape(-1, d)
+        o = np.lexsort((m_ids, m_leaf))
+        m_leaf, m_ids, m = m_leaf[o], m_ids[o], m[o]
+        size = [len(x) // 8 for x in queries["ids"].to_pylist()]
+        visits = [np.frombuffer(x.as_buffer(), np.int32).reshape(-1, 2) for x in queries["leaf"]]
+        q_ids, q, most, key = _cat(queries, "ids", np.int64), _cat(queries, "data", np.float32).reshape(-1, d), _cat(queries, "most", np.float32), _cat(queries, "key", np.float32)
+        v_leaf = np.concatenate([v[:, 0] for v in visits])
+        v_row = np.concatenate([v[:, 1] + at for v, at in zip(visits, np.cumsum([0, *size[:-1]]))])
+        o = np.argsort(v_leaf, kind="stable")
+        v_leaf, v_row, key = v_leaf[o], v_row[o], key[o]
+        got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        best: tuple[np.ndarray, ...] = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+        pending = 0
+        for leaf, lo, hi in _runs(v_leaf):
+            a, b = np.searchsorted(m_leaf, [leaf, leaf + 1])
+            if a == b:
+                continue
+            x, x_ids = m[a:b], m_ids[a:b]
+            who = v_row[lo:hi]
+            own = np.sort(_least_copies(x_ids, x, k + 1))
+            x, x_ids = x[own], x_ids[own]
+            for rows, of in _visit(x, q[who], key[lo:hi], most[who], 2 * leaf_size, leaf):
+                near, near_ids = x[rows], x_ids[rows]
+                # an id with several vectors must not take the place of others
+                take = min(k + 1, len(rows)) if len(np.unique(near_ids)) == len(rows) else len(rows)
+                for at in range(0, len(of), 512):
+                    w = who[of[at : at + 512]]
+                    s = q[w] @ near.T
+                    if take < len(rows):
+                        top = np.argpartition(s, len(rows) - take, axis=1)[:, len(rows) - take :]
+                        # where more are as near as the last of the best, the lesser ids go first
+                        least = np.take_along_axis(s, top, 1).min(1, keepdims=True)
+                        tied = np.flatnonzero((s >= least).sum(1) > take)
+                        top[tied] = np.argsort(-s[tied], axis=1, kind="stable")[:, :take]
+                    else:
+                        top = np.broadcast_to(np.arange(len(rows)), s.shape)
+                    got.append((np.repeat(w, take), near_ids[top].ravel(), np.take_along_axis(s, top, 1).ravel()))
+                    pending += top.size
+            if pending > 2_000_000:
+                best, got, pending = _top(best, got, k + 1), [], 0
+        row, n, s = _top(best, got, k + 1)
+        qs = q_ids[row]
+        ok = qs != n
+        qs, n, s = qs[ok], n[ok], s[ok]
+        to = (K.mix(qs.view(np.uint64)) >> np.uint64(33)).astype(np.int64) % parts
         o = np.argsort(to, kind="stable")
-        ends = np.searchsorted(to[o], np.arange(parts + 1))
-        rows = [(p, *(c[o[ends[p] : ends[p + 1]]].tobytes() for c in (qs, ns, ss))) for p in range(parts) if ends[p + 1] > ends[p]]
-        return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_BEST)], schema=_BEST)
+        out = [(p, *(c[o[lo:hi]].tobytes() for c in (qs, n, s))) for p, lo, hi in _runs(to[o])]
+        return pa.Table.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_BEST)], schema=_BEST)
+
+    def run(members: pa.Table, queries: pa.Table) -> pa.Table:
+        try:
+            return rank(members, queries)
+        finally:
+            K.trim()
 
     return run
 
 
+def _top(best: tuple[np.ndarray, ...], more: list[tuple[np.ndarray, ...]], most: int) -> tuple[np.ndarray, ...]:
+    """The ``most`` nearest for each query, each once."""
+    q, n, s = (np.concatenate([b, *(m[i] for m in more)]) for i, b in enumerate(best))
+    o = np.lexsort((-s, n, q))
+    q, n, s = q[o], n[o], s[o]
+    once = np.r_[True, (q[1:] != q[:-1]) | (n[1:] != n[:-1])] if len(q) else np.zeros(0, bool)
+    q, n, s = q[once], n[once], s[once]
+    o = np.lexsort((n, -s, q))
+    q, n, s = q[o], n[o], s[o]
+    top = np.arange(len(q)) - np.searchsorted(q, q) < most
+    return q[top], n[top], s[top]
+
+
+_OUT_DDL = "vec_id long, neighbor_id long, rank int, similarity double"
 _OUT = pa.schema([("vec_id", pa.int64()), ("neighbor_id", pa.int64()), ("rank", pa.int32()), ("similarity", pa.float64())])
 
 
 def _merge(k: int):
     @K.trimmed
     def run(table: pa.Table) -> pa.Table:
-        q, n, s = (np.concatenate([np.frombuffer(x, t) for x in table[c].to_pylist()] or [np.zeros(0, t)]) for c, t in (("q", np.int64), ("n", np.int64), ("s", np.float32)))
-        s = np.round(s.astype(np.float64), 6)
-        o = np.lexsort((-s, n, q))
-        q, n, s = q[o], n[o], s[o]
-        once = np.r_[True, (q[1:] != q[:-1]) | (n[1:] != n[:-1])] if len(q) else np.zeros(0, bool)
-        q, n, s = q[once], n[once], s[once]
-        o = np.lexsort((n, -s, q))
-        q, n, s = q[o], n[o], s[o]
+        s = np.round(_cat(table, "s", np.float32).astype(np.float64), 6)
+        q, n, s = _top((_cat(table, "q", np.int64), _cat(table, "n", np.int64), s), [], k)
         rank = np.arange(len(q)) - np.searchsorted(q, q) + 1
-        top = rank <= k
-        return pa.Table.from_arrays([pa.array(q[top]), pa.array(n[top]), pa.array(rank[top].astype(np.int32)), pa.array(s[top])], schema=_OUT)
+        return pa.Table.from_arrays([pa.array(q), pa.array(n), pa.array(rank.astype(np.int32)), pa.array(s)], schema=_OUT)
 
     return run
 
@@ -242,11 +350,7 @@ def _truth(shared, d: int, k: int):
     @K.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, t_ids, t = shared.value
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            x = _matrix(batch.column(1), d)
-            if not len(x):
-                continue
+        for ids, x in _flushes(batches, d):
             s = t @ x.T
             s[t_ids[:, None] == ids[None, :]] = -np.inf
             take = min(k, len(x))
@@ -259,47 +363,107 @@ def _truth(shared, d: int, k: int):
     return run
 
 
-def probes_for(plain: DataFrame, forest: Forest, tried: np.ndarray, ids: np.ndarray, k: int, recall: float) -> int:
-    """The least number of leaves with which the tried queries reach ``recall`` of their ``k`` true neighbours."""
+def true_neighbours(plain: DataFrame, forest: Forest, tried: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, list[int]]]:
+    """``(place of the tried query, neighbour, the neighbour's leaves)``: the ``k`` nearest by brute force."""
     spark, d = plain.sparkSession, tried.shape[1]
     shared = spark.sparkContext.broadcast((forest, ids, tried))
     found = plain.mapInArrow(_truth(shared, d, k), "q int, n long, s float, leaves array<int>").groupBy("q", "n").agg(F.max(F.struct("s", "leaves")).alias("x"))
-    true = found.groupBy("q").agg(F.slice(F.sort_array(F.collect_list("x"), asc=False), 1, k).alias("x")).collect()
+    nearest = F.slice(F.sort_array(F.collect_list(F.struct(F.col("x.s").alias("s"), "n", F.col("x.leaves").alias("leaves"))), asc=False), 1, k)
+    return [(r["q"], hit["n"], hit["leaves"]) for r in found.groupBy("q").agg(nearest.alias("x")).collect() for hit in r["x"]]
+
+
+def probes_for(forest: Forest, tried: np.ndarray, true: list[tuple[int, int, list[int]]], recall: float) -> int:
+    """The least number of leaves with which the tried queries reach ``recall`` of their true neighbours."""
     if not true:
         return forest.leaves
-    margins = tried @ forest.normal.T - forest.offset if len(forest.normal) else np.zeros((len(tried), 0), np.float32)
-    when = []
-    for r in true:
-        place = {leaf: i + 1 for i, leaf in enumerate(forest.search(margins[r["q"]].tolist(), forest.leaves))}
-        when += [min(place[x] for x in hit["leaves"]) for hit in r["x"]]
+    margins, place, when = forest.margins(tried), {}, []
+    for q, _, leaves in true:
+        if q not in place:
+            place = {q: np.empty(forest.leaves, np.int64)}
+            place[q][forest.search(margins[q].tolist(), forest.leaves)[0]] = np.arange(forest.leaves)
+        when.append(int(place[q][leaves].min()) + 1)
     return int(np.sort(when)[min(len(when) - 1, int(np.ceil(recall * len(when))) - 1)])
 
 
-def neighbours(vectors: DataFrame, k: int = K_NEIGHBOURS, trees: int = TREES, leaf: int = LEAF, recall: float = RECALL, probes: int | None = None, seed: int = SEED) -> DataFrame:
-    """``vec_id, neighbor_id, rank, similarity``: about the ``k`` nearest of each vector, itself left out.
-
-    ``probes`` is found for ``recall`` unless given. Ties go to the lesser ``neighbor_id``. Fewer than ``k`` come only where a query's leaves hold fewer. Left out are rows with a null ``vec_id``,
-    a null or empty vector, null or non-finite elements, or another length than most (the greatest of equally common ones). A zero vector has similarity 0 to all. Rows that
-    repeat a ``vec_id`` are queries each, but one neighbour. Other columns play no part; an empty table gives no rows.
-    """
-    spark = vectors.sparkSession
+def _usable(vectors: DataFrame) -> DataFrame:
     plain = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("v"))
     bad = F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
-    plain = plain.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~bad)
+    return plain.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~bad)
+
+
+@dataclass
+class Index:
+    """A forest over ``plain`` and the number of leaves that a query reaches."""
+
+    plain: DataFrame
+    forest: Forest
+    probes: int
+    d: int
+    many: int
+    leaf: int
+
+    def search(self, queries: DataFrame, k: int, waves: int = 1) -> DataFrame:
+        spark: SparkSession = self.plain.sparkSession
+        shared = spark.sparkContext.broadcast(self.forest)
+        labels = spread(spark, min(self.forest.leaves, pieces(self.many * len(self.forest.roots), ROWS_PER_BUCKET)))
+        members = self.plain.mapInArrow(_members(shared, labels, self.d, k), _DDL)
+        out = None
+        for wave in range(waves):
+            own = queries if waves == 1 else queries.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(waves)) == wave)
+            visits = own.mapInArrow(_queries(shared, labels, self.d, self.probes), _DDL)
+            parts = pieces(self.many, 100_000)
+            met = members.groupBy("b").cogroup(visits.groupBy("b")).applyInArrow(_rank(self.d, k, parts, self.leaf), _BEST_DDL)
+            got = met.groupBy("part").applyInArrow(_merge(k), _OUT_DDL)
+            out = got if out is None else out.unionByName(got)
+        return out
+
+
+def fit(vectors: DataFrame, k: int = K_NEIGHBOURS, trees: int = TREES, leaf: int = LEAF, recall: float = RECALL, probes: int | None = None, seed: int = SEED, max_sample: int = MAX_SAMPLE) -> Index | None:
+    """The index of ``vectors``; None where there is none that can be used. Vectors of another length than most (the greatest of equally common ones) are left out."""
+    plain = _usable(vectors)
     size = plain.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     if size is None:
-        return spark.createDataFrame([], "vec_id long, neighbor_id long, rank int, similarity double")
+        return None
     d, many = size["d"], size["count"]
     plain = plain.where(F.size("v") == d)
-    chosen = plain if many <= MAX_SAMPLE else plain.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(MAX_SAMPLE)
+    chosen = plain
+    if many > max_sample:  # the limit only counts where one id repeats very often
+        chosen = plain.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * max_sample / many)).limit(2 * max_sample)
     got = chosen.toArrow().sort_by("id")
     sample, ids = _matrix(got["v"].combine_chunks(), d), got["id"].to_numpy()
-    each = max(1, round(max(leaf, many / MAX_LEAVES) * len(sample) / many))
-    built = build(sample, trees, each, seed)
+    if not len(sample):
+        got = plain.limit(max_sample).toArrow().sort_by("id")
+        sample, ids = _matrix(got["v"].combine_chunks(), d), got["id"].to_numpy()
+    share = len(sample) / many
+    each = leaf if share == 1 else max(min(leaf, LEAST_SAMPLE), round(leaf * share))
+    index = Index(plain, build(sample, trees, each, seed), probes or 0, d, many, leaf)
     if probes is None:
         pick = np.random.default_rng(seed).permutation(len(sample))[:TRIED]
-        probes = probes_for(plain, built, sample[pick], ids[pick], k, recall)
-    forest = spark.sparkContext.broadcast(built)
-    parts = pieces(many, 20_000)
-    met = plain.mapInArrow(_emit(forest, d, probes), _DDL).groupBy("leaf").applyInArrow(_rank(d, k, parts), _BEST_DDL)
-    return met.groupBy("part").applyInArrow(_merge(k), "vec_id long, neighbor_id long, rank int, similarity double")
+        tried, tried_ids = sample[pick], ids[pick]
+        true = true_neighbours(plain, index.forest, tried, tried_ids, k)
+        index.probes = probes_for(index.forest, tried, true, recall)
+        while share < 1 and true and index.probes < index.forest.leaves:  # leaves may hold trees of their own: measure there
+            rows = plain.sparkSession.createDataFrame([(int(i), v.tolist()) for i, v in zip(tried_ids, tried)], plain.schema)
+            found = {(r["vec_id"], r["neighbor_id"]) for r in index.search(rows, k).collect()}
+            if sum((int(tried_ids[q]), n) in found for q, n, _ in true) >= recall * len(true):
+                break
+            index.probes = min(index.forest.leaves, -(-index.probes * 5 // 4))
+    return index
+
+
+def neighbours(vectors: DataFrame, k: int = K_NEIGHBOURS, queries: DataFrame | None = None, waves: int | None = None, **how) -> DataFrame:
+    """``vec_id, neighbor_id, rank, similarity``: about the ``k`` nearest among ``vectors`` of each of ``queries``, itself left out.
+
+    ``queries`` are rows like those of ``vectors``, which are all of them unless given. ``how`` goes to ``fit``, which finds ``probes`` for ``recall`` unless given. Ties go to the lesser
+    ``neighbor_id``. Fewer than ``k`` come only where a query's leaves hold fewer. Left out are rows with a null ``vec_id``,
+    a null or empty vector, null or non-finite elements, or another length than most. A zero vector has similarity 0 to all. Rows that
+    repeat a ``vec_id`` are one neighbour, and as queries one, with what any of their vectors finds. Vectors may have any length that a row holds. Other columns play no part; an empty table
+    gives no rows.
+    """
+    index = fit(vectors, k, **how)
+    if index is None:
+        return vectors.sparkSession.createDataFrame([], _OUT_DDL)
+    asked = index.plain if queries is None else _usable(queries).where(F.size("v") == index.d)
+    if waves is None:
+        waves = pieces(index.many if queries is None else asked.count(), QUERIES_PER_WAVE)
+    return index.search(asked, k, waves)

@@ -1,17 +1,20 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from emberline.llm import ann
+from emberline.llm.entries import QUERIES
 
 
-def exact(x: np.ndarray, ids: np.ndarray, k: int) -> dict[int, list[int]]:
+def exact(x: np.ndarray, ids: np.ndarray, k: int, rows: np.ndarray | None = None) -> dict[int, list[int]]:
     x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    s = x @ x.T
-    np.fill_diagonal(s, -np.inf)
-    return {int(ids[i]): [int(j) for j in ids[np.argsort(-s[i], kind="stable")[:k]]] for i in range(len(x))}
+    rows = np.arange(len(x)) if rows is None else rows
+    s = x[rows] @ x.T
+    s[np.arange(len(rows)), rows] = -np.inf
+    return {int(ids[i]): [int(j) for j in ids[np.argsort(-own, kind="stable")[:k]]] for i, own in zip(rows, s)}
 
 
 def recall(got, want) -> float:
@@ -34,6 +37,48 @@ def test_recall_on_the_given_vectors(spark):
     assert recall(got, want) >= 0.9
 
 
+def test_the_query_takes_every_hundredth_row_against_all(spark):
+    at = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{at}/embeddings.parquet").collect()
+    ids = np.array([r["vec_id"] for r in rows])
+    want = exact(np.array([r["embedding"] for r in rows]), ids, 10, np.flatnonzero(ids % 100 == 0))
+    got = as_lists(QUERIES["op6_nearest_neighbours"](spark, at))
+    assert set(got) == set(want) and all(len(v) == 10 for v in got.values())
+    assert recall(got, want) >= 0.9
+
+
+def clustered(n: int, d: int, groups: int, spread: float) -> tuple[np.ndarray, pa.Table]:
+    r = np.random.default_rng(1)
+    x = (r.normal(size=(groups, d))[r.integers(0, groups, n)] + spread * r.normal(size=(n, d))).astype(np.float32)
+    return x, pa.table({"vec_id": pa.array(np.arange(n)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), d).cast(pa.list_(pa.float32()))})
+
+
+def test_default_parameters_on_many_vectors(spark):
+    """Walks trees of some hundred leaves: few vectors are compared, and most true neighbours found."""
+    n = 24_000
+    x, table = clustered(n, 32, 400, 0.5)
+    df = spark.createDataFrame(table).repartition(4)
+    index = ann.fit(df)
+    assert index.forest.leaves >= 4 * n / ann.LEAF
+    assert index.probes * n * len(index.forest.roots) / index.forest.leaves < 0.2 * n
+    asked = np.arange(0, n, 100)
+    want = exact(x, np.arange(n), 10, asked)
+    got = as_lists(ann.neighbours(df, queries=df.where("vec_id % 100 = 0")))
+    assert set(got) == set(want) and recall(got, want) >= 0.9
+
+
+def test_trees_go_on_inside_of_leaves(spark):
+    """A sample of 400 gives leaves of about 300 vectors, in which trees go on to leaves of 20."""
+    n = 6000
+    x, table = clustered(n, 16, 60, 0.5)
+    df = spark.createDataFrame(table).repartition(4)
+    asked = df.where("vec_id % 20 = 0")
+    want = exact(x, np.arange(n), 10, np.arange(0, n, 20))
+    got = as_lists(ann.neighbours(df, queries=asked, leaf=20, max_sample=400))
+    assert recall(got, want) >= 0.88
+    assert as_lists(ann.neighbours(df, queries=asked, leaf=20, max_sample=400, waves=3)) == got
+
+
 @pytest.mark.parametrize("spread", [0.1, 3.0])
 def test_recall_with_small_leaves(spark, spread):
     """Leaves of 40, in tight and in loose clusters: the queue has to walk the trees."""
@@ -61,7 +106,8 @@ def test_the_queue_takes_the_nearest_planes_first():
     f = ann.build(r.normal(size=(500, 6)).astype(np.float32), 3, 20)
     q = r.normal(size=6).astype(np.float32)
     margins = (q @ f.normal.T - f.offset).tolist()
-    order = f.search(margins, f.leaves)
+    order, keys = f.search(margins, f.leaves)
+    assert keys == sorted(keys)
     assert sorted(order) == list(range(f.leaves))
     assert set(order[:3]) == {int(f.leaf_of(q[None], t)[0]) for t in f.roots}
 
