@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,8 @@ from emberline.llm.common import cut
 MIN_PAGES = 4
 MIN_SHARE = 0.0
 BROADCAST_TEMPLATES = 500_000
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+#: a quote opens a value after "=" only, and if it is closed anywhere; possessive, so that a page is read in one pass
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>])*+)(?:>|\Z)""", re.S)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = {t: re.compile(rf"</{t}[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "noscript", "template", "textarea", "iframe", "svg")}
 _MAIN = frozenset(("article", "main"))
@@ -60,7 +62,7 @@ def subtrees(page: str) -> tuple[list[str], list[tuple[int, int, int]], int]:
     outermost ``article`` and ``main`` elements, or of all where these hold no text.
 
     Scripts, styles and comments hold no text; a line break stands at the bounds of blocks. Tags left open end
-    with their parents, and end tags without a beginning are passed over.
+    with their parents, and end tags without a beginning are passed over. Time grows with the page's length, however deep its tags go.
     """
     pieces: list[str] = []
     found: list[tuple[int, int, int]] = []
@@ -70,6 +72,8 @@ def subtrees(page: str) -> tuple[list[str], list[tuple[int, int, int]], int]:
     runs: list[bool] = [False]  # whether an element has words of its own
     inline: list[list[tuple[int, int, int]]] = [[]]  # what waits for the end of its block, which tells whether the text runs on
     inside: list[int] = [0]  # 1: an article, 2: a cell or an item in an article
+    places: defaultdict[str, list[int]] = defaultdict(list)  # where each tag is open
+    frames = 0
     mains: list[bytes] = []
     at, n = 0, len(page)
 
@@ -84,18 +88,32 @@ def subtrees(page: str) -> tuple[list[str], list[tuple[int, int, int]], int]:
         elif raw:
             pieces.append(" ")
 
+    def hand(own: list[tuple[int, int, int]], block: bool) -> None:
+        """Puts elements among those found, or among those that wait in the element around; the longer list takes the shorter."""
+        if block:
+            found.extend(own)
+        elif len(inline[-1]) < len(own):
+            own.extend(inline[-1])
+            inline[-1] = own
+        else:
+            inline[-1].extend(own)
+
     def close() -> None:
+        nonlocal frames
         tag, first, parts, running, waiting, within = tags.pop(), firsts.pop(), hashes.pop(), runs.pop(), inline.pop(), inside.pop()
-        if waiting and not (running and _FRAME.isdisjoint((*tags, tag))):
-            (found if tag in _BLOCK else inline[-1]).extend(waiting)
-        if tag in _BLOCK:
+        places[tag].pop()
+        block = tag in _BLOCK
+        if waiting and not (running and not frames):
+            hand(waiting, block)
+        frames -= tag in _FRAME
+        if block:
             pieces.append("\n")
         if parts:
             h = _HASH(tag.encode("utf-8", "replace") + b"\x00" + b"\x01".join(parts))
             if within < 2:
-                (found if tag in _BLOCK else inline[-1]).append((first, len(pieces), h))
+                hand([(first, len(pieces), h)], block)
             hashes[-1].append(h.to_bytes(8, "little"))
-            if tag in _MAIN and _MAIN.isdisjoint(tags):
+            if tag in _MAIN and not any(places[t] for t in _MAIN):
                 mains.append(hashes[-1][-1])
 
     while at < n:
@@ -110,10 +128,9 @@ def subtrees(page: str) -> tuple[list[str], list[tuple[int, int, int]], int]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in tags:
-                while tags[-1] != tag:
+            if places[tag]:
+                for _ in range(len(tags) - places[tag][-1]):
                     close()
-                close()
             continue
         if tag in _RAW:
             end = _RAW[tag].search(page, at)
@@ -121,22 +138,21 @@ def subtrees(page: str) -> tuple[list[str], list[tuple[int, int, int]], int]:
             continue
         if tag in _CLOSES:
             ends, stops = _CLOSES[tag]
-            for i in range(len(tags) - 1, 0, -1):
-                if tags[i] in ends:
-                    while len(tags) > i:
-                        close()
-                    break
-                if tags[i] in stops:
-                    break
+            i = max((places[t][-1] for t in ends if places[t]), default=0)
+            if i > max((places[t][-1] for t in stops if places[t]), default=0):
+                while len(tags) > i:
+                    close()
         if tag in _BLOCK:
             pieces.append("\n")
         if tag in _VOID or m[3].endswith("/"):
             continue
+        places[tag].append(len(tags))
         tags.append(tag)
         firsts.append(len(pieces))
         hashes.append([])
         runs.append(False)
         inline.append([])
+        frames += tag in _FRAME
         inside.append(1 if tag in _MAIN else 2 if tag in _PART and inside[-1] else inside[-1])
     while len(tags) > 1:
         close()
@@ -251,7 +267,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     never carries more than the templates on its page, however many its host has.
 
     Defined results: a null page has a null text; an empty one, or one without text, the empty text. A page whose URL is
-    null or has no host is extracted whole and counts for no host. Other columns play no part.
+    null or has no host is extracted whole and counts for no host. Pages of any length are parsed whole, broken ones as far as they make sense. Other columns play no part.
     """
     known = cut(templates(pages, min_pages, min_share))
     wide = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import html
 import itertools
 import math
 import re
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 from emberline.llm import mixing
 
@@ -181,3 +183,173 @@ def pack(sizes: list[int], capacity: int) -> list[tuple[int, int, int, int, int]
             windows.pop(w, None)
         out.append((item, piece, w, h, s))
     return out
+
+
+_BLOCKS = set("address article aside blockquote body br dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table tbody td tfoot th thead title tr ul".split())
+_EMPTY = set("area base br col embed hr img input link meta param source track wbr".split())
+_SILENT = {"script", "style", "noscript", "template", "textarea", "iframe", "svg"}
+_SCOPE = {"td", "th", "li", "div", "article", "section", "blockquote"}
+_IMPLIED = {"p": ({"p"}, _SCOPE | {"table"}), "li": ({"li", "p"}, {"ul", "ol"}), "tr": ({"tr"}, {"table"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"})}
+_IMPLIED |= dict.fromkeys(("td", "th"), ({"td", "th", "p"}, {"tr", "table"}))
+_IMPLIED |= dict.fromkeys("div ul ol table h1 h2 h3 h4 h5 h6 section article footer nav header pre".split(), ({"p"}, _SCOPE))
+
+
+class Page(HTMLParser):
+    """A page as a tree: an element is [tag, children], a text a string. Built with the standard library's parser, a walk up the open elements at each tag."""
+
+    def __init__(self, page: str):
+        super().__init__(convert_charrefs=True)
+        self.root = ["", []]
+        self.open = [self.root]
+        self.skip = None
+        self.word = ""
+        self.feed(page.replace("&", "\ue000"))  # text is unescaped piece by piece
+        self.close()
+        self.flush()
+
+    def flush(self):
+        if self.word:
+            self.open[-1][1].append(html.unescape(self.word.replace("\ue000", "&")))
+        self.word = ""
+
+    def handle_data(self, data):
+        if self.skip is None:
+            self.word += data
+
+    def handle_comment(self, data):
+        self.flush()
+
+    def handle_decl(self, decl):
+        self.flush()
+
+    def handle_starttag(self, tag, attrs):
+        if self.skip is not None:
+            return
+        self.flush()
+        if tag in _SILENT:
+            self.skip = tag
+            return
+        ends, stops = _IMPLIED.get(tag, (set(), set()))
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i][0] in ends:
+                del self.open[i:]
+                break
+            if self.open[i][0] in stops:
+                break
+        node = [tag, []]
+        self.open[-1][1].append(node)
+        if tag not in _EMPTY:
+            self.open.append(node)
+
+    def handle_startendtag(self, tag, attrs):
+        depth = len(self.open)
+        self.handle_starttag(tag, attrs)
+        del self.open[max(1, min(depth, len(self.open))) :]
+
+    def handle_endtag(self, tag):
+        if self.skip is not None:
+            if tag == self.skip:
+                self.skip = None
+            return
+        self.flush()
+        if tag in [n[0] for n in self.open]:
+            while self.open.pop()[0] != tag:
+                pass
+
+
+def _shape(node) -> tuple | None:
+    """An element's tags and texts without the space between; None where there is no text."""
+    if isinstance(node, str):
+        return tuple(node.split()) or None
+    inner = tuple(filter(None, map(_shape, node[1])))
+    return (node[0], inner) if inner else None
+
+
+def candidates(page: Page) -> list:
+    """Elements that may be templates."""
+    out = []
+
+    def walk(node, path: list) -> None:
+        for child in node[1]:
+            if isinstance(child, str):
+                continue
+            way = [*path, child]
+            if _shape(child) is not None and _may_go(way):
+                out.append(child)
+            walk(child, way)
+
+    walk(page.root, [page.root])
+    return out
+
+
+def _own_words(node) -> bool:
+    return any(isinstance(c, str) and re.search(r"\w", c) for c in node[1])
+
+
+def _may_go(way: list) -> bool:
+    tags = [n[0] for n in way]
+    # cells and items of an article
+    inside = 0
+    for t in tags:
+        inside = 1 if t in ("article", "main") else 2 if t in ("tr", "td", "th", "li", "dt", "dd") and inside else inside
+    if inside == 2:
+        return False
+    if tags[-1] in _BLOCKS:
+        return True
+    # an inline element goes up to its block; words beside it on the way keep it, but in a frame of the page
+    for i in range(len(way) - 2, -1, -1):
+        framed = any(t in ("nav", "header", "footer", "aside") for t in tags[: i + 1])
+        if _own_words(way[i]) and not framed:
+            return False
+        if tags[i] in _BLOCKS:
+            return True
+    return True
+
+
+def identity(page: Page):
+    """What a page is counted as: its outermost articles, or all of it."""
+    found = []
+
+    def walk(node) -> None:
+        for c in node[1]:
+            if not isinstance(c, str):
+                if c[0] in ("article", "main"):
+                    found.append(_shape(c))
+                else:
+                    walk(c)
+
+    walk(page.root)
+    found = [f for f in found if f is not None]
+    return tuple(found) or tuple(filter(None, map(_shape, page.root[1])))
+
+
+def page_text(page: Page, templates: set) -> tuple[str, int]:
+    may = {id(n) for n in candidates(page)}
+    removed = 0
+
+    def write(node) -> str:
+        nonlocal removed
+        if isinstance(node, str):
+            words = " ".join(node.split())
+            return (" " if node[:1].isspace() else "") + words + (" " if node[-1:].isspace() else "") if words else " "
+        if id(node) in may and _shape(node) in templates:
+            removed += 1
+            return "\n"
+        inner = "".join(map(write, node[1]))
+        return f"\n{inner}\n" if node[0] in _BLOCKS else inner
+
+    text = write(page.root)
+    lines = (" ".join(x.split()) for x in text.split("\n"))
+    return "\n".join(x for x in lines if x), removed
+
+
+def extract(pages: list[tuple], least: int = 4) -> list[tuple[str | None, int]]:
+    """(url, html) of each page to its text and the subtrees cut out, templates counted over the hosts' different pages."""
+    trees = [Page(h) if h is not None else None for _, h in pages]
+    hosts = [(re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)", u or "") or [None, ""])[1].lower() for u, _ in pages]
+    seen: dict = defaultdict(set)
+    for host, tree in zip(hosts, trees):
+        if host and tree is not None:
+            for node in candidates(tree):
+                seen[host, _shape(node)].add(identity(tree))
+    return [(None, 0) if t is None else page_text(t, {s for (h, s), on in seen.items() if h == host and len(on) >= least} if host else set()) for host, t in zip(hosts, trees)]

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import time
+from collections import Counter
 
+import brute
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,23 +56,36 @@ def test_section_templates_go_and_articles_stay_at_any_size(spark, monkeypatch,
     assert got == {i: (text, 3) for i, text in want.items()}
 
 
-def test_templates_against_brute_force(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
-    seen, whole = defaultdict(set), defaultdict(set)
-    rows = pages.withColumn("host", H.host_of(F.col("url"))).collect()
-    for r in rows:
-        _, found, root = H.subtrees(r["html"])
-        whole[r["host"]].add(root)
-        for _, _, h in found:
-            seen[r["host"], h].add(root)
-    want = {(host, h) for (host, h), roots in seen.items() if len(roots) >= H.MIN_PAGES and len(roots) >= H.MIN_SHARE * len(whole[host])}
-    got = {(r["host"], r["h"] & (2**64 - 1)) for r in H.templates(pages).collect()}
-    assert got == want and want
-    out = {r["page_id"]: (r["text"], r["n_removed"]) for r in H.extract(pages).collect()}
-    by_host = defaultdict(set)
-    for host, h in want:
-        by_host[host].add(h)
-    assert out == {r["page_id"]: H.text_without(r["html"], by_host[r["host"]]) for r in rows}
+def test_pages_against_brute_force(spark):
+    """Another parser, subtrees compared as they are instead of by hashes; two pages make a template, so that some of the given ones are found."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = pages.collect()
+    want = brute.extract([(r["url"], r["html"]) for r in rows], least=2)
+    got = {r["page_id"]: (r["text"], r["n_removed"]) for r in H.extract(pages, min_pages=2).collect()}
+    assert got == {r["page_id"]: w for r, w in zip(rows, want)}
+    assert sum(n > 0 for _, n in want) > 50
+
+
+def test_templates_at_the_default_bound_against_brute_force(spark):
+    rows = [page(i) for i in range(10)] + [page(i, "b.example.com", NAV.replace("Home", f"Home {i % 3}")) for i in range(100, 110)] + [page(i, "c.example.com") for i in range(200, 203)]
+    want = brute.extract([r[1:] for r in rows])
+    got = {r["page_id"]: (r["text"], r["n_removed"]) for r in H.extract(frame(spark, rows)).collect()}
+    assert got == {r[0]: w for r, w in zip(rows, want)}
+    assert {n for _, n in want} == {0, 2}
+
+
+LONG = ["<i>x" * 60_000 + "<h2>a</h2>" * 80_000, "<ul><li>" * 120_000 + "<p>a" * 20_000, "<article>" * 110_000, "<i>" * 160_000 + "x" + "</i>" * 160_000, '<a href="' * 110_001, "<nav>" + "<b>x</b>" * 120_000, "<table><tr><td>" * 40_000 + "<h1>x" * 80_000, "<p>" * 350_000, "<p class='" * 100_001, "<" * 1_000_000, "<div>a<i>b" * 100_000]
+
+
+@pytest.mark.parametrize("html", LONG, ids=lambda h: h[:10])
+def test_a_megabyte_of_open_tags_takes_seconds(html):
+    """Twice the size must not take four times as long: a tenth of a page, and all of it."""
+    times = []
+    for part in (html[: len(html) // 8], html):
+        began = time.process_time()
+        H.text_without(part, set())
+        times.append(time.process_time() - began)
+    assert times[1] < max(2.0, 16 * times[0])
 
 
 @pytest.mark.parametrize("limit", [0, 10**9])
@@ -96,6 +111,9 @@ def test_broadcast_and_plain_join_agree(spark, monkeypatch, limit):
         ("<img src='a'/>x<br/>y", "x\ny"),
         ("<p", ""),
         ("a < b", "a < b"),
+        ('<a title="a > b" href=x>link</a>', "link"),
+        ("<p class=it's>x</p>y's", "x\ny's"),
+        ('<p title="open>x', "x"),
     ],
 )
 def test_broken_markup(html, text):
