@@ -35,7 +35,8 @@ _MASK64 = (1 << 64) - 1
 GRAM_BASE = np.uint64(0xD1342543DE82EF95)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
+    """``base`` to the powers below ``n``."""
     out = np.empty(n, np.uint64)
     out[0] = 1
     done = 1
@@ -46,7 +47,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-_POW = _powers(_BASE, 1 << 12)
+_POW = powers(_BASE, 1 << 12)
 
 
 def trim() -> None:
@@ -157,7 +158,7 @@ def tokens(buf: np.ndarray, off: np.ndarray, marks: bool = False, fold: bool = T
     low += np.uint64(1)
     size = end - start
     longest = int(size.max())
-    power = _POW if longest <= len(_POW) else _powers(_BASE, longest)
+    power = _POW if longest <= len(_POW) else powers(_BASE, longest)
     place = np.arange(n, dtype=np.int32)
     place -= np.repeat(start.astype(np.int32), size)
     low *= power[place]
