@@ -11,12 +11,14 @@ def sample(docs: DataFrame, labels: DataFrame, most: int, label: str = "quality"
     """``k, t, y`` of at most ``most`` labelled documents, those whose ids have the least hashes.
 
     Labels without id or value don't count; a document labelled several times is good if most of its labels are. The
-    ids are broadcast: ``most`` bounds them. Null texts are left out.
+    ids are broadcast: ``most`` bounds them. Null texts are left out; of an id with several texts the one with the least hash counts, so
+    that ``most`` bounds the rows, too.
     """
     y = labels.select(F.col("doc_id").cast("long").alias("k"), F.col(label).cast("double").alias("v")).where("k is not null and v is not null").groupBy("k").agg((F.avg("v") >= 0.5).cast("int").alias("y"))
     chosen = y.join(docs.select(F.col("doc_id").cast("long").alias("k")).where("k is not null"), "k", "left_semi").orderBy(F.xxhash64("k"), "k").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("k"), F.col("text").cast("string").alias("t")).where("t is not null")
-    return texts.join(F.broadcast(chosen), "k")
+    met = texts.join(F.broadcast(chosen), "k")
+    return met.groupBy("k").agg(F.min_by("t", F.struct(F.xxhash64("t"), F.length("t"))).alias("t"), F.first("y").alias("y"))
 
 
 def folds(keys: np.ndarray) -> np.ndarray:

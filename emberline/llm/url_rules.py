@@ -20,29 +20,35 @@ from emberline.llm.html_text import host_of
 
 SAMPLED = 20_000
 ROWS_PER_RANGE = 50_000
+_DOMAINS = ("example.com", "example.net", "example.org")
+_UNWANTED = ("adult-x", "casino-win", "cheap-pills", "crypto-rush", "free-bets", "spam-farm", "warez-hub", "win-prizes")
+_LANGS = ("de", "en", "es", "fr")
+
+
+def _generated() -> Iterator[tuple[str, str]]:
+    """Rules up to five deep: domains, languages of a domain's blogs, unwanted hosts with an exception each, and sections of a thousand sites."""
+    for n, domain in enumerate(_DOMAINS):
+        yield domain, ("allow", "allow", "review")[n]
+        for host in _UNWANTED:
+            yield f"{host}.{domain}", "block"
+            yield f"{host}.{domain}/legal", "review"
+        for prefix in ("www", "m", "blog"):
+            yield f"{prefix}.{domain}", "allow"
+            for lang in _LANGS:
+                yield f"{prefix}.{domain}/{lang}/", "review" if lang == _LANGS[n] else "allow"
+    yield from (("com", "allow"), ("net", "review"), ("org", "allow"))
+    for i in range(1000):
+        host = f"site{i}.{_DOMAINS[i % 3]}"
+        yield host, ("allow", "review", "block")[i % 7 % 3]
+        yield f"{host}/{_LANGS[i % 4]}/", "review"
+        yield f"{host}/{_LANGS[i % 4]}/{i % 10}", "block"
+    for i in range(10):  # article numbers on any of the domains, by their first digit
+        for n, domain in enumerate(_DOMAINS):
+            yield f"{domain}/{_LANGS[(i + n) % 4]}/{i}", "review"
+
+
 #: number, pattern, action
-RULES = (
-    (1, "example.com", "allow"),
-    (2, "example.net", "allow"),
-    (3, "cheap-pills.example.com", "block"),
-    (4, "adult-x.example.net", "block"),
-    (5, "example.org", "review"),
-    (6, "casino.example.org", "block"),
-    (7, "blog.tionsh.example.net/fr/", "review"),
-    (8, "blog.tionsh.example.net/en/", "allow"),
-    (9, "blog.tionsh.example.net/en/2", "block"),
-    (10, "blog.tionsh.example.com/de/", "block"),
-    (11, "tionble.example.org/en/", "allow"),
-    (12, "tionble.example.org/en/1", "review"),
-    (13, "thther.example.org", "allow"),
-    (14, "m.ththth.example.net/es/", "block"),
-    (15, "www.ththon.example.org/en/9", "block"),
-    (16, "ththth.example.net", "review"),
-    (17, "m.ththth.example.net", "allow"),
-    (18, "tiontion.example.net/en/", "review"),
-    (19, "therin.example.net", "allow"),
-    (20, "ththan.example.com/fr/", "block"),
-)
+RULES = tuple((n, pattern, action) for n, (pattern, action) in enumerate(_generated(), 1))
 
 
 def path_of(url: Column) -> Column:
@@ -108,6 +114,12 @@ def _sweep(default: str):
     return run
 
 
+def _after(bounds: list[str], prefix: str) -> int:
+    """How many of the bounds come before all that is greater than ``prefix`` and doesn't begin with it."""
+    stem = prefix.rstrip("\U0010ffff")  # nothing comes after this character
+    return bisect_left(bounds, stem[:-1] + chr(ord(stem[-1]) + 1)) if stem else len(bounds)
+
+
 def match(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """``page_id, url, rule_id, action, n_rules`` for each row of ``urls``, repeated ones too.
 
@@ -130,7 +142,7 @@ def match(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFram
 
     def cover(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for x in column:
-            yield pa.array([None if k is None else list(range(bisect_left(bounds, k), bisect_left(bounds, k[:-1] + chr(ord(k[-1]) + 1)) + 1)) for k in x.to_pylist()], pa.list_(pa.int32()))
+            yield pa.array([None if k is None else list(range(bisect_left(bounds, k), _after(bounds, k) + 1)) for k in x.to_pylist()], pa.list_(pa.int32()))
 
     for f in (place, cover):
         f.__annotations__ = {"column": Iterator[pa.Array], "return": Iterator[pa.Array]}

@@ -89,15 +89,92 @@ def test_temperature_and_platt_do_not_raise_the_loss():
     assert labelled.temperature(z, np.ones(500)) == 1.0 and labelled.platt(z, np.zeros(500)) == (1.0, 0.0)
 
 
-def test_ngram_scores_against_brute_force():
-    r = np.random.default_rng(4)
-    w = r.normal(size=1 << quality_rules.BITS).astype(np.float32)
-    texts = ["The cat  sat, on THE mat.", "", None, "a", "ab", odd.prose(3, 3000)]
-    got = quality_rules.scores(pa.array(texts), w, 0.25)
-    start, index, value = quality_rules._features(pa.array(texts))
-    want = [0.25 + float((w[index[a:b]] * value[a:b]).sum()) for a, b in zip(start, start[1:])]
+def plain_features(text: str) -> dict[int, float]:
+    """Hashed n-grams of a text and their shares, by loops over characters and Python's integers."""
+    mask, shift = (1 << 64) - 1, 64 - quality_rules.BITS
+
+    def mix(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & mask
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    raw = text.encode()
+    is_word = [b >= 128 or chr(b).isalnum() or b == 95 for b in raw]
+    tokens, at = [], 0
+    while at < len(raw):
+        if raw[at] <= 32 or raw[at] == 127:
+            at += 1
+            continue
+        end = at
+        while end < len(raw) and raw[end] > 32 and raw[end] != 127 and is_word[end] == is_word[at]:
+            end += 1
+        h = sum((raw[at + i] + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(end - at))
+        tokens.append(mix((h + (end - at) * 0xC2B2AE3D27D4EB4F) & mask))
+        at = end
+    out: dict[int, float] = {}
+
+    def add(found):
+        for f in found:
+            out[f] = out.get(f, 0.0) + 1 / len(found)
+
+    for g in (1, 2):
+        found = []
+        for i in range(len(tokens) - g + 1):
+            h = 0
+            for t in tokens[i : i + g]:
+                h = (h * 0xD1342543DE82EF95 + t) & mask
+            found.append(mix((h + g) & mask) >> shift)
+        add(found)
+    for g in (3, 4, 5):
+        found = []
+        for i in range(len(raw) - g + 1):
+            h = 0
+            for b in raw[i : i + g]:
+                h = h * 0x01000193 & 0xFFFFFFFF ^ b + 1
+            h ^= g * 0x9E3779B9 & 0xFFFFFFFF
+            h = h * 0x85EBCA6B & 0xFFFFFFFF
+            h ^= h >> 13
+            h = h * 0xC2B2AE35 & 0xFFFFFFFF
+            found.append(h >> 32 - quality_rules.BITS)
+        add(found)
+    return out
+
+
+TEXTS = ["The cat  sat, on THE mat.", "", None, "a", "ab", "Ünïcode — 東京!! 12", odd.prose(3, 800)]
+
+
+def test_ngram_scores_and_features_against_brute_force():
+    w = np.random.default_rng(4).normal(size=1 << quality_rules.BITS).astype(np.float32)
+    got = quality_rules.scores(pa.array(TEXTS), w, 0.25)
+    want = [0.25 + sum(float(w[f]) * x for f, x in plain_features(t or "").items()) for t in TEXTS]
     assert np.allclose(got, want, atol=1e-4)
     assert got[1] == got[2] == 0.25
+    start, index, value = quality_rules._features(pa.array(TEXTS))
+    for t, a, b in zip(TEXTS, start, start[1:]):
+        own: dict[int, float] = {}
+        for f, x in zip(index[a:b].tolist(), value[a:b].tolist()):
+            own[f] = own.get(f, 0.0) + x
+        want_own = plain_features(t or "")
+        assert own.keys() == want_own.keys() and all(abs(own[f] - want_own[f]) < 1e-6 for f in own)
+
+
+def test_the_regression_finds_the_least_loss():
+    """Against plain gradient descent over a dense matrix of the features that occur."""
+    r = np.random.default_rng(5)
+    texts = [" ".join(r.choice(["good", "fine", "text", "bad", "spam", "x1"], 12, p=[0.3, 0.3, 0.2, 0.1, 0.05, 0.05] if i % 2 else [0.1, 0.1, 0.2, 0.2, 0.2, 0.2])) for i in range(60)]
+    y = np.array([i % 2 for i in range(60)], float)
+    rows = [plain_features(t) for t in texts]
+    names = sorted(set().union(*rows))
+    x = np.array([[row.get(f, 0.0) for f in names] for row in rows])
+    w, b, decay = np.zeros(len(names)), 0.0, 1e-4
+    loss = lambda w, b: labelled.log_loss(x @ w + b, y) + decay * (w @ w) / 2 / len(y)
+    for _ in range(6000):
+        e = (labelled.sigmoid(x @ w + b) - y) / len(y)
+        w, b = w - 20 * (x.T @ e + decay * w / len(y)), b - e.sum()
+    got_w, got_b = quality_rules.regression(*quality_rules._features(pa.array(texts)), y)
+    assert loss(got_w[names], got_b) < loss(w, b) + 0.02
 
 
 def test_odd_documents(spark):
@@ -129,4 +206,6 @@ def test_the_sample_is_bounded_and_the_same_each_time(spark):
     docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     labels = spark.range(0, 1000, 2).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
     one = labelled.sample(docs, labels, 50)
+    many = docs.where("doc_id < 20").crossJoin(spark.range(300).toDF("n")).select("doc_id", F.concat("text", "n").alias("text"))
+    assert labelled.sample(many, labels, 5).count() == 5
     assert one.count() == 50 and rows_of(one) == rows_of(labelled.sample(docs.repartition(5), labels, 50))

@@ -54,6 +54,25 @@ def test_matches_are_those_of_brute_force(spark, monkeypatch, per_range):
     assert rows(got) == sorted(((i, u, *brute(u, RULES)) for i, u in found), key=str)
 
 
+def test_the_registered_rules_nest(spark):
+    """Over a thousand rules, several deep, against brute force."""
+    hosts = ["site7.example.net", "a.site8.example.org", "casino-win.example.com", "m.example.org", "example.net", "other.org", "x.test"]
+    found = [(i, f"https://{h}{p}") for i, (h, p) in enumerate((h, p) for h in hosts for p in ("/", "/fr/7x", "/fr/", "/de/8", "/legal/x", "/es/1"))]
+    got = U.match(spark.createDataFrame(found, "page_id long, url string"), U.default_rules(spark))
+    want = [(i, u, *brute(u, U.RULES)) for i, u in found]
+    assert rows(got) == sorted(want, key=str) and max(w[4] for w in want) >= 5 and len(U.RULES) > 3000
+
+
+def test_prefixes_that_end_in_the_last_character(spark, monkeypatch):
+    monkeypatch.setattr(U, "ROWS_PER_RANGE", 2)
+    top = "\U0010ffff"
+    rules = [(1, f"example.com/{top}", "block"), (2, f"example.com/a{top}{top}", "review"), (3, "example.com", "allow")]
+    found = [(i, f"https://example.com/{p}") for i, p in enumerate([top, top + "x", f"a{top}", f"a{top}{top}", f"a{top}{top}b", "b", "", "zz"])]
+    got = U.match(spark.createDataFrame(found, "page_id long, url string"), spark.createDataFrame(rules, "rule_id long, pattern string, action string"))
+    assert rows(got) == sorted(((i, u, *brute(u, rules)) for i, u in found), key=str)
+    assert U._after(["a", "b"], top) == 2
+
+
 def test_odd_urls_and_rules(spark):
     found = [(1, None), (2, ""), (3, "no url"), (4, "https:///x"), (None, "https://example.com/"), (5, "https://example.com/" + "x" * 100_000), (6, "https://example.com/"), (6, "https://example.com/"), (7, "mailto:x@example.com")]
     rules = [*RULES, (None, "example.com", "block"), (50, None, "block"), (51, "example.com", None), (52, "", "block"), (53, "/x", "block"), (1, "example.com", "allow")]
