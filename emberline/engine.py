@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import threading
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
-from functools import lru_cache
+from functools import lru_cache, reduce
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,7 +57,8 @@ class Engine:
             raise ValueError(f"no mode {mode}")
         self.schema, self.columns, self.mode, self.missing, self.sticky = schema, columns, mode, missing, sticky
         self.rules: dict[str, ir.Rule] = {}
-        self.scripts: dict[str, tuple[Callable[[pd.DataFrame], pd.Series], str]] = {}
+        self.scripts: dict[str, tuple[Callable[[pd.DataFrame], pd.Series], ir.Rule]] = {}
+        self.version = 0
 
     # rules
 
@@ -85,16 +89,20 @@ class Engine:
         return failed
 
     def reload(self, folder: str | Path) -> dict[str, str]:
-        """Replaces the rules by those of a folder, at once; if any fails the old ones stay."""
+        """Replaces the rules by those of a folder, at once; if any fails the old ones stay. ``version`` counts the times that they changed."""
         old, self.rules = self.rules, {}
         failed = self.load(folder)
         if failed:
             self.rules = old
+        else:
+            self.version += 1
         return failed
 
     def add_script(self, rule_id: str, predicate: Callable[[pd.DataFrame], pd.Series], severity: str = "medium") -> None:
-        """Adds a scripted predicate: a function from a batch of events to booleans; an error in it counts as no match."""
-        self.scripts[rule_id] = (predicate, severity)
+        """Adds a scripted predicate: a function from a batch of events to booleans. Where it raises it is asked again event by event, and those for which it raises don't match."""
+        if rule_id in self.rules or rule_id in self.scripts:
+            raise ValueError(f"there is a rule {rule_id} already")
+        self.scripts[rule_id] = (predicate, ir.Rule((ir.Step("*"),)).named(rule_id, severity=severity))
 
     @property
     def event_rules(self) -> list[ir.Rule]:
@@ -129,28 +137,52 @@ class Engine:
 
         def run(frames):
             for pdf in frames:
-                try:
-                    hit = predicate(pdf).fillna(False).astype(bool)
-                except Exception:  # a script's own error is no match, whatever it is
-                    continue
-                yield pdf[hit.to_numpy()]
+                hit, _ = _asked(predicate, pdf)
+                yield pdf[hit]
 
         return events.mapInPandas(run, events.schema)
 
+    def script_errors(self, events: DataFrame, rule_id: str) -> DataFrame:
+        """The events for which a scripted predicate raises: ``event_id, error``."""
+        predicate, _ = self.scripts[rule_id]
+        name = self.columns.id
+
+        def run(frames):
+            for pdf in frames:
+                _, errors = _asked(predicate, pdf)
+                yield pd.DataFrame([(pdf[name].iloc[i], e) for i, e in errors], columns=["event_id", "error"])
+
+        return events.mapInPandas(run, "event_id long, error string")
+
+    def script_matches(self, events: DataFrame) -> DataFrame | None:
+        """Matches of all scripted predicates, in the form of event rules' matches."""
+        c, out = self.columns, None
+        for rule_id in self.scripts:
+            hits = self.run_scripts(events, rule_id)
+            part = hits.select(F.lit(rule_id).alias("rule_id"), F.col(c.entity).cast("string").alias("key"), F.col(c.ts).cast("long").alias("ts"), F.col(c.id).cast("long").alias("event_id"), F.lit(None).cast("map<string,string>").alias("captures"))
+            out = part if out is None else out.unionByName(part)
+        return out
+
     def alerts(self, events: DataFrame) -> DataFrame:
-        """Alerts of all rules."""
+        """Alerts of all rules and scripts."""
         single, many = self.matches(events)
         parts = []
         if single is not None:
             parts.append(A.event_alerts(single, self.event_rules))
         if many is not None:
             parts.append(A.sequence_alerts(many, self.sequences))
+        if self.scripts:
+            parts.append(A.event_alerts(self.script_matches(events), [r for _, r in self.scripts.values()]))
         if not parts:
             raise ValueError("the engine has no rules")
-        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        return reduce(DataFrame.unionByName, parts)
+
+    def decide(self, events: DataFrame, per_second: int = D.PER_SECOND, ttl_ns: int = D.CACHE_NS) -> DataFrame:
+        """One decision for each event that ends alerts: worst rule, rate limit, cache and routing, as ``decisions.decide`` says."""
+        return D.decide(self.alerts(events), [r.rule_id for r in self.rules.values() if r.blockable], self.mode, per_second, ttl_ns)
 
     def decisions(self, events: DataFrame) -> DataFrame:
-        """An action for each alert, and what it would come to."""
+        """An action for each alert by itself, and what it would come to."""
         blockable = [r.rule_id for r in self.rules.values() if r.blockable]
         can = F.col("rule_id").isin(blockable) if blockable else F.lit(False)
         out = self.alerts(events).withColumn("action", D.action_of(F.col("severity")))
@@ -162,16 +194,83 @@ class Engine:
         return rule_metrics(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
 
     def stream(self, events: DataFrame, time: Column, delay: str = "10 seconds") -> DataFrame:
-        """Alerts of the sequences over a stream; they must group by one field."""
+        """Alerts over a stream: of event rules at once, of sequences as the watermark passes their last event."""
         c = self.columns
-        found = stream_sequences(events, self.sequences, self.schema, time, delay, self.missing, self.sticky, c.ts, c.id, c.type, c.entity)
-        return A.sequence_alerts(found, self.sequences)
+        parts = []
+        if self.event_rules:
+            parts.append(A.event_alerts(match_events(events, self.event_rules, self.schema, self.missing, c.ts, c.id, c.type, c.entity), self.event_rules))
+        if self.sequences:
+            found = stream_sequences(events, self.sequences, self.schema, time, delay, self.missing, self.sticky, c.ts, c.id, c.type, c.entity)
+            parts.append(A.sequence_alerts(found, self.sequences))
+        if not parts:
+            raise ValueError("the engine has no rules")
+        return reduce(DataFrame.unionByName, parts)
 
     def prefilter(self, events: DataFrame) -> DataFrame:
         """The events that can matter to any rule."""
         return interesting(events, [resolve(r, self.schema) for r in self.rules.values()], self.schema, self.columns.type)
 
 
+def _asked(predicate: Callable[[pd.DataFrame], pd.Series], pdf: pd.DataFrame) -> tuple[np.ndarray, list[tuple[int, str]]]:
+    """Which rows match, and the errors by row."""
+
+    def ask(rows: pd.DataFrame) -> np.ndarray:
+        return pd.Series(predicate(rows)).fillna(False).astype(bool).to_numpy()
+
+    try:
+        return ask(pdf), []
+    except Exception:  # a script may raise anything; ask for each row, so that others aren't lost
+        hit, errors = np.zeros(len(pdf), bool), []
+        for i in range(len(pdf)):
+            try:
+                hit[i] = ask(pdf.iloc[i : i + 1])[0]
+            except Exception as e:
+                errors.append((i, f"{type(e).__name__}: {e}"))
+        return hit, errors
+
+
+class RuleWatch:
+    """Reloads an engine's rules when the files below a folder change: ``poll`` between batches, or ``start`` for a thread that does."""
+
+    def __init__(self, engine: Engine, folder: str | Path):
+        self.engine, self.folder = engine, Path(folder)
+        self.seen = ""
+        self.failed: dict[str, str] = {}
+        self._stop = threading.Event()
+
+    def contents(self) -> str:
+        """A hash of the names and contents of all files."""
+        h = hashlib.sha256()
+        for path in sorted(p for p in self.folder.rglob("*") if p.is_file()):
+            h.update(f"{path.relative_to(self.folder)}\0{path.stat().st_size}\0".encode())
+            h.update(path.read_bytes())
+        return h.hexdigest()
+
+    def poll(self) -> bool:
+        """Reloads if something changed since the last time, and tells whether the rules are new ones. What failed is in ``failed``; the old rules stay then."""
+        now = self.contents()
+        if now == self.seen:
+            return False
+        self.seen = now
+        self.failed = self.engine.reload(self.folder)
+        return not self.failed
+
+    def start(self, seconds: float = 5.0, changed: Callable[[int], None] | None = None) -> threading.Thread:
+        """Polls in a thread until ``stop``; ``changed`` is told each new version."""
+
+        def run() -> None:
+            while not self._stop.wait(seconds):
+                if self.poll() and changed is not None:
+                    changed(self.engine.version)
+
+        thread = threading.Thread(target=run, daemon=True)
+        thread.start()
+        return thread
+
+    def stop(self) -> None:
+        self._stop.set()
+
+
 def inconsistencies(events: DataFrame, rules: Iterable[ir.Rule], schema: Schema, id_col: str = "event_id") -> DataFrame:
     """Events for which a rule's column and the interpreter disagree: ``rule_id, event_id, column, interpreter``."""
     compiler = Compiler(schema)

@@ -50,6 +50,12 @@ def value(e: ir.Expr, event: Mapping):
     return condition(e, event)
 
 
+def text(e: ir.Expr, event: Mapping):
+    """The value for a string function; the words of a list, with blanks between."""
+    x = value(e, event)
+    return " ".join(w for w in x if w is not None) if isinstance(x, (list, tuple)) else x
+
+
 def _compare(op: str, a, b) -> bool:
     if a is None or b is None:
         return False
@@ -78,9 +84,9 @@ def condition(e: ir.Expr, event: Mapping) -> bool:
     if isinstance(e, ir.Call):
         if e.name in ("regex", "wildcard"):
             pattern, subject = pattern_and_subject(e)
-            x = value(subject, event)
+            x = text(subject, event)
             return x is not None and re.search(pattern if e.name == "regex" else glob_to_regex(pattern), x) is not None
-        a, b = (value(x, event) for x in e.args)
+        a, b = (text(x, event) for x in e.args)
         if a is None or b is None:
             return False
         if e.name == "stringequalsci":

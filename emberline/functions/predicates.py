@@ -107,6 +107,14 @@ class Compiler:
             return F.call_function("div", a, b) if whole else F.try_divide(a, b)
         return self.condition(e)
 
+    def text(self, e: ir.Expr) -> Column:
+        """The value of ``e`` for a string function; the words of an array of strings, with blanks between."""
+        if isinstance(e, ir.Field):
+            f = self.schema.lookup(e.path)
+            if f is not None and f.is_array:
+                return F.array_join(self.field(e.path), " ")
+        return self.value(e)
+
     def whole(self, e: ir.Expr) -> bool:
         """Whether a number is an integer for sure."""
         if isinstance(e, ir.Literal):
@@ -163,8 +171,8 @@ class Compiler:
         if isinstance(e, ir.Call):
             if e.name in ("regex", "wildcard"):
                 pattern, subject = pattern_and_subject(e)
-                return self.value(subject).rlike(check_regex(pattern) if e.name == "regex" else glob_to_regex(pattern))
-            a, b = map(self.value, e.args)
+                return self.text(subject).rlike(check_regex(pattern) if e.name == "regex" else glob_to_regex(pattern))
+            a, b = map(self.text, e.args)
             if e.name == "stringequalsci":
                 return F.lower(a) == F.lower(b)
             return {"contains": F.contains, "startswith": F.startswith, "endswith": F.endswith}[e.name](a, b)

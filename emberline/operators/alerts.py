@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from emberline.plans import ir
 
@@ -55,3 +56,18 @@ def sequence_alerts(matches: DataFrame, rules: Sequence[ir.Rule]) -> DataFrame:
 def write_json(alerts: DataFrame, path: str) -> None:
     """Appends alerts as JSON lines."""
     alerts.write.mode("append").json(path)
+
+
+def stream_json(alerts: DataFrame, path: str, checkpoint: str, **options) -> DataStreamWriter:
+    """A writer that appends a stream's alerts as JSON lines, each once; ``start`` it, or set a trigger first."""
+    return alerts.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).options(**options)
+
+
+def stream_console(alerts: DataFrame, rows: int = 100) -> DataStreamWriter:
+    """A writer that prints a stream's alerts."""
+    return alerts.writeStream.format("console").option("numRows", rows).option("truncate", False)
+
+
+def stream_each(alerts: DataFrame, checkpoint: str, take: Callable[[DataFrame, int], None]) -> DataStreamWriter:
+    """A writer that gives each batch of alerts and its number to ``take``. After a fault a batch may come again under its number."""
+    return alerts.writeStream.option("checkpointLocation", checkpoint).foreachBatch(take)

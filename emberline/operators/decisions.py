@@ -50,33 +50,55 @@ def worst_rule(alerts: DataFrame, keys: Iterable[str]) -> DataFrame:
     return out.select(*keys, severity.alias("severity"), F.when(F.col("top") > floor, F.col("best")).otherwise("unknown").alias("rule_id"), action_of(severity).alias("action"), "n_alerts")
 
 
-def with_cache(decisions: DataFrame, entity: str = "entity_key", ts: str = "ts", ttl_ns: int = CACHE_NS) -> DataFrame:
+def with_cache(decisions: DataFrame, entity: str = "entity_key", ts: str = "ts", ttl_ns: int = CACHE_NS, carry: Iterable[str] = ()) -> DataFrame:
     """``decisions`` with ``cached``: whether an earlier decision on the entity still stands.
 
     A decision stands for ``ttl_ns`` from when it was made; one that is taken from the cache doesn't renew it, so the order decides: the decisions
-    are sorted by entity and time and folded in batches, and no more than the time of the last fresh one is held. A
-    decision without a time is fresh.
+    are sorted by entity and time and folded in batches, and no more than the last fresh one is held. A
+    decision without a time is fresh. Where an earlier one stands, the columns ``carry`` become those of the earlier.
     """
-    names = decisions.columns
+    names, carry = decisions.columns, list(carry)
     at_entity, at_ts = names.index(entity), names.index(ts)
+    places = [names.index(c) for c in carry]
     rows = decisions.repartition(entity).sortWithinPartitions(entity, ts, *(c for c in ("alert_id", "event_id") if c in names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, made = None, None
+        key, made, kept = None, None, []
         for b in batches:
-            cached = []
-            for e, t in zip(b.column(at_entity).to_pylist(), b.column(at_ts).to_pylist()):
+            cached, held = [], [b.column(i).to_pylist() for i in places]
+            for row, (e, t) in enumerate(zip(b.column(at_entity).to_pylist(), b.column(at_ts).to_pylist())):
                 if e != key:
                     key, made = e, None
                 stands = made is not None and t is not None and t - made < ttl_ns
                 cached.append(stands)
-                if not stands and t is not None:
-                    made = t
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cached, pa.bool_())], names=[*names, "cached"])
+                if stands:
+                    for c, v in zip(held, kept):
+                        c[row] = v
+                elif t is not None:
+                    made, kept = t, [c[row] for c in held]
+            columns = list(b.columns)
+            for i, c in zip(places, held):
+                columns[i] = pa.array(c, columns[i].type)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(cached, pa.bool_())], names=[*names, "cached"])
 
     return rows.mapInArrow(run, T.StructType([*decisions.schema.fields, T.StructField("cached", T.BooleanType())]))
 
 
+def decide(alerts: DataFrame, blockable: Iterable[str] = (), mode: str = "detect", per_second: int = PER_SECOND, ttl_ns: int = CACHE_NS) -> DataFrame:
+    """The whole way from alerts to decisions: ``entity_key, ts, event_id, severity, rule_id, action, n_alerts, cached, outcome``.
+
+    The alerts that end with one event make one decision, by the worst rule. Of each second the first ``per_second`` are taken, by time and
+    event. A decision on the entity that still stands is given again; then it is routed by ``mode``. Alerts without entity, event or time make none.
+    """
+    rows = alerts.withColumn("event_id", F.element_at("event_ids", -1)).where("entity_key is not null and event_id is not null and ts is not null")
+    worst = worst_rule(rows, ["entity_key", "ts", "event_id"])
+    taken = rate_limited(worst, F.expr("ts div 1000000000"), per_second)
+    out = with_cache(taken, "entity_key", "ts", ttl_ns, carry=("severity", "rule_id", "action"))
+    blockable = list(blockable)
+    can = F.col("rule_id").isin(blockable) if blockable else F.lit(False)
+    return out.withColumn("outcome", outcome(F.col("action"), F.lit(mode), can))
+
+
 def rate_limited(decisions: DataFrame, second: Column, per_second: int = PER_SECOND, order: Iterable[str] = ("ts", "event_id")) -> DataFrame:
     """The first ``per_second`` decisions of each second."""
     w = Window.partitionBy("__second").orderBy(*order)

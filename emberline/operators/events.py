@@ -22,18 +22,23 @@ def filter_events(events: DataFrame, rule: ir.Rule, schema: Schema, missing: str
 
 
 def match_events(events: DataFrame, rules: Sequence[ir.Rule], schema: Schema, missing: str = "null", ts_col: str = "ts_mono_ns", id_col: str = "event_id", type_col: str = "event_type", entity_col: str = "entity_key") -> DataFrame:
-    """``rule_id, key, ts, event_id, captures``: a row for each rule that an event matches; the scan is shared."""
+    """``rule_id, key, ts, event_id, captures``: a row for each rule that an event matches; the scan is shared. No rules give no rows."""
     rules = [resolve(r, schema) for r in rules]
     compiler = Compiler(schema, missing)
-    hits = []
+    by_type: dict[str, list] = {}
     for r in rules:
         (step,) = r.steps
         caps = F.create_map(*(x for c in r.captures for x in (F.lit(c.name), compiler.field(c.path).cast("string")))) if r.captures else F.lit(None).cast("map<string,string>")
-        test = F.coalesce(F.col(type_col) == step.event_type, F.lit(False)) & compiler.condition(step.where)
-        hits.append(F.when(test, F.struct(F.lit(r.rule_id).alias("rule_id"), caps.alias("captures"))))
-    types = sorted({s.event_type for r in rules for s in r.steps})
+        hit = F.struct(F.lit(r.rule_id).alias("rule_id"), caps.alias("captures"))
+        by_type.setdefault(step.event_type, []).append(hit if step.where == ir.TRUE else F.when(compiler.condition(step.where), hit))
+    if not by_type:
+        return events.sparkSession.createDataFrame([], "rule_id string, key string, ts long, event_id long, captures map<string,string>")
+    # an event is tested against the rules of its own type only
+    hits = F.lit(None).cast("array<struct<rule_id:string,captures:map<string,string>>>")
+    for kind, own in by_type.items():
+        hits = F.when(F.col(type_col) == kind, F.array_compact(F.array(*own))).otherwise(hits)
     return (
-        events.where(F.col(type_col).isin(types))
-        .select(F.col(entity_col).cast("string").alias("key"), F.col(ts_col).cast("long").alias("ts"), F.col(id_col).cast("long").alias("event_id"), F.explode(F.array_compact(F.array(*hits))).alias("hit"))
+        events.where(F.col(type_col).isin(sorted(by_type)))
+        .select(F.col(entity_col).cast("string").alias("key"), F.col(ts_col).cast("long").alias("ts"), F.col(id_col).cast("long").alias("event_id"), F.explode(hits).alias("hit"))
         .select("hit.rule_id", "key", "ts", "event_id", "hit.captures")
     )

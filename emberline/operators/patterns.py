@@ -1,15 +1,17 @@
 """Many string patterns at once over text columns: equality, substring, prefix and suffix.
 
-Every pattern is reported on its own, overlapping ones too, with where it is first found. Substring patterns of a field go
-through one alternation first, so a text without any of them costs one scan in the JVM.
+Every pattern is reported on its own, overlapping ones too, with where it is first found. A few patterns are expressions in the JVM, behind
+one alternation, so that a text without any of them costs one scan. Many go into an automaton, which is broadcast and reads each text
+once however many patterns there are, in Arrow batches.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from emberline.plans.errors import InvalidRule
 
 MAX_PATTERNS = 10_000
 MAX_BYTES = 4096
+#: patterns of a field at most that are expressions in the JVM
+EXPRESSIONS = 50
 KINDS = ("equals", "contains", "starts_with", "ends_with")
 _CALLS = {"contains": "contains", "startswith": "starts_with", "endswith": "ends_with"}
 
@@ -88,10 +92,82 @@ def any_of(column: Column, patterns: Iterable[Pattern], ignore_case: bool = Fals
     return F.coalesce(out, F.lit(False))
 
 
-def match_patterns(df: DataFrame, patterns: Sequence[Pattern], columns: dict[str, str] | None = None, ignore_case: bool = False) -> DataFrame:
+HIT_DDL = "array<struct<pattern_id:int,start_pos:int,end_pos:int>>"
+_HIT = pa.list_(pa.struct([("pattern_id", pa.int32()), ("start_pos", pa.int32()), ("end_pos", pa.int32())]))
+
+
+class Automaton:
+    """Finds patterns of one field in texts, all of them in one pass."""
+
+    def __init__(self, patterns: Sequence[Pattern], ignore_case: bool = False):
+        import ahocorasick
+
+        self.fold = ignore_case
+        self.exact: dict[str, list[int]] = {}
+        inner: dict[str, list[tuple[int, str]]] = {}
+        for p in patterns:
+            text = p.text.lower() if ignore_case else p.text
+            if p.kind == "equals":
+                self.exact.setdefault(text, []).append(p.pattern_id)
+            else:
+                inner.setdefault(text, []).append((p.pattern_id, p.kind))
+        self.inner = None
+        if inner:
+            self.inner = ahocorasick.Automaton()
+            for text, own in inner.items():
+                self.inner.add_word(text, (len(text), own))
+            self.inner.make_automaton()
+
+    def find(self, text: str | None) -> list[tuple[int, int, int]]:
+        """``pattern_id, start, end`` of each pattern, where it comes first, in order of numbers."""
+        if text is None:
+            return []
+        if self.fold:
+            text = text.lower()
+        n = len(text)
+        found = {i: (0, n) for i in self.exact.get(text, ())}
+        if self.inner is not None:
+            for last, (size, own) in self.inner.iter(text):
+                start = last + 1 - size
+                for i, kind in own:
+                    if i not in found and (kind == "contains" or (kind == "starts_with" and start == 0) or (kind == "ends_with" and last + 1 == n)):
+                        found[i] = (start, last + 1)
+        return [(i, *found[i]) for i in sorted(found)]
+
+
+def _by_automaton(df: DataFrame, column: Column, patterns: Sequence[Pattern], ignore_case: bool) -> Column:
+    shared = df.sparkSession.sparkContext.broadcast((tuple(patterns), ignore_case))
+
+    def find(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        automaton = Automaton(*shared.value)
+        for part in texts:
+            yield pa.array([[dict(zip(("pattern_id", "start_pos", "end_pos"), h)) for h in automaton.find(t)] for t in part.to_pylist()], _HIT)
+
+    find.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(find, HIT_DDL)(column.cast("string"))
+
+
+def _by_expressions(c: Column, patterns: Sequence[Pattern], ignore_case: bool) -> Column:
+    c = F.lower(c) if ignore_case else c
+    one = []
+    for p in patterns:
+        text = p.text.lower() if ignore_case else p.text
+        n = len(text)
+        test, start = {
+            "equals": (c == text, F.lit(0)),
+            "contains": (F.contains(c, F.lit(text)), F.instr(c, text) - 1),
+            "starts_with": (F.startswith(c, F.lit(text)), F.lit(0)),
+            "ends_with": (F.endswith(c, F.lit(text)), F.length(c) - n),
+        }[p.kind]
+        one.append(F.when(test, F.struct(F.lit(p.pattern_id).alias("pattern_id"), start.cast("int").alias("start_pos"), (start + n).cast("int").alias("end_pos"))))
+    return F.when(any_of(c, patterns, ignore_case), F.array_compact(F.array(*one))).otherwise(F.array().cast(HIT_DDL))
+
+
+def match_patterns(df: DataFrame, patterns: Sequence[Pattern], columns: dict[str, str] | None = None, ignore_case: bool = False, expressions: int = EXPRESSIONS) -> DataFrame:
     """Rows of ``df`` with ``pattern_id, start_pos, end_pos`` (characters, from 0) for each pattern that the text of its field has.
 
-    ``columns`` gives a field's column, its name unless given.
+    ``columns`` gives a field's column, its name unless given. Fields with more than ``expressions`` patterns are read by an automaton; the rows are
+    the same.
     """
     check(patterns)
     by_field: dict[str, list[Pattern]] = {}
@@ -100,18 +176,5 @@ def match_patterns(df: DataFrame, patterns: Sequence[Pattern], columns: dict[str
     hits = []
     for name, own in by_field.items():
         c = F.col((columns or {}).get(name, name))
-        c = F.lower(c) if ignore_case else c
-        gate = any_of(c, own)
-        one = []
-        for p in own:
-            text = p.text.lower() if ignore_case else p.text
-            n = len(text)
-            test, start = {
-                "equals": (c == text, F.lit(0)),
-                "contains": (F.contains(c, F.lit(text)), F.instr(c, text) - 1),
-                "starts_with": (F.startswith(c, F.lit(text)), F.lit(0)),
-                "ends_with": (F.endswith(c, F.lit(text)), F.length(c) - n),
-            }[p.kind]
-            one.append(F.when(test, F.struct(F.lit(p.pattern_id).alias("pattern_id"), start.cast("int").alias("start_pos"), (start + n).cast("int").alias("end_pos"))))
-        hits.append(F.when(gate, F.array_compact(F.array(*one))).otherwise(F.array().cast("array<struct<pattern_id:int,start_pos:int,end_pos:int>>")))
+        hits.append(_by_expressions(c, own, ignore_case) if len(own) <= expressions else _by_automaton(df, c, own, ignore_case))
     return df.withColumn("__hit", F.explode(F.concat(*hits))).select(*df.columns, "__hit.*")

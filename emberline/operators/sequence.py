@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.predicates import Compiler
-from emberline.operators.transition import MAX_STEPS, UNTIL, advance
+from emberline.operators.transition import MAX_KINDS, UNTIL, advance
 from emberline.plans import ir
 from emberline.plans.errors import InvalidRule
 from emberline.plans.typing import resolve
@@ -34,22 +34,36 @@ _MATCH = pa.schema(
 MAX_RULES = 1000
 
 
+def bits_of(rule: ir.Rule) -> tuple[int, ...]:
+    """The bit of each event that a match needs; steps that say the same share one."""
+    kinds: dict[tuple, int] = {}
+    bits = [kinds.setdefault((s.event_type, s.where), 1 << len(kinds)) for s in rule.steps]
+    if len(kinds) > MAX_KINDS:
+        raise InvalidRule(f"at most {MAX_KINDS} different steps")
+    return tuple(b for b, s in zip(bits, rule.steps) for _ in range(s.count))
+
+
 def mask_of(rule: ir.Rule, compiler: Compiler, type_col: str = "event_type") -> Column:
-    """Which steps of the rule an event matches, as bits."""
-    if len(rule.steps) > MAX_STEPS:
-        raise InvalidRule(f"at most {MAX_STEPS} steps")
-    out = F.lit(0)
-    for bit, step in [*((1 << i, s) for i, s in enumerate(rule.steps)), *([(UNTIL, rule.until)] if rule.until else [])]:
+    """Which kinds of step of the rule an event matches, as bits."""
+    bits = bits_of(rule)
+    starts = [sum(s.count for s in rule.steps[:i]) for i in range(len(rule.steps))]
+    kinds = {bits[at]: s for at, s in zip(starts, rule.steps)}
+    out = F.lit(0).cast("long")
+    for bit, step in [*kinds.items(), *([(UNTIL, rule.until)] if rule.until else [])]:
         hit = F.coalesce(F.col(type_col) == step.event_type, F.lit(False)) & compiler.condition(step.where)
-        out = out + F.when(hit, bit).otherwise(0)
-    return out.cast("int")
+        out = out + F.when(hit, F.lit(bit).cast("long")).otherwise(0)
+    return out
+
+
+Spec = tuple[str, tuple[int, ...], int | None]
 
 
-def fold(rules: Sequence[tuple[str, int, int | None]], sticky: bool):
-    """Runs the transition over rows ``key, ts, event_id, masks, caps`` sorted by the first three."""
+def fold(rules: Sequence[Spec], sticky: bool, most: int | None = None):
+    """Runs the transition over rows ``key, ts, event_id, masks, caps`` sorted by the first three; of a key, only the first ``most`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, live = None, [None] * len(rules)
+        key, live, seen, last = None, [None] * len(rules), 0, -1
+        width = len(rules)
         out: list[tuple] = []
 
         def batch() -> pa.RecordBatch:
@@ -58,15 +72,30 @@ def fold(rules: Sequence[tuple[str, int, int | None]], sticky: bool):
             return b
 
         for rows in batches:
-            for k, ts, event_id, masks, caps in zip(*(c.to_pylist() for c in rows.columns)):
+            keys, times, ids = (rows.column(i).to_pylist() for i in range(3))
+            # one flat list of masks, ``width`` to a row; what is 0 is never looked at
+            flat = rows.column(3).flatten().to_numpy(zero_copy_only=False)
+            caps = None if rows.column(4).null_count == len(keys) else rows.column(4).to_pylist()
+            hits = flat.nonzero()[0]
+            last = -1
+            for at, mask in zip(hits.tolist(), flat[hits].tolist()):
+                row, i = divmod(at, width)
+                k = keys[row]
                 if k != key:
-                    key, live = k, [None] * len(rules)
-                for i, mask in enumerate(masks):
-                    if mask:
-                        rule_id, steps, span = rules[i]
-                        live[i], done = advance(live[i], steps, span, mask, ts, (event_id, ts, caps[i] if caps else None), sticky)
-                        if done:
-                            out.append((rule_id, k, done[0][1], ts, [e[0] for e in done], [e[2] or [] for e in done]))
+                    key, live, seen, last = k, [None] * width, 0, -1
+                if most is not None:  # every row matches something, so all rows of a key come by here
+                    seen += row != last
+                    last = row
+                    if seen > most:
+                        continue
+                p = live[i]
+                rule_id, bits, span = rules[i]
+                if p is not None and not mask & (bits[p.at] | UNTIL):
+                    continue
+                ts = times[row]
+                live[i], done = advance(p, bits, span, mask, ts, (ids[row], ts, caps[row][i] if caps and caps[row] else None), sticky)
+                if done:
+                    out.append((rule_id, k, done[0][1], ts, [e[0] for e in done], [e[2] or [] for e in done]))
             if len(out) > 5000:
                 yield batch()
         yield batch()
@@ -84,21 +113,48 @@ def match_sequences(
     id_col: str = "event_id",
     type_col: str = "event_type",
     entity_col: str = "entity_key",
+    max_events_per_key: int | None = None,
 ) -> DataFrame:
     """``rule_id, key, first_ts, ts, event_ids, captures`` for every match of the sequence rules.
 
     A rule without ``by`` groups by ``entity_col``. Events with a null key, time or type match nothing. ``captures`` maps names to values as strings; a capture
-    without step reads the last event.
+    of a step reads the last of the step's events, one without step the last event. Rules that need one event are filters, without a shuffle. No rules give no rows.
+
+    ``max_events_per_key``, a quota that is off unless given, lets only the first so many events of a key (of those that any rule with that ``by`` looks at) take part.
     """
-    out = None
-    for own, rows in _prepared(events, rules, schema, missing, ts_col, id_col, type_col, entity_col):
-        part = rows.mapInArrow(fold(_spec(own), sticky), MATCH_DDL)
-        out = part if out is None else out.unionByName(part)
+    if len(rules) > MAX_RULES:
+        raise InvalidRule(f"at most {MAX_RULES} sequences")
+    one = [r for r in rules if sum(s.count for s in r.steps) == 1] if max_events_per_key is None else []
+    parts = []
+    if one:
+        parts.append(_single_steps(events, one, schema, missing, ts_col, id_col, type_col, entity_col))
+    for own, rows in _prepared(events, [r for r in rules if r not in one], schema, missing, ts_col, id_col, type_col, entity_col):
+        parts.append(rows.mapInArrow(fold(_spec(own), sticky, max_events_per_key), MATCH_DDL))
+    if not parts:
+        parts = [events.sparkSession.createDataFrame([], MATCH_DDL)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return with_captures(out, rules)
 
 
-def _spec(rules: Sequence[ir.Rule]) -> list[tuple[str, int, int | None]]:
-    return [(r.rule_id, len(r.steps), None if r.maxspan_ms is None else r.maxspan_ms * 1_000_000) for r in rules]
+def _single_steps(events: DataFrame, rules: Sequence[ir.Rule], schema: Schema, missing: str, ts_col: str, id_col: str, type_col: str, entity_col: str) -> DataFrame:
+    """Matches of sequences of one event: the end condition goes first, and nothing else is remembered."""
+    compiler = Compiler(schema, missing)
+    rules = [resolve(r, schema) for r in rules]
+    ts, event_id = F.col(ts_col).cast("long"), F.col(id_col).cast("long")
+    hits = []
+    for r in rules:
+        key = (F.col(entity_col) if (r.by or "entity_key") == "entity_key" else compiler.field(r.by)).cast("string")
+        caps = F.array(*(compiler.field(c.path).cast("string") for c in r.captures)) if r.captures else F.array().cast("array<string>")
+        row = F.struct(F.lit(r.rule_id).alias("rule_id"), key.alias("key"), ts.alias("first_ts"), ts.alias("ts"), F.array(event_id).alias("event_ids"), F.array(caps).alias("captured"))
+        hits.append(F.when((mask_of(r, compiler, type_col) == bits_of(r)[0]) & key.isNotNull(), row))
+    types = sorted({r.steps[0].event_type for r in rules})
+    return events.where(F.col(type_col).isin(types) & ts.isNotNull()).select(F.explode(F.array_compact(F.array(*hits))).alias("x")).select("x.*")
+
+
+def _spec(rules: Sequence[ir.Rule]) -> list[Spec]:
+    return [(r.rule_id, bits_of(r), None if r.maxspan_ms is None else r.maxspan_ms * 1_000_000) for r in rules]
 
 
 def _prepared(events: DataFrame, rules: Sequence[ir.Rule], schema: Schema, missing: str, ts_col: str, id_col: str, type_col: str, entity_col: str) -> Iterator[tuple[list[ir.Rule], DataFrame]]:
@@ -121,7 +177,7 @@ STATISTICS_DDL = "rule_id string, key string, n_events long, started long, compl
 _STATISTICS = pa.schema([(x.split()[0], pa.string() if x.split()[1] == "string" else pa.int64()) for x in STATISTICS_DDL.split(", ")])
 
 
-def count_up(rules: Sequence[tuple[str, int, int | None]]):
+def count_up(rules: Sequence[Spec]):
     """What became of the partial matches of each rule and key, over rows as ``fold`` takes them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,9 +199,9 @@ def count_up(rules: Sequence[tuple[str, int, int | None]]):
                     key, live, counts = k, [None] * len(rules), [[0] * 5 for _ in rules]
                 for i, mask in enumerate(masks):
                     if mask:
-                        _, steps, span = rules[i]
+                        _, bits, span = rules[i]
                         was = live[i]
-                        live[i], done = advance(was, steps, span, mask, ts, (event_id, ts))
+                        live[i], done = advance(was, bits, span, mask, ts, (event_id, ts))
                         c = counts[i]
                         c[0] += 1
                         c[1] += was is None and (live[i] is not None or done is not None)
@@ -185,7 +241,7 @@ def with_captures(matches: DataFrame, rules: Sequence[ir.Rule]) -> DataFrame:
         if r.captures:
             pairs = []
             for i, c in enumerate(r.captures):
-                at = F.size("captured") if c.step is None else F.lit(c.step + 1)
+                at = F.size("captured") if c.step is None else F.lit(sum(s.count for s in r.steps[: c.step + 1]))
                 pairs += [F.lit(c.name), F.element_at(F.element_at("captured", at), i + 1)]
             named = F.when(F.col("rule_id") == r.rule_id, F.create_map(*pairs)).otherwise(named)
     return matches.withColumn("captures", named).drop("captured")

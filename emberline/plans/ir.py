@@ -127,8 +127,11 @@ class Capture:
 
 @dataclass(frozen=True)
 class Step:
+    """``count`` events of a type and condition, others between them passed over."""
+
     event_type: str
     where: Expr = TRUE
+    count: int = 1
 
 
 @dataclass(frozen=True)
@@ -169,6 +172,8 @@ class Rule:
             raise InvalidRule("two captures have one name")
         if any(not c.path or (c.step is not None and not 0 <= c.step < len(self.steps)) for c in self.captures):
             raise InvalidRule("a capture names no field or no step")
+        if any(s.count < 1 for s in self.steps) or (self.until and self.until.count != 1) or (not self.is_sequence and self.steps[0].count != 1):
+            raise InvalidRule("only a step of a sequence can be counted, and at least once")
         if self.maxspan_ms is not None and self.maxspan_ms < 0:
             raise InvalidRule("a span can't be negative")
         return self

@@ -69,7 +69,8 @@ def type_of(e: ir.Expr, schema: Schema) -> str:
         if len(e.args) != ir.FUNCTIONS[e.name]:
             raise TypeMismatch(f"{e.name} takes {ir.FUNCTIONS[e.name]} arguments")
         for a in e.args:
-            if type_of(a, schema) not in ("string", "any", "null"):
+            words = isinstance(a, ir.Field) and _of_field(a.path, schema) == ("array", "string")
+            if not words and type_of(a, schema) not in ("string", "any", "null"):
                 raise TypeMismatch(f"{e.name} takes strings")
         return "bool"
     if isinstance(e, ir.Quantifier):

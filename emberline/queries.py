@@ -6,12 +6,16 @@ behavioural detectors the same rows are dressed up as host events, by CASE expre
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from emberline import packs
+from emberline.engine import Engine
 from emberline.functions.predicates import Compiler
 from emberline.operators import alerts as A
 from emberline.operators import behaviors as B
@@ -24,7 +28,7 @@ from emberline.plans import analyzer, ir
 from emberline.plans.parser import parse, parse_expression
 from emberline.schema import Schema, schema_of
 from emberline.sources import generate, normalize, replay
-from emberline.streaming.sequences import stream_sequences
+from emberline.streaming.sequences import sessions, stream_sequences, windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -151,6 +155,14 @@ def _multi(spark, sf_dir):
     return match_events(events(spark, sf_dir), _single_rules(), event_schema()).select("rule_id", "event_id", "key", "ts")
 
 
+_MANY_RULES = [(f"r{i}", f"{TYPES[i % 5]} where k == {i // 5 * 3} and value > {i % 7 * 10}", f"event_type = '{TYPES[i % 5]}' AND k = {i // 5 * 3} AND value > {i % 7 * 10}") for i in range(200)]
+
+
+@query("event_200_rules", f"WITH {E_SQL} " + " UNION ALL ".join(f"SELECT '{n}' AS rule_id, event_id FROM e WHERE {w}" for n, _, w in _MANY_RULES))
+def _many_rules(spark, sf_dir):
+    return match_events(events(spark, sf_dir), [parse(t).named(n) for n, t, _ in _MANY_RULES], event_schema()).select("rule_id", "event_id")
+
+
 @query("type_union", f"WITH {E_SQL} SELECT event_id, event_type FROM e WHERE event_type = 'signup' UNION ALL SELECT event_id, event_type FROM e WHERE event_type = 'error' AND k > 80")
 def _union(spark, sf_dir):
     rules = [parse("signup").named("a"), parse("error where k > 80").named("b")]
@@ -204,10 +216,24 @@ def _patterns(spark, sf_dir):
     return match_patterns(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), _PATTERNS).select("doc_id", "pattern_id", "start_pos", "end_pos")
 
 
+_SYLLABLES = ("tion", "er", "the", "an", "ha", "st", "ou", "in", "re", "ble")
+_MANY_PATTERNS = tuple(Pattern(i, "".join(_SYLLABLES[int(d)] for d in f"{i:03d}"), ("contains", "starts_with", "ends_with")[i % 3], "text") for i in range(1000))
+
+
+@query(
+    "pattern_1000",
+    "WITH p AS (SELECT i AS pattern_id, list_aggregate(list_transform([i // 100, i // 10 % 10, i % 10], lambda d: " + str(list(_SYLLABLES)) + "[d + 1]), 'string_agg', '') AS t, i % 3 AS kind FROM range(1000) r(i)) "
+    "SELECT doc_id, CAST(pattern_id AS INTEGER) AS pattern_id, CAST(CASE kind WHEN 0 THEN strpos(text, t) - 1 WHEN 1 THEN 0 ELSE length(text) - length(t) END AS INTEGER) AS start_pos FROM documents, p "
+    "WHERE CASE kind WHEN 0 THEN contains(text, t) WHEN 1 THEN starts_with(text, t) ELSE ends_with(text, t) END",
+)
+def _thousand(spark, sf_dir):
+    return match_patterns(table(spark, sf_dir, "documents").select("doc_id", "text"), _MANY_PATTERNS).select("doc_id", "pattern_id", "start_pos")
+
+
 # sequences
 
 
-def _sequence_sql(rule_id: str, steps: list[str], span_ms: int | None = None, until: str | None = None, by: str = "user_id", sticky: bool = False) -> tuple[str, str]:
+def _sequence_sql(rule_id: str, steps: list[str], span_ms: int | None = None, until: str | None = None, by: str = "user_id", sticky: bool = False, source: str = "e", most: int | None = None) -> tuple[str, str]:
     """CTEs that run the transition row by row, and a SELECT of its matches."""
     n = len(steps)
     bits = " + ".join([f"CASE WHEN {s} THEN {1 << i} ELSE 0 END" for i, s in enumerate(steps)] + ([f"CASE WHEN {until} THEN {1 << 30} ELSE 0 END"] if until else []))
@@ -219,7 +245,7 @@ def _sequence_sql(rule_id: str, steps: list[str], span_ms: int | None = None, un
     done = f"NOT ({stop}) AND ((s.st = 0 AND {n} = 1 AND r.m % 2 = 1) OR (s.st = {n - 1} AND s.st > 0 AND {hit} AND NOT ({late})))"
     after = f"{n - 1}" if sticky and n > 1 else "0"
     ctes = f"""{q}_r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS n FROM
-            (SELECT CAST({by} AS VARCHAR) AS key, ts, event_id, {bits} AS m FROM e WHERE {by} IS NOT NULL) WHERE m > 0),
+            (SELECT CAST({by} AS VARCHAR) AS key, ts, event_id, {bits} AS m FROM {source} WHERE {by} IS NOT NULL) WHERE m > 0),
         {q}_s AS (SELECT key, CAST(0 AS BIGINT) AS n, 0 AS st, CAST(0 AS BIGINT) AS t0, '' AS ids, CAST(NULL AS VARCHAR) AS found, CAST(0 AS BIGINT) AS ts, CAST(0 AS BIGINT) AS b
             FROM (SELECT DISTINCT key FROM {q}_r)
             UNION ALL SELECT r.key, r.n,
@@ -229,7 +255,7 @@ def _sequence_sql(rule_id: str, steps: list[str], span_ms: int | None = None, un
                 CASE WHEN {start} THEN CAST(r.event_id AS VARCHAR) WHEN s.st > 0 AND s.st < {n - 1} AND {hit} THEN s.ids || ',' || r.event_id ELSE s.ids END,
                 CASE WHEN {done} THEN CASE WHEN s.st = 0 THEN CAST(r.event_id AS VARCHAR) ELSE s.ids || ',' || r.event_id END END,
                 r.ts, CASE WHEN {start} THEN r.ts ELSE s.t0 END
-            FROM {q}_s s JOIN {q}_r r ON r.key = s.key AND r.n = s.n + 1)"""
+            FROM {q}_s s JOIN {q}_r r ON r.key = s.key AND r.n = s.n + 1{f" AND r.n <= {most}" if most else ""})"""
     return ctes, f"SELECT '{q}' AS rule_id, key, b AS first_ts, ts, found AS event_ids FROM {q}_s WHERE found IS NOT NULL"
 
 
@@ -282,6 +308,23 @@ def _sticky(spark, sf_dir):
     return _flat(match_sequences(events(spark, sf_dir), [parse(_SEQUENCES["seq_two_step"][0]).named("seq_sticky")], event_schema(), sticky=True))
 
 
+_COUNTED = _sequence_sql("seq_counted", [_t("error", "k > 30")] * 4 + [_t("purchase")], 2_592_000_000)
+
+
+@query("seq_counted", f"WITH RECURSIVE {E_SQL}, {_COUNTED[0]} {_COUNTED[1]}")
+def _counted(spark, sf_dir):
+    rule = parse("sequence by user_id [error where k > 30] with count > 3 [purchase] with maxspan=720h").named("seq_counted")
+    return _flat(match_sequences(events(spark, sf_dir), [rule], event_schema()))
+
+
+_QUOTA = _sequence_sql("seq_quota", **_SEQUENCES["seq_two_step"][1], most=5)
+
+
+@query("seq_quota", f"WITH RECURSIVE {E_SQL}, {_QUOTA[0]} {_QUOTA[1]}")
+def _quota(spark, sf_dir):
+    return _flat(match_sequences(events(spark, sf_dir), [parse(_SEQUENCES["seq_two_step"][0]).named("seq_quota")], event_schema(), max_events_per_key=5))
+
+
 _CAPTURED = _sequence_sql("seq_captures", **_SEQUENCES["seq_three_step"][1])
 
 
@@ -298,24 +341,81 @@ def _seq_captures(spark, sf_dir):
     return m.select("key", "ts", *(F.col("captures")[c].alias(c) for c in ("first_k", "click_k", "k")))
 
 
-@query("stream_sequence")
-def _stream(spark, sf_dir):
-    """The two-step sequence over the event files as a stream, run to their end; its rows are the batch's, but for events that the watermark hasn't passed yet."""
-    import tempfile
+#: what a stream over the given table has seen when it ends: the watermark, ten seconds behind the last event, in whole milliseconds
+_MARK = "(SELECT max(ts) // 1000000 * 1000000 - 10000000000 FROM e{where})"
+
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event files as a stream, with the columns of ``events`` and ``time``."""
     folder = f"{sf_dir}/events.parquet"
-    df = table(spark, sf_dir, "events")
-    raw = spark.readStream.schema(df.schema).option("pathGlobFilter", "*.parquet").parquet(folder if _is_folder(spark, folder) else sf_dir, **({} if _is_folder(spark, folder) else {"pathGlobFilter": "events.parquet"}))
+    whole = _is_folder(spark, folder)
+    raw = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet" if whole else "events.parquet").parquet(folder if whole else sf_dir)
     ns = F.expr("unix_micros(from_utc_timestamp(cast(ts as timestamp), current_timezone())) * 1000")
     time = F.expr("from_utc_timestamp(cast(ts as timestamp), current_timezone())")
-    rows = raw.select("event_id", "event_type", ns.alias("ts_mono_ns"), time.alias("time"), F.col("user_id").cast("string").alias("entity_key"), "user_id", "value", F.get_json_object("props", "$.k").cast("long").alias("k"), "props")
-    found = stream_sequences(rows, [parse(_SEQUENCES["seq_two_step"][0]).named("seq_two_step")], event_schema(), F.col("time"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="emberline-stream-")
-    import uuid
+    return raw.select("event_id", "event_type", ns.alias("ts_mono_ns"), time.alias("time"), F.col("user_id").cast("string").alias("entity_key"), "user_id", "value", F.get_json_object("props", "$.k").cast("long").alias("k"), "props")
+
+
+def stream_folder(spark: SparkSession) -> str:
+    """Where a stream keeps state and output: under ``spark.checkpoint.dir``; a temporary folder serves only a session on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        base = "file://" + tempfile.mkdtemp(prefix="emberline-stream-")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def run_stream(found: DataFrame) -> DataFrame:
+    """What a stream gives until its sources end."""
+    at = stream_folder(found.sparkSession)
+    found.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return found.sparkSession.read.schema(found.schema).parquet(f"{at}/out")
+
+
+_STREAMED = _sequence_sql("seq_two_step", **_SEQUENCES["seq_two_step"][1])
+
+
+@query("stream_sequence", f"WITH RECURSIVE {E_SQL}, {_STREAMED[0]}, f AS ({_STREAMED[1]}) SELECT * FROM f WHERE ts <= " + _MARK.format(where=" WHERE event_type IN ('signup', 'purchase')"))
+def _stream(spark, sf_dir):
+    """The two-step sequence over the event files as a stream, run to their end; its rows are the batch's, but for events that the watermark hasn't passed yet."""
+    return run_stream(_flat(stream_sequences(event_stream(spark, sf_dir), [parse(_SEQUENCES["seq_two_step"][0]).named("seq_two_step")], event_schema(), F.col("time"))))
+
+
+_STREAM_KEYS = {n: _SEQUENCES[n] for n in ("seq_until", "seq_other_key")}
 
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    _flat(found).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("rule_id string, key string, first_ts long, ts long, event_ids string").parquet(f"{at}/out")
+
+@query(
+    "stream_several_keys",
+    "WITH RECURSIVE " + E_SQL + ", " + ", ".join(_sequence_sql(n, **x)[0] for n, (_, x) in _STREAM_KEYS.items()) + ", f AS (" + " UNION ALL ".join(_sequence_sql(n, **x)[1] for n, (_, x) in _STREAM_KEYS.items()) + ") SELECT * FROM f WHERE ts <= " + _MARK.format(where=" WHERE event_type IN ('view', 'signup', 'purchase') OR event_type = 'error' AND k < 60"),
+)
+def _stream_keys(spark, sf_dir):
+    rules = [parse(t).named(n) for n, (t, _) in _STREAM_KEYS.items()]
+    return run_stream(_flat(stream_sequences(event_stream(spark, sf_dir), rules, event_schema(), F.col("time"))))
+
+
+@query("stream_events", f"WITH {E_SQL}, {_SINGLE_SQL} SELECT rule_id || '-' || ts AS alert_id, rule_id, severity, ts FROM m")
+def _stream_events(spark, sf_dir):
+    engine = Engine(event_schema())
+    for rule in _single_rules():
+        engine.add(rule)
+    return run_stream(engine.stream(event_stream(spark, sf_dir), F.col("time")).select("alert_id", "rule_id", "severity", "ts"))
+
+
+@query("stream_windows", f"WITH {E_SQL}, w AS (SELECT ts // 3600000000000 * 3600000000 AS start_us, event_type, count(*) AS n_events FROM e GROUP BY ALL) SELECT * FROM w WHERE (start_us + 3600000000) * 1000 <= " + _MARK.format(where=""))
+def _stream_windows(spark, sf_dir):
+    found = windowed_counts(event_stream(spark, sf_dir), window="1 hour")
+    return run_stream(found.select(F.unix_micros("start").alias("start_us"), "event_type", "n_events"))
+
+
+@query(
+    "stream_sessions",
+    f"""WITH {E_SQL}, s AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= 21600000000000 THEN 1 ELSE 0 END AS cut FROM e), g AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM s),
+        x AS (SELECT CAST(user_id AS VARCHAR) AS entity_key, min(ts) // 1000 AS start_us, max(ts) + 21600000000000 AS stop, count(*) AS n_events FROM g GROUP BY user_id, n)
+        SELECT entity_key, start_us, n_events FROM x WHERE stop <= """ + _MARK.format(where=""),
+)
+def _stream_sessions(spark, sf_dir):
+    found = sessions(event_stream(spark, sf_dir), gap="6 hours")
+    return run_stream(found.select("entity_key", F.unix_micros("start").alias("start_us"), "n_events"))
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
@@ -475,6 +575,43 @@ def _credentials(spark, sf_dir):
     return B.credential_access(host_events(spark, sf_dir), threshold=10)
 
 
+def pack_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host events with broad types and what the packs read besides; a process is a user."""
+    h = packs.broad_types(host_events(spark, sf_dir))
+    exe = F.expr("CASE event_id % 7 WHEN 0 THEN 'tar' WHEN 1 THEN '/usr/bin/ssh' WHEN 2 THEN '/usr/bin/sudo' WHEN 3 THEN '/bin/bash' WHEN 4 THEN 'john' ELSE 'ls' END")
+    return h.withColumns(
+        {
+            "process": F.struct(F.col("entity_key").alias("entity_id"), exe.alias("executable"), F.expr("CASE event_id % 4 WHEN 0 THEN array('-czf', 'all.sql') WHEN 1 THEN array('me@host') ELSE array('-l', null) END").alias("args")),
+            "file": F.struct(F.col("file.path").alias("path"), F.expr("CASE event_id % 3 WHEN 0 THEN 'x.locked' WHEN 1 THEN 'x.txt' END").alias("name")),
+            "network": F.struct(F.expr("CASE event_id % 2 WHEN 0 THEN 'outbound' ELSE 'inbound' END").alias("direction"), F.col("network.dest_port").alias("dest_port"), F.col("network.dest_host").alias("dest_host")),
+        }
+    )
+
+
+_BROAD_SQL = f"""{H_SQL}, b AS (SELECT event_id, pid, ts, path, port, host, CASE WHEN event_type LIKE 'process%' THEN 'process' WHEN event_type LIKE 'file%' THEN 'file' WHEN event_type LIKE 'network%' THEN 'network' ELSE event_type END AS event_type,
+        CASE event_id % 7 WHEN 0 THEN 'tar' WHEN 1 THEN '/usr/bin/ssh' WHEN 2 THEN '/usr/bin/sudo' WHEN 3 THEN '/bin/bash' WHEN 4 THEN 'john' ELSE 'ls' END AS exe,
+        CASE event_id % 4 WHEN 0 THEN '-czf all.sql' WHEN 1 THEN 'me@host' ELSE '-l' END AS args, CASE event_id % 3 WHEN 0 THEN 'x.locked' WHEN 1 THEN 'x.txt' END AS name,
+        CASE event_id % 2 WHEN 0 THEN 'outbound' ELSE 'inbound' END AS direction FROM h)"""
+_PACK_SQL = {
+    "ransomware": ([_t("file", r"regexp_matches(path, '\.(docx|doc|png|pdf)$')"), _t("file", r"regexp_matches(name, '\.locked$')")], 5_000),
+    "data_exfiltration": ([_t("process", "exe = 'tar' AND contains(args, '.sql')"), _t("network", "direction = 'outbound' AND (port IN (80, 443) OR regexp_matches(coalesce(host, ''), 'dropbox'))")], 300_000),
+    "lateral_movement": ([_t("process", "exe = '/usr/bin/ssh' AND contains(args, '@')"), _t("network", "port = 22")], 60_000),
+    "privilege_escalation": ([_t("process", "exe = '/usr/bin/sudo'"), _t("file", "path = '/etc/shadow'")], 30_000),
+    "reverse_shell": ([_t("network", "direction = 'outbound' AND port = 4444"), _t("process", "exe = '/bin/bash'")], 10_000),
+}
+_PACK_CTES = {n: _sequence_sql(n, steps, span, by="pid", source="b") for n, (steps, span) in _PACK_SQL.items()}
+
+
+@query("packs_sequences", f"WITH RECURSIVE {_BROAD_SQL}, " + ", ".join(c for c, _ in _PACK_CTES.values()) + " " + " UNION ALL ".join(q for _, q in _PACK_CTES.values()))
+def _packs(spark, sf_dir):
+    return _flat(match_sequences(pack_events(spark, sf_dir), [r for r in packs.all_packs() if r.is_sequence], packs.pack_schema()))
+
+
+@query("packs_credential_access", f"WITH {_BROAD_SQL} SELECT event_id FROM b WHERE event_type = 'process' AND (exe = 'john' OR path = '/etc/shadow' OR contains(path, '.ssh/'))")
+def _pack_credentials(spark, sf_dir):
+    return filter_events(pack_events(spark, sf_dir), packs.credential_access(), packs.pack_schema()).select("event_id")
+
+
 # alerts and decisions
 
 
@@ -531,6 +668,35 @@ def _cache(spark, sf_dir):
     return D.with_cache(df, "user_id", "ts", _TTL).select("event_id", "cached")
 
 
+@query(
+    "decision_composed",
+    f"""WITH RECURSIVE {E_SQL}, {_SINGLE_SQL}, r AS (SELECT *, {_RANK} AS rank FROM m),
+        g AS (SELECT event_id, user_id, ts, max(rank) AS top, count(*) AS n_alerts FROM r GROUP BY ALL),
+        w AS (SELECT g.*, CASE WHEN top > 1 THEN (SELECT min(rule_id) FROM r WHERE r.event_id = g.event_id AND r.rank = g.top) ELSE 'unknown' END AS rule_id,
+              CASE greatest(top, 1) WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity FROM g),
+        l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ts // 1000000000 ORDER BY ts, event_id) AS i FROM w) WHERE i <= 1),
+        p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM l),
+        c AS (SELECT event_id, user_id, ts, n, n_alerts, ts AS made, rule_id, severity, false AS cached FROM p WHERE n = 1
+              UNION ALL SELECT p.event_id, p.user_id, p.ts, p.n, p.n_alerts, CASE WHEN p.ts - c.made >= {_TTL} THEN p.ts ELSE c.made END, CASE WHEN p.ts - c.made >= {_TTL} THEN p.rule_id ELSE c.rule_id END,
+                     CASE WHEN p.ts - c.made >= {_TTL} THEN p.severity ELSE c.severity END, p.ts - c.made < {_TTL} FROM c JOIN p ON p.user_id = c.user_id AND p.n = c.n + 1)
+        SELECT event_id, rule_id, {_ACTION} AS action, n_alerts, cached, CASE WHEN severity IN ('critical', 'high') THEN CASE WHEN rule_id = 'big_purchase' THEN 'enforce' ELSE 'rejected' END ELSE 'noted' END AS outcome FROM c""",
+)
+def _composed(spark, sf_dir):
+    engine = Engine(event_schema(), mode="inline")
+    for rule in _single_rules():
+        engine.add(replace(rule, blockable=rule.rule_id == "big_purchase"))
+    return engine.decide(events(spark, sf_dir), per_second=1, ttl_ns=_TTL).select("event_id", "rule_id", "action", "n_alerts", "cached", "outcome")
+
+
+@query("script_alerts", f"WITH {E_SQL} SELECT 'odd_total' AS rule_id, 'high' AS severity, event_id FROM e WHERE event_type = 'purchase' AND (user_id + k) % 9 = 4 UNION ALL SELECT 'small', 'low', event_id FROM e WHERE event_type = 'click' AND k < 3")
+def _scripts(spark, sf_dir):
+    """A scripted predicate beside a rule."""
+    engine = Engine(event_schema())
+    engine.add("click where k < 3", "small", severity="low")
+    engine.add_script("odd_total", lambda pdf: (pdf["event_type"] == "purchase") & ((pdf["user_id"] + pdf["k"]) % 9 == 4), "high")
+    return engine.alerts(events(spark, sf_dir)).select("rule_id", "severity", F.col("event_ids")[0].alias("event_id"))
+
+
 @query("rate_limit_per_sec", f"WITH {E_SQL}, c AS (SELECT event_id, row_number() OVER (PARTITION BY ts // 3600000000000 ORDER BY ts, event_id) AS n FROM e) SELECT event_id FROM c WHERE n <= 5")
 def _rate(spark, sf_dir):
     df = events(spark, sf_dir).select("event_id", F.col("ts_mono_ns").alias("ts"))
@@ -591,7 +757,16 @@ def _sequence_statistics(spark, sf_dir):
     return sequence_statistics(events(spark, sf_dir), [parse(_UNTIL[0]).named("seq_until")], event_schema())
 
 
-@query("complexity_analysis")
+#: rule, steps of a sequence, string functions but patterns, end, string literals in comparisons and arguments; counted by hand
+_COMPLEXITY = {"seq_two_step": (2, 0), "seq_three_step": (3, 0), "seq_same_type_x5": (5, 0), "seq_no_span": (2, 0), "seq_until": (2, 1), "seq_until_of_step_type": (2, 1), "seq_single_step": (1, 0), "seq_other_key": (2, 0), **dict.fromkeys(_SINGLE, (0, 0))}
+
+
+@query(
+    "complexity_analysis",
+    "WITH r AS (SELECT *, least(100, 10 * steps + 25 * ends) AS score FROM (VALUES " + ", ".join(f"('{n}', {steps}, {ends})" for n, (steps, ends) in _COMPLEXITY.items()) + ") v(rule_id, steps, ends)), "
+    "s AS (SELECT *, score < 40 AND ends = 0 AS simple FROM r) "
+    "SELECT rule_id, CAST(score AS INTEGER) AS score, CAST(steps AS INTEGER) AS steps, CAST(0 AS INTEGER) AS literals, simple, CASE WHEN simple AND steps > 0 THEN 'fold' ELSE 'general' END AS strategy, CAST(CASE WHEN simple AND steps > 0 THEN 0.8 ELSE 0.95 END AS DOUBLE) AS confidence FROM s",
+)
 def _complexity(spark, sf_dir):
     rules = [parse(t).named(n) for n, (t, _) in _SEQUENCES.items()] + _single_rules()
     rows = [(a.rule_id, a.score, a.steps, a.literals, a.simple, a.strategy, a.confidence) for a in analyzer.analyze_all(rules)]

@@ -24,7 +24,8 @@ def c_string(raw: Column) -> Column:
 def normalize(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Canonical events of raw records ``kind, ts_mono_ns, ts_wall_ns, entity_key, pid, ppid, uid, gid, comm, exe, cmdline, exit_code, path, new_path``, and the records of unknown kind.
 
-    Programs' fields come with their start, exit codes with their end, paths with files; connections tell the process only.
+    Programs' fields come with their start, exit codes with their end, paths with files; connections tell the process only. An event's id is
+    drawn from what its record says, so that it is the same however the records are partitioned; records that are equal have one id.
     """
     kind = F.lit(None).cast("string")
     for n, name in TYPES.items():
@@ -42,7 +43,7 @@ def normalize(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(end, F.col("exit_code").cast("long")).alias("exit_code"),
     )
     files = F.struct(F.when(file, c_string(F.col("path"))).alias("path"), F.when(F.col("kind") == 4, c_string(F.col("new_path"))).alias("new_path"))
-    good = df.where("event_type is not null").select(F.monotonically_increasing_id().alias("event_id"), "event_type", "ts_mono_ns", "ts_wall_ns", "entity_key", process.alias("process"), files.alias("file"))
+    good = df.where("event_type is not null").select(F.shiftrightunsigned(F.xxhash64(*(F.col(f"`{c}`") for c in raw.columns)), 1).alias("event_id"), "event_type", "ts_mono_ns", "ts_wall_ns", "entity_key", process.alias("process"), files.alias("file"))
     return good, df.where("event_type is null").drop("event_type")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from emberline.functions.predicates import Compiler
-from emberline.operators.sequence import events_columns, with_captures
+from emberline.operators.sequence import Spec, _spec, events_columns, with_captures
 from emberline.operators.transition import advance
 from emberline.plans import ir
 from emberline.plans.typing import resolve
@@ -27,8 +27,11 @@ _OUT = "rule_id string, key string, first_ts long, ts long, event_ids array<long
 _NAMES = [x.split()[0] for x in _OUT.split(", ")]
 
 
-def _processor(spec: Sequence[tuple[str, int, int | None]], sticky: bool):
+def _processor(specs: Sequence[Sequence[Spec]], sticky: bool):
+    """``specs``: the rules of each field that rules group by; a key is the field's number and a value."""
+
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        spec = specs[key[0]]
         waiting, live = pickle.loads(state.get[0]) if state.exists else ([], [None] * len(spec))
         for pdf in frames:
             caps = pdf["caps"] if "caps" in pdf else [None] * len(pdf)
@@ -41,10 +44,10 @@ def _processor(spec: Sequence[tuple[str, int, int | None]], sticky: bool):
         for ts, event_id, masks, cap in ready:
             for i, mask in enumerate(masks):
                 if mask:
-                    rule_id, steps, span = spec[i]
-                    live[i], done = advance(live[i], steps, span, mask, ts, (event_id, ts, cap[i] if cap else None), sticky)
+                    rule_id, bits, span = spec[i]
+                    live[i], done = advance(live[i], bits, span, mask, ts, (event_id, ts, cap[i] if cap else None), sticky)
                     if done:
-                        out.append((rule_id, key[0], done[0][1], ts, [e[0] for e in done], [e[2] or [] for e in done]))
+                        out.append((rule_id, key[1], done[0][1], ts, [e[0] for e in done], [e[2] or [] for e in done]))
         for i, p in enumerate(live):
             span = spec[i][2]
             # all events up to the watermark are in: what is left can't be in time
@@ -76,17 +79,23 @@ def stream_sequences(
     type_col: str = "event_type",
     entity_col: str = "entity_key",
 ) -> DataFrame:
-    """``rule_id, key, first_ts, ts, event_ids, captures`` as matches complete. ``time`` is ``ts_col`` as a timestamp; the rules share one ``by``."""
+    """``rule_id, key, first_ts, ts, event_ids, captures`` as matches complete. ``time`` is ``ts_col`` as a timestamp. Rules that group by one field share a state."""
     rules = [resolve(r, schema) for r in rules]
-    if len({r.by or "entity_key" for r in rules}) != 1:
-        raise ValueError("the rules of a stream group by one field")
+    groups: dict[str, list[ir.Rule]] = {}
+    for r in rules:
+        groups.setdefault(r.by or "entity_key", []).append(r)
+    if not groups:
+        raise ValueError("no rules")
     compiler = Compiler(schema, missing)
-    by = rules[0].by or "entity_key"
-    key = F.col(entity_col) if by == "entity_key" else compiler.field(by)
-    rows = events.select(time.alias("time"), key.cast("string").alias("key"), F.col(ts_col).cast("long").alias("ts"), F.col(id_col).cast("long").alias("event_id"), *events_columns(rules, compiler, type_col))
+    seen = []
+    for g, (by, own) in enumerate(groups.items()):
+        key = F.col(entity_col) if by == "entity_key" else compiler.field(by)
+        seen.append(F.struct(F.lit(g).alias("g"), key.cast("string").alias("key"), *events_columns(own, compiler, type_col)))
+    types = sorted(set().union(*(r.event_types() for r in rules)))
+    rows = events.where(F.col(type_col).isin(types)).select(time.alias("time"), F.col(ts_col).cast("long").alias("ts"), F.col(id_col).cast("long").alias("event_id"), F.explode(F.array(*seen)).alias("x")).select("time", "ts", "event_id", "x.*")
     rows = rows.where("key is not null and ts is not null").where(F.exists("masks", lambda m: m != 0)).withWatermark("time", delay)
-    spec = [(r.rule_id, len(r.steps), None if r.maxspan_ms is None else r.maxspan_ms * 1_000_000) for r in rules]
-    found = rows.groupBy("key").applyInPandasWithState(_processor(spec, sticky), _OUT, "state binary", "append", GroupStateTimeout.EventTimeTimeout)
+    specs = [_spec(own) for own in groups.values()]
+    found = rows.groupBy("g", "key").applyInPandasWithState(_processor(specs, sticky), _OUT, "state binary", "append", GroupStateTimeout.EventTimeTimeout)
     return with_captures(found, rules)
 
 

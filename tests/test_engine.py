@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import json
+import random
+import time
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from emberline import cli
-from emberline.engine import Engine
-from emberline.operators import behaviors, metrics, patterns
+from emberline import cli, packs
+from emberline.engine import Engine, RuleWatch
+from emberline.operators import alerts, behaviors, metrics, patterns
 from emberline.operators import decisions as D
 from emberline.plans import analyzer, ir
 from emberline.plans.errors import InvalidRule, RuleError
 from emberline.plans.parser import parse
+from emberline.runtimes import Compilers, RuleCompiler, Runtime, Runtimes, described
 from emberline.schema import Schema, host_schema
 from emberline.sources import generate, normalize, replay, rules
 
@@ -89,6 +93,20 @@ def test_metrics_and_their_texts(spark):
     assert (d["n"], d["total"], d["peak"], d["p50"], d["p99"]) == (100, 5050, 100, 50, 99)
 
 
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_exact_percentiles(spark, keys):
+    """Ties, nulls, a hot value, a group of one, and a null key."""
+    r = random.Random(3)
+    rows = [(r.choice(["a", "b", None]), float(r.choice([5, 5, 5, r.randrange(1000)]))) for _ in range(900)] + [("one", 3.0), ("none", None), ("a", None)]
+    got = {tuple(x[k] for k in keys): (x["p50"], x["p90"], x["p99"]) for x in metrics.exact_percentiles(spark.createDataFrame(rows, "k string, v double").repartition(4), "v", *keys, slices=8).collect()}
+    want = {}
+    for key in {(k,) if keys else () for k, _ in rows}:
+        own = sorted(v for k, v in rows if v is not None and (not keys or k == key[0]))
+        if own:
+            want[key] = tuple(own[len(own) * p // 100] for p in (50, 90, 99))
+    assert got == want
+
+
 def test_the_prefilter_keeps_what_matters(spark):
     assert sorted(r["event_id"] for r in engine().prefilter(story(spark)).collect()) == [1, 2, 3, 4]
     e = Engine(host_schema())
@@ -109,6 +127,112 @@ def test_severities_and_actions(spark):
     assert got == [(4, "kill"), (3, "block"), (2, "alert"), (1, "alert"), (0, "allow"), (None, "allow"), (None, "allow")]
 
 
+def test_composed_decisions(spark):
+    """Worst rule, then the limit of a second, then the cache; the cached decision is given again."""
+    e = Engine(host_schema(), mode="inline")
+    e.add("process_exec", "any", severity="low")
+    e.add("process_exec where process.uid == 0", "root", severity="high", blockable=True)
+    rows = [("process_exec", 0, 7, {"process.uid": 0}), ("process_exec", 30, 7, {"process.uid": 5}), ("process_exec", 61, 7, {"process.uid": 5}), ("process_exec", 61.5, 8, {}), ("file_write", 62, 8, {})]
+    got = {r["event_id"]: (r["rule_id"], r["action"], r["n_alerts"], r["cached"], r["outcome"]) for r in e.decide(host(spark, rows), per_second=1).collect()}
+    assert got == {1: ("root", "block", 2, False, "enforce"), 2: ("root", "block", 1, True, "enforce"), 3: ("unknown", "alert", 1, False, "noted")}
+
+
+def test_a_script_that_raises_costs_its_event_only(spark):
+    def odd(pdf):
+        if (pdf["event_id"] == 2).any():
+            raise RuntimeError("no")
+        return pdf["event_id"] % 2 == 1
+
+    e = Engine(host_schema())
+    e.add_script("odd", odd, "high")
+    with pytest.raises(ValueError):
+        e.add_script("odd", odd)
+    events = story(spark).coalesce(1)
+    assert sorted((r["rule_id"], r["severity"], r["event_ids"][0]) for r in e.alerts(events).collect()) == [("odd", "high", 1), ("odd", "high", 3)]
+    assert [(r["event_id"], r["error"]) for r in e.script_errors(events, "odd").collect()] == [(2, "RuntimeError: no")]
+    assert e.decisions(events).count() == 2
+
+
+def test_rules_are_watched(tmp_path):
+    e = Engine(host_schema())
+    (tmp_path / "a.eql").write_text("exec")
+    watch = RuleWatch(e, tmp_path)
+    assert watch.poll() and not watch.poll() and e.version == 1 and set(e.rules) == {"a"}
+    (tmp_path / "b.eql").write_text("nothing_like_it")
+    assert not watch.poll() and watch.failed and set(e.rules) == {"a"} and e.version == 1
+    (tmp_path / "b.eql").write_text("file_write")
+    told = []
+    thread = watch.start(0.05, told.append)
+    for _ in range(100):
+        if told:
+            break
+        time.sleep(0.05)
+    watch.stop()
+    thread.join(5)
+    assert told == [2] and set(e.rules) == {"a", "b"}
+
+
+def test_compilers_and_runtimes(spark):
+    c = Compilers()
+    text, cond = {"id": "t", "query": "exec where process.pid > 5"}, {"id": "c", "event_type": "file_write", "condition": {"type": "field_contains", "field": "file.path", "value": "shadow"}}
+    rule = c.compile(text)
+    assert c.compile(dict(text)) is rule and c.compile({**text, "query": "exec"}) is not rule
+    assert c.problems(cond, host_schema()) == [] and c.problems({"id": "x"}) and c.problems({"id": "x", "query": "a where"}) and c.problems({"id": "x", "query": "zzz"}, host_schema())
+    with pytest.raises(ValueError):
+        c.register(RuleCompiler("text", lambda r: True, lambda r: rule))
+    c.register(RuleCompiler("other", lambda r: "kind" in r, lambda r: rule))
+    assert c.compile({"id": "o", "kind": 1}) is rule
+    c.forget("t")
+    assert "t" not in c.made and "o" in c.made
+
+    r = Runtimes(host_schema())
+    r.load(c.compile(text))
+    r.load(c.compile(cond))
+    events = story(spark)
+    for name in (None, "interpreter"):
+        assert sorted(x["event_id"] for x in r.evaluate(events, "t", name).collect()) == [1, 3]
+        assert [x["event_id"] for x in r.evaluate(events, "c", name).collect()] == [2]
+    assert [d["name"] for d in described(r)] == ["native", "interpreter"]
+    assert r.runtime_of(r.rules["t"]).name == "native" and r.unregister("native") and r.runtime_of(r.rules["t"]).name == "interpreter"
+    with pytest.raises(InvalidRule):
+        r.runtime_of(replace(r.rules["t"], captures=(ir.Capture("process.pid"),)))
+    with pytest.raises(ValueError):
+        r.register(Runtime("interpreter", 1, frozenset(), None))
+    assert r.evaluate_once(events, 'file_write where regex("shad.w", file.path)').count() == 1
+    assert r.unload("t") and not r.unload("t")
+
+
+def test_packs(spark):
+    s = packs.pack_schema()
+    rows = [
+        ("network_connect", 1, 5, {"process.entity_id": "p", "network.direction": "outbound", "network.dest_port": 4444}),
+        ("process_exec", 3, 5, {"process.entity_id": "p", "process.executable": "/bin/sh"}),
+        ("file_write", 4, 6, {"process.entity_id": "q", "file.path": "/home/a.docx"}),
+        ("file_rename", 5, 6, {"process.entity_id": "q", "file.name": "a.docx.locked"}),
+        ("process_exec", 6, 7, {"process.entity_id": "r", "process.executable": "tar", "process.args": ["-c", "all.sql"]}),
+        ("network_send", 60, 7, {"process.entity_id": "r", "network.direction": "outbound", "network.dest_host": "x.s3.amazonaws.com"}),
+        ("process_exec", 7, 8, {"process.entity_id": "s", "file.path": "/home/me/.ssh/id"}),
+    ]
+    events = packs.broad_types(host(spark, rows))
+    e = Engine(s)
+    for rule in packs.all_packs():
+        e.add(rule)
+    assert sorted((r["rule_id"], r["entity_key"], tuple(r["event_ids"])) for r in e.alerts(events).collect()) == [("credential_access", "8", (7,)), ("data_exfiltration", "r", (5, 6)), ("ransomware", "q", (3, 4)), ("reverse_shell", "p", (1, 2))]
+
+
+def test_streamed_alerts(spark, tmp_path):
+    """Event rules and sequences over one stream, to JSON and batch by batch."""
+    story(spark).coalesce(1).write.json(f"{tmp_path}/in")
+    stream = spark.readStream.schema(HOST).json(f"{tmp_path}/in").withColumn("time", F.timestamp_micros(F.expr("ts_mono_ns div 1000")))
+    found = engine().stream(stream, F.col("time"), delay="1 second")
+    alerts.stream_json(found, f"{tmp_path}/out", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert {r["rule_id"] for r in spark.read.json(f"{tmp_path}/out").collect()} == {"shell", "etc"}
+    seen = []
+    alerts.stream_each(found, f"{tmp_path}/state2", lambda df, n: seen.extend(r["rule_id"] for r in df.collect())).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(seen) == ["etc", "shell"]
+    assert alerts.stream_console(found) is not None
+
+
 # rule files
 
 
@@ -231,7 +355,9 @@ def test_patterns(spark):
     df = spark.createDataFrame([("abcd",), ("xbc",), ("ABCD",), (None,), ("",)], "x string")
     rows = {(r["x"], r["pattern_id"], r["start_pos"], r["end_pos"]) for r in patterns.match_patterns(df, found).collect()}
     assert rows == {("abcd", 0, 1, 3), ("abcd", 1, 0, 1), ("abcd", 2, 3, 4), ("abcd", 3, 0, 4), ("abcd", 5, 0, 4), ("xbc", 0, 1, 3)}
+    assert {(r["x"], r["pattern_id"], r["start_pos"], r["end_pos"]) for r in patterns.match_patterns(df, found, expressions=0).collect()} == rows
     assert patterns.match_patterns(df, found, ignore_case=True).where("x = 'ABCD'").count() == 5
+    assert patterns.match_patterns(df, found, ignore_case=True, expressions=0).where("x = 'ABCD'").count() == 5
     for bad in ([], [patterns.Pattern(0, "", "equals", "x")], [patterns.Pattern(0, "a" * 5000, "equals", "x")], [patterns.Pattern(0, "a", "near", "x")]):
         with pytest.raises(InvalidRule):
             patterns.check(bad)

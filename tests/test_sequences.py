@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from emberline.operators.sequence import match_sequences
 from emberline.operators.transition import UNTIL, advance
 from emberline.plans import ir
-from emberline.plans.errors import InvalidRule
+from emberline.plans.errors import InvalidRule, RuleError
 from emberline.plans.parser import parse
 from emberline.schema import Schema
 from emberline.streaming.sequences import first_decisions, sessions, stream_sequences, windowed_counts
@@ -91,10 +91,40 @@ def test_many_rules_interleaved(spark):
 
 def test_limits(spark):
     with pytest.raises(InvalidRule):
-        match_sequences(frame(spark, []), [parse("sequence " + "[A] " * 30)], schema())
+        match_sequences(frame(spark, []), [parse("sequence " + " ".join(f"[A where pid == {i}]" for i in range(63)))], schema())
     with pytest.raises(InvalidRule):
         match_sequences(frame(spark, []), [parse("sequence [A]").named(str(i)) for i in range(1001)], schema())
     assert run(spark, "sequence [A] [B]", []) == []
+    assert match_sequences(frame(spark, []), [], schema()).columns == ["rule_id", "key", "first_ts", "ts", "event_ids", "captures"]
+
+
+def test_counted_steps(spark):
+    rows = [("A", i, "1") for i in range(4)] + [("B", 9, "1")] + [("A", i, "2") for i in range(3)] + [("B", 9, "2")]
+    assert run(spark, "sequence [A] with count > 3 [B]", rows) == [("1", 9, [1, 2, 3, 4, 5])]
+    assert run(spark, "sequence [A] with count >= 3 [B] with maxspan=20ms", rows) == [("1", 9, [1, 2, 3, 5]), ("2", 9, [6, 7, 8, 9])]
+    assert run(spark, "sequence [A] [A] with count >= 2", rows) == [("1", 2, [1, 2, 3]), ("2", 2, [6, 7, 8])]
+    assert run(spark, "sequence [A] with count > 39", [("A", i, "1") for i in range(100)]) == [("1", 39, list(range(1, 41))), ("1", 79, list(range(41, 81)))]
+    rule = replace(parse("sequence [A] with count > 2 [B]"), captures=(ir.Capture("pid", "a", 0), ir.Capture("pid", "b", 1)))
+    m = match_sequences(frame(spark, [("A", i, "1", "x", 10 + i) for i in range(3)] + [("B", 9, "1", "x", 99)]), [rule], schema()).first()
+    assert m["captures"] == {"a": "12", "b": "99"}
+    for wrong in ("sequence [A] with count", "sequence [A] with count > x", "sequence [A] with count >= 0", "sequence [A] until [B] with count > 2", "A with count > 3"):
+        with pytest.raises(RuleError):
+            parse(wrong)
+
+
+def test_a_quota_of_events(spark):
+    rows = [("A", 0, "1"), ("B", 1, "1"), ("A", 2, "1"), ("B", 3, "1"), ("C", 1, "2"), ("A", 2, "2"), ("C", 3, "2"), ("B", 4, "2")]
+    assert run(spark, "sequence [A] [B]", rows, max_events_per_key=3) == [("1", 1, [1, 2]), ("2", 4, [6, 8])]
+    assert run(spark, "sequence [A] [B]", rows, max_events_per_key=1) == []
+    assert run(spark, "sequence [A]", rows, max_events_per_key=1) == [("1", 0, [1]), ("2", 2, [6])]
+
+
+def test_one_step_is_a_filter(spark):
+    rules = [parse("sequence [A where pid > 1]").named("a"), replace(parse("sequence by exe [B] until [B where pid == 5]").named("b"), captures=(ir.Capture("pid"),))]
+    rows = [("A", 0, "1", "x", 1), ("A", 1, "1", "x", 2), ("A", 2, None, "x", 2), ("B", 3, "1", "x", 4), ("B", 4, "1", "x", 5), ("B", 5, "1", None, 4), ("A", None, "1", "x", 2)]
+    m = match_sequences(frame(spark, rows), rules, schema())
+    assert "Exchange" not in m._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["rule_id"], r["key"], r["ts"] // MS, list(r["event_ids"]), r["captures"]) for r in m.collect()) == [("a", "1", 1, [2], None), ("b", "x", 3, [4], {"pid": "4"})]
 
 
 def by_hand(rows, steps, span, until):
@@ -127,7 +157,7 @@ def test_the_transition_is_the_rule(steps, events, span):
     live, got = None, []
     for ts, i, kinds in sorted(rows):
         mask = sum(1 << n for n, s in enumerate(steps) if s in kinds) | (UNTIL if "U" in kinds else 0)
-        live, done = advance(live, len(steps), span, mask, ts, (i,))
+        live, done = advance(live, tuple(1 << n for n in range(len(steps))), span, mask, ts, (i,))
         if done:
             got.append([e[0] for e in done])
     assert got == by_hand(rows, steps, span, "U")
@@ -171,6 +201,13 @@ def test_a_stream_in_any_order_gives_the_matches_of_a_batch(spark, tmp_path):
     assert want.count() > 30
 
 
+def test_a_stream_of_several_keys(spark, tmp_path):
+    rows = [("A", 1, "1", "x", 1), ("A", 2, "2", "y", 1), ("B", 3, "2", "x", 1), ("A", 10_000_000, "end", "end", 1)]
+    rules = [parse("sequence [A] [B]").named("a"), parse("sequence by exe [A] [B]").named("b")]
+    found = stream_sequences(source(spark, rows, f"{tmp_path}/in"), rules, schema(), F.col("time"), delay="2 hours")
+    assert sorted((r["rule_id"], r["key"], list(r["event_ids"])) for r in write_stream(spark, found, tmp_path).collect()) == [("a", "2", [2, 3]), ("b", "x", [1, 3])]
+
+
 def test_windows_sessions_and_first_decisions_of_streams(spark, tmp_path):
     rows = [("A", t, "1") for t in (0, 1000, 61_000, 200_000)] + [("A", 10_000_000, "end")]
     counts = write_stream(spark, windowed_counts(source(spark, rows, f"{tmp_path}/a"), delay="1 hour"), f"{tmp_path}/aa")
