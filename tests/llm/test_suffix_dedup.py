@@ -179,3 +179,53 @@ def test_a_shard_far_above_memory_keeps_to_a_memory_limit(tmp_path):
     done = subprocess.run([sys.executable, "-c", SHARD, str(1 << 16), "30000", "48"], cwd=os.path.dirname(S.__file__) + "/../..", env=env, capture_output=True, text=True, timeout=300)
     # for each anchor: a run of the first kind, and two of the second
     assert (done.stdout.strip(), done.stderr) == (str(3750 * 3), "")
+
+
+SORT = """
+import resource, sys
+import numpy as np
+from emberline.llm import induced
+
+memory, n, room = (int(x) for x in sys.argv[1:])
+r = np.random.default_rng(1)
+
+
+def text(n):
+    x = np.lib.format.open_memmap(sys.stdin.readline().strip(), "w+", np.int64, (n + 1,))
+    for a in range(0, n, 100_000):
+        x[a : min(n, a + 100_000)] = r.integers(1, 200, min(100_000, n - a))
+    half = n // 3
+    x[half : 2 * half] = x[:half]  # a long repeat
+    x[n] = 0
+    return x
+
+
+def sort(x):
+    store = induced.Store(None, memory)
+    sa, lcp = induced.suffix_array(x, store)
+    files = store.files
+    store.close()
+    return sa, lcp, files
+
+
+sort(text(3000))  # what the libraries take
+x = text(n)
+data = next(int(v.split()[1]) for v in open("/proc/self/status") if v.startswith("VmData:")) << 10
+resource.setrlimit(resource.RLIMIT_DATA, (data + (room << 20),) * 2)
+sa, lcp, files = sort(x)
+p, q, m = sa[0:n:997], sa[1 : n + 1 : 997], lcp[1 : n + 1 : 997]
+for a, b, c in zip(p.tolist(), q.tolist(), m.tolist()):
+    k = min(c, 500)
+    assert (x[a : a + k] == x[b : b + k]).all() and x[a + c] < x[b + c]
+print(files, int(np.max(lcp)))
+"""
+
+
+def test_sorting_far_above_memory_keeps_to_a_memory_limit(tmp_path):
+    """A text of 1.5 million symbols, 90 times ``memory``, is sorted in 64 MB; its arrays would take several times as much."""
+    n = 1_500_000
+    env = {**os.environ, "TMPDIR": str(tmp_path), "OPENBLAS_NUM_THREADS": "1"}
+    done = subprocess.run([sys.executable, "-c", SORT, str(1 << 14), str(n), "64"], input=f"{tmp_path}/a.npy\n{tmp_path}/b.npy\n", cwd=os.path.dirname(S.__file__) + "/../..", env=env, capture_output=True, text=True, timeout=300)
+    assert done.stderr == ""
+    files, longest = map(int, done.stdout.split())
+    assert files > 10 and longest >= n // 3 - 1
