@@ -8,10 +8,11 @@ The document-by-n-gram incidence matrix is multiplied with its transpose in bloc
 2. ``_shared`` keeps, in each bucket, the n-grams that two sets hold at least.
 3. ``_rows`` puts the rows of the matrix together again and drops the sets that hold too few shared
    n-grams for any partner: an overlap of ``ceil(t * size)`` is needed whatever the partner's size.
-4. ``_product`` multiplies bucket by bucket, discards pairs whose sizes alone rule them out, and
-   Spark sums the overlap over the buckets.
-5. n-grams in more than ``heavy`` sets take no part in the product of sets that hold other n-grams
-   enough. A pair's bound counts them as if all were common; for the pairs left they are compared.
+4. ``_product`` multiplies the n-grams that at most ``heavy`` sets hold, bucket by bucket, discards pairs whose sizes alone rule
+   them out, and Spark sums the overlap over the buckets. A pair's bound counts its other n-grams as if all were common; for the pairs left they are compared.
+5. Sets that hold so many n-grams of more than ``heavy`` sets that they may match by these alone meet by them: in dense blocks of
+   at most ``2 * SIDE`` sets, whole rows of the matrix, however many sets there are (``_dense``). A pair is judged in one block only, and a block gives
+   sums of links and who hangs together, not pairs: a large group of near copies is counted but never written out.
 
 The result is exact but for collisions of hashes (of at least 20 bits more than it takes to number
 all n-grams). Similar sets are linked, and what is linked is one class (``linked``): pairs are never written out for documents, only for
@@ -35,6 +36,8 @@ from emberline.llm.common import cut, forget, id_text, pieces, spread
 NGRAM = 5
 THRESHOLD = 0.4
 HEAVY = 200
+#: sets of a side of a dense block
+SIDE = 2000
 DOCS_PER_BUCKET = 4000
 FLUSH_GRAMS = 2_500_000
 
@@ -244,8 +247,8 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(_u(x.as_buffer(), f.type.to_pandas_dtype())) for x, f in zip((a, c, d), _MEMBER)], schema=_MEMBER)
 
 
-_ROW_DDL = "sig long, n int, h int, light binary, heavy array<long>"
-_ROW = pa.schema([("sig", pa.int64()), ("n", pa.int32()), ("h", pa.int32()), ("light", pa.binary()), ("heavy", pa.list_(pa.int64()))])
+_ROW_DDL = "sig long, n int, h int, light binary, heavy array<long>, copies long"
+_ROW = pa.schema([("sig", pa.int64()), ("n", pa.int32()), ("h", pa.int32()), ("light", pa.binary()), ("heavy", pa.list_(pa.int64())), ("copies", pa.int64())])
 
 
 def _rows(t: float):
@@ -267,7 +270,7 @@ def _rows(t: float):
             owner.append(np.repeat(_u(d, np.int64), _u(c, np.uint32)))
         if not codes or not sets.num_rows:
             return _ROW.empty_table()
-        own, n = sets["sig"].to_numpy(), sets["n"].to_numpy()
+        own, n, copies = sets["sig"].to_numpy(), sets["n"].to_numpy(), sets["copies"].to_numpy()
         code, who = np.concatenate(codes), np.concatenate(owner)
         o = np.lexsort((code, who))
         code, who = code[o], who[o]
@@ -278,7 +281,7 @@ def _rows(t: float):
             mine = code[lo[i] : hi[i]]
             first_heavy = int(np.searchsorted(mine, 1 << 62))
             heavy = mine[first_heavy:] & ((1 << 62) - 1)
-            for col, v in zip(cols, (int(own[i]), int(n[i]), len(heavy), mine[:first_heavy].tobytes(), heavy.tolist())):
+            for col, v in zip(cols, (int(own[i]), int(n[i]), len(heavy), mine[:first_heavy].tobytes(), heavy.tolist(), int(copies[i]))):
                 col.append(v)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ROW)], schema=_ROW)
 
@@ -289,8 +292,8 @@ _ENTRY_DDL = "b int, code binary, sig binary, n binary, h binary"
 _ENTRY = pa.schema([("b", pa.int32()), ("code", pa.binary()), ("sig", pa.binary()), ("n", pa.binary()), ("h", pa.binary())])
 
 
-def _entries(t: float, labels: np.ndarray):
-    """Incidence for the product: light n-grams of all rows, heavy ones of rows that may match by them alone."""
+def _entries(labels: np.ndarray):
+    """Incidence for the product: the light n-grams of all rows."""
 
     def flush(code, sig, n, h):
         code, sig, n, h = map(np.concatenate, (code, sig, n, h))
@@ -307,10 +310,8 @@ def _entries(t: float, labels: np.ndarray):
         held: tuple[list, list, list, list] = ([], [], [], [])
         many = 0
         for batch in batches:
-            for sig, n, h, light, heavy in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for sig, n, h, light in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 code = _u(light, np.int64)
-                if h and h >= math.ceil(t * n - 1e-9):
-                    code = np.r_[code, np.array(heavy, np.int64) | (1 << 62)]
                 if len(code):
                     for x, v in zip(held, (code, np.full(len(code), sig, np.int64), np.full(len(code), n, np.int32), np.full(len(code), h, np.int32))):
                         x.append(v)
@@ -324,7 +325,7 @@ def _entries(t: float, labels: np.ndarray):
     return run
 
 
-_PAIR_DDL = "a long, b long, n_a int, n_b int, h_a int, h_b int, light long, heavy long"
+_PAIR_DDL = "a long, b long, n_a int, n_b int, h_a int, h_b int, light long"
 _PAIR = pa.schema([(x.split()[0], pa.int64() if x.split()[1] == "long" else pa.int32()) for x in _PAIR_DDL.split(", ")])
 
 
@@ -349,7 +350,14 @@ def _pairs_of(lists: np.ndarray, start: np.ndarray, count: np.ndarray, most: int
 
 
 def _product(t: float):
-    """The product over a bucket of n-grams: overlaps of all pairs of rows whose sizes allow them."""
+    """The product over a bucket of light n-grams: overlaps of all pairs of rows whose sizes allow them."""
+
+    def merge(keys: np.ndarray, hits: np.ndarray, waiting: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        k, c = np.unique(np.concatenate(waiting), return_counts=True)
+        if not len(keys):
+            return k, c
+        k2, inv = np.unique(np.r_[keys, k], return_inverse=True)
+        return k2, np.bincount(inv, np.r_[hits, c], len(k2)).astype(np.int64)
 
     @K.trimmed
     def run(table: pa.Table) -> pa.Table:
@@ -363,54 +371,139 @@ def _product(t: float):
         start = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
         count = np.diff(np.r_[start, len(code)])
         several = count > 1
-        start, count, heavy = start[several], count[several], code[start[several]] >> 62 > 0
-        parts: list[pa.Table] = []
-        sums: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
-        for which in (False, True):
-            keys, hits, waiting, pending = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
-
-            def merge(keys, hits, waiting):
-                k, c = np.unique(np.concatenate(waiting), return_counts=True)
-                if not len(keys):
-                    return k, c
-                k2, inv = np.unique(np.r_[keys, k], return_inverse=True)
-                return k2, np.bincount(inv, np.r_[hits, c], len(k2)).astype(np.int64)
-
-            for l, r in _pairs_of(row, start[heavy == which], count[heavy == which]):
-                fits = np.minimum(n[l], n[r]) >= t * np.maximum(n[l], n[r]) - 1e-9
-                waiting.append(l[fits] * len(own) + r[fits])
-                pending += int(fits.sum())
-                if pending > 4_000_000:
-                    keys, hits = merge(keys, hits, waiting)
-                    waiting, pending = [], 0
-            if waiting:
+        keys, hits, waiting, pending = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+        for l, r in _pairs_of(row, start[several], count[several]):
+            fits = np.minimum(n[l], n[r]) >= t * np.maximum(n[l], n[r]) - 1e-9
+            waiting.append(l[fits] * len(own) + r[fits])
+            pending += int(fits.sum())
+            if pending > 4_000_000:
                 keys, hits = merge(keys, hits, waiting)
-            sums[which] = keys, hits
-        keys = np.union1d(sums[False][0], sums[True][0])
-        light, hard = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        for out, (k, c) in ((light, sums[False]), (hard, sums[True])):
-            out[np.searchsorted(keys, k)] = c
+                waiting, pending = [], 0
+        if waiting:
+            keys, hits = merge(keys, hits, waiting)
         a, b = keys // len(own), keys % len(own)
-        cols = [own[a], own[b], n[a], n[b], h[a], h[b], light, hard]
-        parts.append(pa.Table.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(cols, _PAIR)], schema=_PAIR))
-        return parts[0]
+        cols = [own[a], own[b], n[a], n[b], h[a], h[b], hits]
+        return pa.Table.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(cols, _PAIR)], schema=_PAIR)
+
+    return run
+
+
+_LINK_DDL = "a long, b long, n_a int, n_b int, overlap long, more long"
+_LINK = pa.schema([(x.split()[0], pa.int64() if x.split()[1] == "long" else pa.int32()) for x in _LINK_DDL.split(", ")])
+
+
+def _incidence_matrix(row: np.ndarray, column: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    out = np.zeros((rows, columns), np.float32)
+    out[row, column] = 1
+    return out
+
+
+def _components_of(hits: np.ndarray) -> np.ndarray:
+    """The least place of each row's component of a symmetric matrix."""
+    label = np.arange(len(hits))
+    while True:
+        new = label.copy()
+        for a in range(0, len(hits), 256):
+            near = np.where(hits[a : a + 256], label[None, :], len(hits)).min(1, initial=len(hits))
+            new[a : a + 256] = np.minimum(label[a : a + 256], near)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _dense(t: float, wide: bool):
+    """A dense block: the sets of one route, two of its parts against each other, or one within itself (``i`` = ``j``).
+
+    Gives, for each set with a link here, the copies that its partners have (``more``), and the least set that hangs together with it (``b``); or all pairs, if ``wide``.
+    Pairs that have a lesser route in common belong to that one.
+    """
+
+    @K.trimmed
+    def run(table: pa.Table) -> pa.Table:
+        route, i, j = (table[c][0].as_py() for c in ("route", "i", "j"))
+        table = table.sort_by("sig")
+        sig, n, part, copies = (table[c].to_numpy() for c in ("sig", "n", "part", "copies"))
+        n = n.astype(np.int64)
+        codes = [np.concatenate([_u(x, np.int64), np.array(y, np.int64) | (1 << 62)]) for x, y in zip(table["light"].to_pylist(), table["heavy"].to_pylist())]
+        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        if not len(left) or not len(right):
+            return _LINK.empty_table()
+        side = np.zeros(len(sig), np.int64)
+        side[left], at_right = np.arange(len(left)), np.zeros(len(sig), np.int64)
+        at_right[right] = np.arange(len(right))
+        row = np.repeat(np.arange(len(sig)), [len(c) for c in codes])
+        code, column, held = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
+        keep = held[column] > 1
+        row, column = row[keep], np.unique(column[keep], return_inverse=True)[1]
+        o = np.lexsort((row, column))
+        row, column = row[o], column[o]
+        is_left, is_right = part == i, part == j
+        overlap = np.zeros((len(left), len(right)), np.float32)
+        # a thousand columns at a time: what a block's sets have in common
+        last = int(column[-1]) + 1 if len(column) else 0
+        for lo in range(0, last, 1024):
+            a, b = np.searchsorted(column, [lo, lo + 1024])
+            r, c = row[a:b], column[a:b] - lo
+            l_ok, r_ok = is_left[r], is_right[r]
+            x = _incidence_matrix(side[r[l_ok]], c[l_ok], len(left), 1024)
+            y = x if i == j else _incidence_matrix(at_right[r[r_ok]], c[r_ok], len(right), 1024)
+            overlap += x @ y.T
+        need = required(n[left][:, None], n[right][None, :], t)
+        hits = overlap >= need
+        # pairs that meet by a lesser route, too
+        routes = [[x for x in own if x < route] for own in table["routes"].to_pylist()]
+        flat = np.array([x for own in routes for x in own], np.int64)
+        if len(flat):
+            names, at = np.unique(flat, return_inverse=True)
+            r = np.repeat(np.arange(len(sig)), [len(own) for own in routes])
+            for lo in range(0, len(names), 1024):
+                ok = (at >= lo) & (at < lo + 1024)
+                l_ok, r_ok = ok & is_left[r], ok & is_right[r]
+                x = _incidence_matrix(side[r[l_ok]], at[l_ok] - lo, len(left), 1024)
+                y = _incidence_matrix(at_right[r[r_ok]], at[r_ok] - lo, len(right), 1024)
+                hits &= x @ y.T == 0
+        if i == j:
+            np.fill_diagonal(hits, False)
+        if wide:
+            a, b = np.nonzero(np.triu(hits) if i == j else hits)
+            a, b = left[a], right[b]
+            lesser = sig[a] < sig[b]
+            a, b, both = np.where(lesser, a, b), np.where(lesser, b, a), overlap[np.nonzero(np.triu(hits) if i == j else hits)]
+            cols = [sig[a], sig[b], n[a], n[b], both, np.zeros(len(a))]
+        else:
+            more = np.zeros(len(sig), np.int64)
+            more[left] += (hits @ copies[right].astype(np.float64)).astype(np.int64)
+            if i != j:
+                more[right] += (copies[left].astype(np.float64) @ hits).astype(np.int64)
+                both = np.zeros((len(sig), len(sig)), bool)
+                both[np.ix_(left, right)] = hits
+                both |= both.T
+            else:
+                both = hits
+            label = _components_of(both)
+            a = np.flatnonzero(more > 0)
+            cols = [sig[a], sig[label[a]], n[a], n[label[a]], np.zeros(len(a)), more[a]]
+        return pa.Table.from_arrays([pa.array(np.asarray(c).astype(f.type.to_pandas_dtype())) for c, f in zip(cols, _LINK)], schema=_LINK)
 
     return run
 
 
 class Sets(NamedTuple):
-    """Distinct n-gram sets: who holds which, their sizes, and the pairs of similar ones."""
+    """Distinct n-gram sets: who holds which, their sizes, and which are similar."""
 
     #: k, sig: documents and their sets, each once
     members: DataFrame
     #: sig, n, rep, copies: size of a set, the least document that holds it, and how many do
     classes: DataFrame
-    #: a < b, n_a, n_b, overlap
+    #: a < b, n_a, n_b, overlap: similar sets, but for those that met in dense blocks
     pairs: DataFrame
+    #: of dense blocks: a, b, more, see ``_dense``; or pairs like the others
+    dense: DataFrame
 
 
-def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, heavy: int = HEAVY) -> Sets:
-    """The n-gram sets of ``docs``. Documents without any word have none."""
+def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, heavy: int = HEAVY, side: int = SIDE, wide: bool = False) -> Sets:
+    """The n-gram sets of ``docs``. Documents without any word have none. ``wide`` asks for the pairs of dense blocks, too."""
     spark = docs.sparkSession
     many = docs.count()
     labels = spread(spark, pieces(many, DOCS_PER_BUCKET, 4))
@@ -421,27 +514,40 @@ def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     classes = cut(members.groupBy("sig").agg(F.first("n").alias("n"), F.min("k").alias("rep"), F.count("*").alias("copies")))
     place = F.pmod("sig", F.lit(buckets)).cast("int")
     bucket_of = place if buckets > 4096 else F.element_at(F.lit(labels.tolist()), place + 1)
-    sizes = classes.select(bucket_of.alias("b"), "sig", "n")
+    sizes = classes.select(bucket_of.alias("b"), "sig", "n", "copies")
     incidence = shared.where(F.col("kind") == _INCIDENCE)
     rows = cut(incidence.groupBy("b").cogroup(sizes.groupBy("b")).applyInArrow(_rows(threshold), _ROW_DDL))
-    counts = rows.mapInArrow(_entries(threshold, labels[: _ROUTES]), _ENTRY_DDL).groupBy("b").applyInArrow(_product(threshold), _PAIR_DDL)
+
+    # by light n-grams
+    counts = rows.mapInArrow(_entries(labels[:_ROUTES]), _ENTRY_DDL).groupBy("b").applyInArrow(_product(threshold), _PAIR_DDL)
     need = F.ceil((F.col("n_a") + F.col("n_b")) * threshold / (1 + threshold) - 1e-9)
-    alone = lambda x: F.col(f"h_{x}") >= F.ceil(F.col(f"n_{x}") * threshold - 1e-9)
-    summed = counts.groupBy("a", "b", "n_a", "n_b", "h_a", "h_b").agg(F.sum("light").alias("light"), F.sum("heavy").alias("heavy")).where(F.col("light") + F.least("h_a", "h_b") >= need)
-    known = (F.least("h_a", "h_b") == 0) | (alone("a") & alone("b"))
-    summed = cut(summed.withColumn("overlap", F.when(known, F.col("light") + F.col("heavy"))))
+    alone = lambda h, n: F.col(h) >= F.greatest(F.ceil(F.col(n) * threshold - 1e-9), F.lit(1))
+    summed = counts.groupBy("a", "b", "n_a", "n_b", "h_a", "h_b").agg(F.sum("light").alias("light")).where(F.col("light") + F.least("h_a", "h_b") >= need)
+    summed = cut(summed)
+    plain = F.least("h_a", "h_b") == 0
     hard = rows.where("h > 0").select("sig", "heavy")
-    done = summed.where("overlap is not null").select("a", "b", "n_a", "n_b", "overlap")
     open_ = (
-        summed.where("overlap is null")
+        summed.where(~plain)
         .join(hard.select(F.col("sig").alias("a"), F.col("heavy").alias("x")), "a")
         .join(hard.select(F.col("sig").alias("b"), F.col("heavy").alias("y")), "b")
-        .select("a", "b", "n_a", "n_b", (F.col("light") + F.size(F.array_intersect("x", "y"))).cast("long").alias("overlap"))
+        .withColumn("both", F.size(F.array_intersect("x", "y")))
+        # what may match by heavy n-grams alone and has one in common meets in a dense block
+        .where(~(alone("h_a", "n_a") & alone("h_b", "n_b") & (F.col("both") > 0)))
     )
-    pairs = cut(done.unionByName(open_).where(F.col("overlap") >= need))
+    done = summed.where(plain).select("a", "b", "n_a", "n_b", F.col("light").alias("overlap"))
+    pairs = cut(done.unionByName(open_.select("a", "b", "n_a", "n_b", (F.col("light") + F.col("both")).cast("long").alias("overlap"))).where(F.col("overlap") >= need))
+
+    # by heavy ones: each route's sets in parts, each part with each other one; there are 2 ** _ROUTE_BITS routes at most
+    route = lambda c: F.shiftright(c, 31 - _ROUTE_BITS).bitwiseAND(F.lit(_ROUTES - 1)).cast("int")
+    routed = rows.where(alone("h", "n")).withColumn("routes", F.array_distinct(F.transform("heavy", route)))
+    crowds = routed.select(F.explode("routes").alias("route")).groupBy("route").agg(F.count("*").alias("m")).where("m > 1").select("route", F.ceil(F.col("m") / side).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")
+    met = routed.withColumn("route", F.explode("routes")).join(F.broadcast(crowds), "route").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = met.select("route", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "sig", "n", "copies", "light", "heavy", "routes")
+    dense = cut(blocks.groupBy("route", "i", "j").applyInArrow(_dense(threshold, wide), _LINK_DDL))
     for done_with in (shared, rows, summed):
         forget(done_with)
-    return Sets(members.select("k", "sig"), classes, pairs)
+    return Sets(members.select("k", "sig"), classes, pairs, dense)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -465,20 +571,20 @@ def components(edges: DataFrame) -> DataFrame:
         old = new
 
 
-def representatives(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
+def representatives(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, heavy: int = HEAVY, side: int = SIDE) -> tuple[DataFrame, DataFrame]:
     """Membership (``doc_id, rep``: the least document with the same n-gram set) and pairs of representatives (``rep_a, rep_b, overlap, jaccard``).
 
     Together these are all pairs of similar documents: two documents are similar where they have one representative (then the similarity is
-    1) or where theirs are a pair. Odd input is taken as ``linked`` does.
+    1) or where theirs are a pair. A group of very many near copies, no two of which are equal, makes as many rows as it has pairs; ``linked`` doesn't. Odd input is taken as there.
     """
-    s = similar_sets(docs, n, threshold, heavy)
+    s = similar_sets(docs, n, threshold, heavy, side, wide=True)
     rep = s.classes.select("sig", "rep")
-    both = s.pairs.join(rep.select(F.col("sig").alias("a"), F.col("rep").alias("x")), "a").join(rep.select(F.col("sig").alias("b"), F.col("rep").alias("y")), "b")
+    both = s.pairs.unionByName(s.dense.drop("more")).join(rep.select(F.col("sig").alias("a"), F.col("rep").alias("x")), "a").join(rep.select(F.col("sig").alias("b"), F.col("rep").alias("y")), "b")
     pairs = both.select(F.least("x", "y").alias("rep_a"), F.greatest("x", "y").alias("rep_b"), "overlap", (F.col("overlap") / (F.col("n_a") + F.col("n_b") - F.col("overlap"))).alias("jaccard"))
     return s.members.join(rep, "sig").select(F.col("k").alias("doc_id"), "rep"), pairs
 
 
-def linked(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, heavy: int = HEAVY) -> DataFrame:
+def linked(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, heavy: int = HEAVY, side: int = SIDE) -> DataFrame:
     """``doc_id, class_id, n_links`` for each document that is similar to another, ``threshold`` or more.
 
     ``n_links`` is the number of documents that it is similar to, copies counted one by one. A class is what links connect, and
@@ -489,14 +595,15 @@ def linked(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, heavy:
     texts is in one class with what any of them is similar to, and its links, those between its own texts too, add up. Other columns play no part; an
     empty table gives no rows.
     """
-    s = similar_sets(docs, n, threshold, heavy)
+    s = similar_sets(docs, n, threshold, heavy, side)
     # a document with several sets holds them together
     own = s.members.groupBy("k").agg(F.min("sig").alias("a"), F.max("sig").alias("z")).where("a <> z").select("k", "a")
     several = s.members.join(own, "k").where("sig <> a").select("a", F.col("sig").alias("b"))
-    parts = components(s.pairs.select("a", "b").unionByName(several))
+    parts = components(s.pairs.select("a", "b").unionByName(several).unionByName(s.dense.select("a", "b")))
     least = parts.join(s.classes.select(F.col("sig").alias("node"), "rep"), "node").groupBy("label").agg(F.min("rep").alias("class_id"))
     copies = s.classes.select(F.col("sig").alias("b"), "copies")
-    each = s.pairs.select("a", "b").unionByName(s.pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(copies, "b").groupBy(F.col("a").alias("sig")).agg(F.sum("copies").alias("more"))
+    each = s.pairs.select("a", "b").unionByName(s.pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(copies, "b").select("a", F.col("copies").alias("more"))
+    each = each.unionByName(s.dense.select("a", "more")).groupBy(F.col("a").alias("sig")).agg(F.sum("more").alias("more"))
     info = s.classes.join(parts.select(F.col("node").alias("sig"), "label"), "sig", "left").where("copies > 1 or label is not null").join(least, "label", "left").join(each, "sig", "left")
     info = cut(info.select("sig", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links")))
     # a set that very many documents hold is a skewed key here; the join is split by AQE, and only its rows are ever in a task

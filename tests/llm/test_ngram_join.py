@@ -67,15 +67,15 @@ def as_classes(df):
     return {r["doc_id"]: (r["class_id"], r["n_links"]) for r in rows}
 
 
-@pytest.mark.parametrize(("seed", "heavy"), [(1, 200), (2, 3), (3, 1)])
-def test_pairs_and_classes_are_those_of_brute_force(spark, seed, heavy):
-    """``heavy`` of a few sends most n-grams the other way round."""
+@pytest.mark.parametrize(("seed", "heavy", "side"), [(1, 200, 2000), (2, 3, 2000), (3, 1, 2000), (4, 3, 7), (5, 1, 3), (6, 5, 2)])
+def test_pairs_and_classes_are_those_of_brute_force(spark, seed, heavy, side):
+    """``heavy`` of a few sends most sets to dense blocks, and a small ``side`` makes many of these."""
     docs = corpus(seed, 150)
     pairs = jaccard_pairs(docs)
     assert len(pairs) > 100
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    assert all_pairs(df, heavy=heavy) == {k: round(j, 9) for k, (_, j) in pairs.items()}
-    assert as_classes(J.linked(df, heavy=heavy)) == classes_of(pairs)
+    assert all_pairs(df, heavy=heavy, side=side) == {k: round(j, 9) for k, (_, j) in pairs.items()}
+    assert as_classes(J.linked(df, heavy=heavy, side=side)) == classes_of(pairs)
 
 
 def test_thousands_of_copies(spark):
@@ -85,6 +85,22 @@ def test_thousands_of_copies(spark):
     assert [r["doc_id"] for r in J.drop_near_copies(df).collect()] == [0]
 
 
+def test_a_group_of_many_near_copies(spark):
+    """Three hundred different texts that are all near copies: their n-grams are heavy at the default bound."""
+    r = random.Random(11)
+    base = odd.prose(12, 60).split()
+    docs = []
+    for i in range(300):
+        w = list(base)
+        w[r.randrange(60)] = f"own{i}"
+        docs.append((i, " ".join(w)))
+    docs += [(1000 + i, odd.prose(2000 + i, 60)) for i in range(50)]
+    pairs = jaccard_pairs(docs)
+    assert len(pairs) > 40_000
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert as_classes(J.linked(df)) == as_classes(J.linked(df, side=70)) == classes_of(pairs)
+
+
 def test_odd_documents(spark):
     docs = odd.documents(spark)
     got = as_classes(J.linked(docs))
