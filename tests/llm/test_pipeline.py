@@ -9,10 +9,11 @@ import corpus_pipeline as P
 import odd
 import pyarrow as pa
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 from test_mixing import brute_mix
 
-from emberline.llm import mixing, packing, quality_net
+from emberline.llm import mixing, packing, quality_net, token_counts
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -93,7 +94,8 @@ def test_each_stage_is_that_of_brute_force(spark, folder, tmp_path):
     assert sizes[0] > sizes[1] > sizes[2] == sizes[3] > sizes[4]
     last = P.STAGES[-1][1](spark, docs, folder).collect()
     rows = sorted(docs.select("doc_id", "text", F.xxhash64("text").alias("th")).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["th"]))
-    sizes = [brute.word_count(r["text"]) for r in rows]
+    exact = tiktoken.Encoding("t", pat_str=token_counts.PATTERN, mergeable_ranks=token_counts.read_ranks(token_counts.VOCABULARY), special_tokens={})
+    sizes = [len(exact.encode_ordinary(r["text"] or "")) for r in rows]
     want = [(rows[i]["doc_id"], piece, w, at, n) for i, piece, w, at, n in brute.pack(sizes, packing.CAPACITY)]
     assert sorted(((r["doc_id"], r["piece"], r["window_id"], r["window_offset"], r["n_tokens"]) for r in last if r["window_id"] is not None), key=str) == sorted(want, key=str)
     assert sum(r["window_id"] is None for r in last) == sum(n == 0 for n in sizes)
