@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import shutil
 import tempfile
 import uuid
 
@@ -90,7 +89,3 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in have:
         name = "_" + name
     return name
-
-
-def remove_tree(path: str) -> None:
-    shutil.rmtree(path, ignore_errors=True)
