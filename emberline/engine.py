@@ -28,7 +28,7 @@ from emberline.plans.typing import resolve
 from emberline.schema import Schema
 from emberline.sources import rules as R
 from emberline.sources.normalize import interesting
-from emberline.streaming.sequences import stream_sequences
+from emberline.streaming.sequences import BUCKETS, stream_sequences
 
 
 @dataclass(frozen=True)
@@ -193,14 +193,14 @@ class Engine:
         parts = [p.select("rule_id", "key", "ts") for p in (single, many) if p is not None]
         return rule_metrics(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
 
-    def stream(self, events: DataFrame, time: Column, delay: str = "10 seconds") -> DataFrame:
-        """Alerts over a stream: of event rules at once, of sequences as the watermark passes their last event."""
+    def stream(self, events: DataFrame, time: Column, delay: str = "10 seconds", buckets: int = BUCKETS) -> DataFrame:
+        """Alerts over a stream: of event rules at once, of sequences as the watermark passes their last event; ``buckets`` as ``stream_sequences`` says."""
         c = self.columns
         parts = []
         if self.event_rules:
             parts.append(A.event_alerts(match_events(events, self.event_rules, self.schema, self.missing, c.ts, c.id, c.type, c.entity), self.event_rules))
         if self.sequences:
-            found = stream_sequences(events, self.sequences, self.schema, time, delay, self.missing, self.sticky, c.ts, c.id, c.type, c.entity)
+            found = stream_sequences(events, self.sequences, self.schema, time, delay, self.missing, self.sticky, c.ts, c.id, c.type, c.entity, buckets)
             parts.append(A.sequence_alerts(found, self.sequences))
         if not parts:
             raise ValueError("the engine has no rules")

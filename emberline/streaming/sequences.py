@@ -4,6 +4,9 @@ Events of a key wait in state until the watermark has passed them and run throug
 stream gives the matches that a batch over the same events does. Events that come after the watermark has passed their
 time are dropped. The state of a key is its waiting events and its partial matches, and goes when both are gone; a
 partial match is dropped at the end of its span.
+
+A call of Python costs milliseconds whatever it does, so keys share state by hash: a micro-batch makes at most ``BUCKETS`` calls for each field that rules group
+by, however many keys it has. No key is left out or cut short.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +22,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from emberline.functions.predicates import Compiler
 from emberline.operators.sequence import Spec, _spec, events_columns, with_captures
-from emberline.operators.transition import advance
+from emberline.operators.transition import UNTIL, Partial, advance
 from emberline.plans import ir
 from emberline.plans.typing import resolve
 from emberline.schema import Schema
@@ -27,35 +31,66 @@ _OUT = "rule_id string, key string, first_ts long, ts long, event_ids array<long
 _NAMES = [x.split()[0] for x in _OUT.split(", ")]
 
 
-def _processor(specs: Sequence[Sequence[Spec]], sticky: bool):
-    """``specs``: the rules of each field that rules group by; a key is the field's number and a value."""
+#: states of a field that rules group by; more of them make a state smaller, and so what a micro-batch writes again for keys without events
+BUCKETS = 4096
+
+#: numbers of an event before its masks: time, id (0 for null), whether it has an id
+_TS, _ID, _HAS_ID, _MASKS = range(4)
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        spec = specs[key[0]]
-        waiting, live = pickle.loads(state.get[0]) if state.exists else ([], [None] * len(spec))
+
+def _processor(specs: Sequence[Sequence[Spec]], sticky: bool):
+    """``specs``: the rules of each field that rules group by; a state is that of the field's number and a bucket of its values."""
+
+    def run(at: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        spec = specs[at[0]]
+        # waiting events: keys, numbers (a row each), captured values if any rule has some
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray | None]] = []
+        live: dict[tuple[str, int], Partial] = {}
+        if state.exists:
+            names, codes, numbers, caps, live = pickle.loads(state.get[0])
+            parts.append((names[codes], numbers, caps))
         for pdf in frames:
-            caps = pdf["caps"] if "caps" in pdf else [None] * len(pdf)
-            for ts, event_id, masks, cap in zip(pdf["ts"].tolist(), pdf["event_id"].tolist(), pdf["masks"], caps):
-                waiting.append((ts, event_id, [int(m) for m in masks], None if cap is None else [list(c) for c in cap]))
+            if len(pdf):
+                numbers = np.concatenate(pdf["numbers"].to_numpy()).astype(np.int64, copy=False).reshape(len(pdf), -1)
+                caps = None
+                if "caps" in pdf:
+                    caps = np.empty(len(pdf), object)
+                    caps[:] = [None if cap is None else [list(c) for c in cap] for cap in pdf["caps"]]
+                parts.append((pdf["key"].to_numpy(object), numbers, caps))
+        keys, numbers, caps = (None if p[0] is None else p[0] if len(p) == 1 else np.concatenate(p) for p in zip(*parts))
+        codes, names = pd.factorize(keys)
         mark_ns = state.getCurrentWatermarkMs() * 1_000_000
-        ready = sorted((w for w in waiting if w[0] <= mark_ns), key=lambda w: w[:2])
-        waiting = [w for w in waiting if w[0] > mark_ns]
+        wait = numbers[:, _TS] > mark_ns
+        ready = np.flatnonzero(~wait)
+        ready = ready[np.lexsort((*numbers[ready][:, [_ID, _HAS_ID, _TS]].T, codes[ready]))]
+        masks = numbers[ready, _MASKS:].ravel()
+        hits = masks.nonzero()[0]
         out = []
-        for ts, event_id, masks, cap in ready:
-            for i, mask in enumerate(masks):
-                if mask:
-                    rule_id, bits, span = spec[i]
-                    live[i], done = advance(live[i], bits, span, mask, ts, (event_id, ts, cap[i] if cap else None), sticky)
-                    if done:
-                        out.append((rule_id, key[1], done[0][1], ts, [e[0] for e in done], [e[2] or [] for e in done]))
-        for i, p in enumerate(live):
-            span = spec[i][2]
-            # all events up to the watermark are in: what is left can't be in time
-            if p is not None and span is not None and p.began + span < mark_ns:
-                live[i] = None
-        ends = [w[0] for w in waiting] + [p.began + spec[i][2] for i, p in enumerate(live) if p is not None and spec[i][2] is not None]
-        if waiting or any(p is not None for p in live):
-            state.update((pickle.dumps((waiting, live)),))
+        for hit, mask in zip(hits.tolist(), masks[hits].tolist()):
+            row, i = divmod(hit, len(spec))
+            row = ready[row]
+            key = keys[row]
+            p = live.get((key, i))
+            rule_id, bits, span = spec[i]
+            if p is not None and not mask & (bits[p.at] | UNTIL):
+                continue
+            ts, event_id, has_id = numbers[row, :_MASKS].tolist()
+            cap = caps[row] if caps is not None else None
+            now, done = advance(p, bits, span, mask, ts, (event_id if has_id else None, ts, cap[i] if cap else None), sticky)
+            if now is not None:
+                live[key, i] = now
+            elif p is not None:
+                del live[key, i]
+            if done:
+                out.append((rule_id, key, done[0][1], ts, [e[0] for e in done], [e[2] or [] for e in done]))
+        # all events up to the watermark are in: what is left can't be in time
+        live = {k: p for k, p in live.items() if spec[k[1]][2] is None or p.began + spec[k[1]][2] >= mark_ns}
+        ends = [p.began + spec[i][2] for (_, i), p in live.items() if spec[i][2] is not None]
+        if wait.any():
+            ends.append(int(numbers[wait, _TS].min()))
+        if live or wait.any():
+            codes, names = pd.factorize(keys[wait])
+            state.update((pickle.dumps((names, codes.astype(np.int32), numbers[wait], None if caps is None else caps[wait], live)),))
             if ends:
                 state.setTimeoutTimestamp(max(min(ends) // 1_000_000 + 1, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
@@ -78,8 +113,10 @@ def stream_sequences(
     id_col: str = "event_id",
     type_col: str = "event_type",
     entity_col: str = "entity_key",
+    buckets: int = BUCKETS,
 ) -> DataFrame:
-    """``rule_id, key, first_ts, ts, event_ids, captures`` as matches complete. ``time`` is ``ts_col`` as a timestamp. Rules that group by one field share a state."""
+    """``rule_id, key, first_ts, ts, event_ids, captures`` as matches complete. ``time`` is ``ts_col`` as a timestamp. Rules that group by one field share
+    states, of which there are at most ``buckets`` for each field."""
     rules = [resolve(r, schema) for r in rules]
     groups: dict[str, list[ir.Rule]] = {}
     for r in rules:
@@ -94,8 +131,11 @@ def stream_sequences(
     types = sorted(set().union(*(r.event_types() for r in rules)))
     rows = events.where(F.col(type_col).isin(types)).select(time.alias("time"), F.col(ts_col).cast("long").alias("ts"), F.col(id_col).cast("long").alias("event_id"), F.explode(F.array(*seen)).alias("x")).select("time", "ts", "event_id", "x.*")
     rows = rows.where("key is not null and ts is not null").where(F.exists("masks", lambda m: m != 0)).withWatermark("time", delay)
+    event = F.array(F.col("ts"), F.coalesce("event_id", F.lit(0).cast("long")), F.col("event_id").isNotNull().cast("long"))
+    caps = ["caps"] if any(r.captures for r in rules) else []
+    rows = rows.select("time", "g", F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), "key", F.concat(event, "masks").alias("numbers"), *caps)
     specs = [_spec(own) for own in groups.values()]
-    found = rows.groupBy("g", "key").applyInPandasWithState(_processor(specs, sticky), _OUT, "state binary", "append", GroupStateTimeout.EventTimeTimeout)
+    found = rows.groupBy("g", "bucket").applyInPandasWithState(_processor(specs, sticky), _OUT, "state binary", "append", GroupStateTimeout.EventTimeTimeout)
     return with_captures(found, rules)
 
 

@@ -208,6 +208,28 @@ def test_a_stream_of_several_keys(spark, tmp_path):
     assert sorted((r["rule_id"], r["key"], list(r["event_ids"])) for r in write_stream(spark, found, tmp_path).collect()) == [("a", "2", [2, 3]), ("b", "x", [1, 3])]
 
 
+def test_keys_of_a_stream_share_states(spark, tmp_path):
+    r = random.Random(5)
+    rows = [(r.choice("ABU"), r.randrange(0, 60_000), f"e{r.randrange(300)}", f"x{r.randrange(200)}", r.randrange(9)) for _ in range(3000)]
+    rows.append(("A", 10_000_000, "end", "end", 1))
+    rules = [
+        replace(parse("sequence [A] [B] with maxspan=20s until [U where pid > 3]").named("a"), captures=(ir.Capture("exe", "first", 0), ir.Capture("pid", "last"))),
+        parse("sequence [B] [A] [A]").named("b"),
+        parse("sequence by exe [A] [B] with maxspan=30s").named("c"),
+    ]
+    odd = F.when(F.col("event_id") % 50 != 0, F.col("event_id") + (1 << 60))  # beyond what a double holds, and some null
+    found = stream_sequences(source(spark, rows, f"{tmp_path}/in").withColumn("event_id", odd), rules, schema(), F.col("time"), delay="2 hours", buckets=8)
+    q = found.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    states = [op["numRowsTotal"] for p in q.recentProgress for op in p["stateOperators"]]
+    assert 2 < max(states) <= 2 * 8
+    want = match_sequences(frame(spark, rows).withColumn("event_id", odd), rules, schema())
+    as_set = lambda df: sorted((x["rule_id"], x["key"], x["first_ts"], x["ts"], str(x["event_ids"]), str(x["captures"])) for x in df.collect())
+    got = as_set(spark.read.schema(found.schema).parquet(f"{tmp_path}/out"))
+    assert got == as_set(want)
+    assert {x[0] for x in got} == {"a", "b", "c"} and any("None" in x[4] for x in got)
+
+
 def test_windows_sessions_and_first_decisions_of_streams(spark, tmp_path):
     rows = [("A", t, "1") for t in (0, 1000, 61_000, 200_000)] + [("A", 10_000_000, "end")]
     counts = write_stream(spark, windowed_counts(source(spark, rows, f"{tmp_path}/a"), delay="1 hour"), f"{tmp_path}/aa")
